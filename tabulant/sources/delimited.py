@@ -41,18 +41,23 @@ def null_tokens_to_null(value: Column) -> Column:
 
 
 def unique_headers(cells: list[str | None]) -> list[str]:
-    """Name blank headers by position and number repeats: ``b``, ``b.1``, ``b.2``."""
+    """Name blank headers by position and number repeats: ``b``, ``b.1``, ``b.2``.
+
+    A numbered name never takes one that the header line itself uses.
+    """
     names = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(cells)]
-    taken, seen, result = set(names), {}, []
-    for name in names:
-        candidate = name
-        while candidate in seen:
-            seen[name] += 1
-            candidate = f"{name}.{seen[name]}"
-            if candidate in taken and candidate not in seen:
-                continue
-        seen.setdefault(candidate, 0)
-        result.append(candidate)
+    taken, next_number = set(names), {}
+    result = list(names)
+    # Names that were given keep theirs before generated ones do.
+    for i in sorted(range(len(names)), key=lambda i: not cells[i]):
+        name = names[i]
+        if name not in next_number:
+            next_number[name] = 1
+            continue
+        while f"{name}.{next_number[name]}" in taken:
+            next_number[name] += 1
+        result[i] = f"{name}.{next_number[name]}"
+        taken.add(result[i])
     return result
 
 
@@ -77,22 +82,22 @@ def read_header(spark: SparkSession, path: str | list[str], delimiter: str = ","
     return unique_headers(cells)
 
 
-def files_with_open_quotes(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> list[str]:
-    """Files holding a quoted cell that may run over a line end; only these cannot be split.
+def split_by_open_quotes(
+    spark: SparkSession, path: str | list[str], delimiter: str = ","
+) -> tuple[list[str], list[str]]:
+    """The files whose lines are all closed, and those where a quoted cell may run over a line end.
 
-    A line is closed if dropping its well-formed quoted cells leaves no quote. When every
-    line of a file is closed, each line is one record, so splitting the file is exact.
+    A line is closed if dropping its well-formed quoted cells leaves no quote. Where every line
+    of a file is closed, each line is one record, so splitting the file is exact. One row per
+    file reaches the driver.
     """
     edge = re.escape(delimiter)
     quoted_cell = rf'(?<=^|{edge})"(?:[^"]++|"")*+"(?={edge}|\r?$)'
-    lines = spark.read.text(path).where(F.col("value").contains('"'))
-    open_lines = lines.where(F.regexp_replace("value", quoted_cell, "").contains('"'))
-    found = open_lines.select(F.col("_metadata.file_path").alias("p")).distinct().collect()
-    return sorted(unquote(r.p) for r in found)
-
-
-def _list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    return sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    is_open = F.when(F.col("value").contains('"'), F.regexp_replace("value", quoted_cell, "").contains('"'))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), is_open.alias("open"))
+    files = lines.groupBy("file").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open")).collect()
+    closed = sorted(unquote(f["file"]) for f in files if not f["open"])
+    return closed, sorted(unquote(f["file"]) for f in files if f["open"])
 
 
 def _scan(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool) -> DataFrame:
@@ -116,18 +121,18 @@ def _is_long(raw: Column, width: int, delimiter: str) -> Column:
 
 
 def _scan_all(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool | str) -> DataFrame:
-    if multiline != "auto":
-        rows = _scan(spark, path, names, delimiter, bool(multiline))
+    if multiline == "auto":
+        closed, whole = split_by_open_quotes(spark, path, delimiter)
+    else:
+        closed, whole = ([], path) if multiline else (path, [])
+    if whole and closed:
+        rows = _scan(spark, whole, names, delimiter, True).unionByName(_scan(spark, closed, names, delimiter, False))
     else:
-        whole = files_with_open_quotes(spark, path, delimiter)
-        if not whole:
-            rows = _scan(spark, path, names, delimiter, False)
-        else:
-            rest = sorted(set(_list_files(spark, path)) - set(whole))
-            rows = _scan(spark, whole, names, delimiter, True)
-            if rest:
-                rows = rows.unionByName(_scan(spark, rest, names, delimiter, False))
-    return rows.where(F.col(_RAW).isNull() | (strip(F.col(_RAW)) != ""))
+        rows = _scan(spark, whole or path, names, delimiter, bool(whole))
+    # A blank line has no first cell either. Naming that cell keeps one real column in every
+    # scan, without which Spark refuses to return the raw text.
+    blank = (strip(F.col(_RAW)) == "") & (strip(F.coalesce(named(names[0]), F.lit(""))) == "")
+    return rows.where(F.col(_RAW).isNull() | ~blank)
 
 
 def read_delimited(

@@ -3,10 +3,10 @@ import pytest
 from tabulant.columns import ORDINAL
 from tabulant.sources.delimited import (
     NULL_TOKENS,
-    files_with_open_quotes,
     quarantine_long_rows,
     read_delimited,
     read_header,
+    split_by_open_quotes,
     unique_headers,
 )
 
@@ -31,7 +31,7 @@ def test_quotes_newlines_blank_lines_short_rows_and_mark(spark, folder):
     )
     df = read_delimited(spark, path)
     assert df.columns[:-1] == ["id", "b", "b.1", "Unnamed: 3"]
-    assert files_with_open_quotes(spark, path) != []
+    assert split_by_open_quotes(spark, path)[1] != []
     assert in_order(df) == [
         ("1", 'x "q" y', "z", "w"),
         ("2", "two\nlines", None, None),
@@ -46,6 +46,7 @@ def test_both_readers_agree_on_closed_lines(spark, folder, multiline):
     df = read_delimited(spark, path, "|", multiline)
     assert in_order(df) == [("1", "x|y"), ("2", None), ("3", 'say "hi"')]
     assert [r.a for r in df.select("a").orderBy("a").collect()] == ["1", "2", "3"]
+    assert df.count() == 3
 
 
 @pytest.mark.parametrize("multiline", [True, False, "auto"])
@@ -60,6 +61,7 @@ def test_long_rows_fail_or_are_quarantined(spark, folder, multiline):
     ]
     kept = rows.where("not __quarantined__").select("a", "b", ORDINAL)
     assert in_order(kept) == [("1", "2"), ("4", None), ("7,7", "8")]
+    assert rows.count() == 5
     # The same answer when only one data column is asked for.
     assert rows.where("__quarantined__").select("b").count() == 2
 
@@ -84,7 +86,7 @@ def test_mixed_folder_keeps_file_order(spark, folder):
 
 def test_quote_opened_late_in_a_line_is_found(spark, folder):
     path = write(folder / "a.csv", 'a,b\nx"y,"one\ntwo"\n')
-    assert files_with_open_quotes(spark, path) != []
+    assert split_by_open_quotes(spark, path)[1] != []
     assert in_order(read_delimited(spark, path)) == [('x"y', "one\ntwo")]
 
 
