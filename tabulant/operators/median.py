@@ -2,13 +2,14 @@
 
 Each round counts values in a fixed number of buckets between the known bounds of every
 column and keeps, per column, only the bucket that holds its middle rank. Bucketing is
-monotone, so the kept bucket is exact, not a guess. Rounds take turns between logarithmic and
-even buckets, so wide and narrow spreads both close in fast. A round shuffles bucket counts only.
+monotone, so the kept bucket is exact, not a guess. Rounds take turns between even and
+logarithmic buckets, so wide and narrow spreads both close in fast. A round shuffles bucket counts only.
 Once few enough values are left between the bounds, the middle ones are picked by rank.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -19,6 +20,7 @@ BUCKETS = 2048
 RANKED_VALUES = 100_000
 
 _INFINITY = float("inf")
+_LARGEST = 1.7976931348623157e308
 
 
 @dataclass(frozen=True)
@@ -31,90 +33,96 @@ class _Search:
     inside: int
     first: int
     second: int
-    spread: bool = True
 
+    @property
+    def ranks(self) -> tuple[int, int]:
+        """Its middle ranks among the values inside."""
+        return self.first - self.below, self.second - self.below
 
-def _inside(value: Column, search: _Search) -> Column:
-    return F.when(value.between(F.lit(search.low), F.lit(search.high)), value)
 
-
-def _bucket(value: Column, search: _Search) -> Column:
-    """Bucket number, growing with the value; infinities sit in buckets of their own."""
-    low, high = max(search.low, -1.7e308), min(search.high, 1.7e308)
-
-    def scaled(x: Column) -> Column:
-        if not search.spread:
-            return x / 2
-        # Logarithms of doubles stay above -745, so this grows with x through zero.
-        return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 745))
-
-    bottom, width = scaled(F.lit(low)), scaled(F.lit(high)) - scaled(F.lit(low))
-    share = (scaled(value) - bottom) / F.when(width > 0, width)
-    inner = F.greatest(F.lit(0), F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)))
-    return (
-        F.when(value == _INFINITY, F.lit(BUCKETS)).when(value == -_INFINITY, F.lit(-1)).otherwise(inner).cast("int")
-    )
-
-
-def _long(df: DataFrame, columns: Mapping[int, Column], searches: Mapping[int, _Search], bucketed: bool) -> DataFrame:
-    """The values still in question as ``(field, x[, bucket])`` rows."""
+def _long(df: DataFrame, columns: Mapping[int, Column], searches: Mapping[int, _Search]) -> DataFrame:
+    """The values still in question as ``(at, x)`` rows, ``at`` counting the searches."""
     cells: list[Column] = []
-    for key, search in searches.items():
-        value = _inside(columns[key], search)
-        cells += [F.lit(key), value, *([_bucket(value, search)] if bucketed else [])]
-    names = ["field", "x", *(["bucket"] if bucketed else [])]
-    return df.select(F.stack(F.lit(len(searches)), *cells).alias(*names)).where(F.col("x").isNotNull())
-
-
-def _narrow(df: DataFrame, columns: Mapping[int, Column], searches: dict[int, _Search]) -> dict[int, object]:
+    for at, (key, search) in enumerate(searches.items()):
+        value = F.col(f"v{key}")
+        cells += [F.lit(at), F.when(value.between(F.lit(search.low), F.lit(search.high)), value)]
+    values = df.select(*(columns[key].alias(f"v{key}") for key in searches))
+    return values.select(F.stack(F.lit(len(searches)), *cells).alias("at", "x")).where(F.col("x").isNotNull())
+
+
+def _constants(values: list) -> Column:
+    """One constant per search, looked up by position."""
+    return F.get(F.array(*(F.lit(v) for v in values)), F.col("at"))
+
+
+def _logarithm(x: float) -> float:
+    return 0.0 if x == 0 else math.copysign(math.log(abs(x)) + 745, x)
+
+
+def _bucket(searches: list[_Search], spread: bool) -> Column:
+    """Bucket number, growing with the value; infinities sit in buckets of their own.
+
+    With even buckets the two ends always part, so at least every second round makes progress.
+    """
+    x = F.col("x")
+    bounds = [(max(s.low, -_LARGEST), min(s.high, _LARGEST)) for s in searches]
+    if spread:
+        # Logarithms of doubles stay above -745, so this scale grows with x through zero.
+        scaled = F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 745))
+        bounds = [(_logarithm(low), _logarithm(high)) for low, high in bounds]
+    else:
+        shrink = [0.5 if high - low == _INFINITY else 1.0 for low, high in bounds]
+        scaled = x * _constants(shrink)
+        bounds = [(low * c, high * c) for (low, high), c in zip(bounds, shrink)]
+    width = _constants([high - low if high > low else 1.0 for low, high in bounds])
+    place = (scaled - _constants([low for low, _ in bounds])) / width * BUCKETS
+    # Clamped, because logarithms may differ in their last digit from the ones above.
+    inner = F.greatest(F.lit(0.0), F.least(place, F.lit(BUCKETS - 1.0))).cast("int")
+    return F.when(x == _INFINITY, F.lit(BUCKETS)).when(x == -_INFINITY, F.lit(-1)).otherwise(inner)
+
+
+def _narrow(
+    df: DataFrame, columns: Mapping[int, Column], searches: dict[int, _Search], spread: bool
+) -> dict[int, object]:
     """One round: per column either its median or a tighter search."""
+    order = list(searches.values())
     counts = (
-        _long(df, columns, searches, True)
-        .groupBy("field", "bucket")
+        _long(df, columns, searches)
+        .groupBy("at", _bucket(order, spread).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )
-    running = F.sum("n").over(Window.partitionBy("field").orderBy("bucket"))
-    targets = F.create_map(
-        *(c for k, s in searches.items() for c in (F.lit(k), F.array(F.lit(s.first - s.below), F.lit(s.second - s.below))))
-    )
-    placed = counts.withColumn("after", running).withColumn("ranks", F.element_at(targets, F.col("field")))
-    holds = F.exists("ranks", lambda r: (r < F.col("after")) & (r >= F.col("after") - F.col("n")))
+    placed = counts.withColumn("after", F.sum("n").over(Window.partitionBy("at").orderBy("bucket")))
+    before = F.col("after") - F.col("n")
+    first, second = (_constants([s.ranks[i] for s in order]) for i in (0, 1))
+    holds = ((first < F.col("after")) & (first >= before)) | ((second < F.col("after")) & (second >= before))
     kept: dict[int, list] = {}
-    for row in placed.where(holds).orderBy("field", "bucket").collect():
-        kept.setdefault(row["field"], []).append(row)
+    for row in placed.where(holds).orderBy("at", "bucket").collect():
+        kept.setdefault(row["at"], []).append(row)
     result: dict[int, object] = {}
-    for key, search in searches.items():
-        rows = kept[key]
+    for at, (key, search) in enumerate(searches.items()):
+        rows = kept[at]
         if len(rows) == 2:
             result[key] = (rows[0]["high"] + rows[1]["low"]) / 2
         elif rows[0]["low"] == rows[0]["high"]:
             result[key] = rows[0]["low"]
         else:
-            row = rows[0]
-            result[key] = replace(
-                search,
-                low=row["low"],
-                high=row["high"],
-                below=search.below + row["after"] - row["n"],
-                inside=row["n"],
-                spread=not search.spread,
-            )
+            (row,) = rows
+            below = search.below + row["after"] - row["n"]
+            result[key] = replace(search, low=row["low"], high=row["high"], below=below, inside=row["n"])
     return result
 
 
 def _pick(df: DataFrame, columns: Mapping[int, Column], searches: dict[int, _Search]) -> dict[int, float]:
     """Rank the few values left of each column and average the middle ones."""
-    ranked = _long(df, columns, searches, False).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("field").orderBy("x")) - 1
-    )
-    wanted = F.create_map(
-        *(c for k, s in searches.items() for c in (F.lit(k), F.array(F.lit(s.first - s.below), F.lit(s.second - s.below))))
-    )
-    middle = ranked.where(F.array_contains(F.element_at(wanted, F.col("field")), F.col("rank").cast("int")))
+    order = list(searches.values())
+    rank = F.row_number().over(Window.partitionBy("at").orderBy("x")) - 1
+    ranked = _long(df, columns, searches).withColumn("rank", rank)
+    first, second = (_constants([s.ranks[i] for s in order]) for i in (0, 1))
     found: dict[int, list[float]] = {}
-    for row in middle.collect():
-        found.setdefault(row["field"], []).append(row["x"])
-    return {k: (min(v) + max(v)) / 2 if min(v) != max(v) else v[0] for k, v in found.items()}
+    for row in ranked.where((F.col("rank") == first) | (F.col("rank") == second)).collect():
+        found.setdefault(row["at"], []).append(row["x"])
+    keys = list(searches)
+    return {keys[at]: x[0] if min(x) == max(x) else (min(x) + max(x)) / 2 for at, x in found.items()}
 
 
 def exact_medians(
@@ -132,15 +140,17 @@ def exact_medians(
         else:
             searches[key] = _Search(low, high, 0, count, (count - 1) // 2, count // 2)
     small: dict[int, _Search] = {}
+    spread = False
     while searches:
         small.update({k: s for k, s in searches.items() if s.inside <= ranked_values})
         large = {k: s for k, s in searches.items() if s.inside > ranked_values}
         searches = {}
-        for key, outcome in (_narrow(df, columns, large) if large else {}).items():
+        for key, outcome in (_narrow(df, columns, large, spread) if large else {}).items():
             if isinstance(outcome, _Search):
                 searches[key] = outcome
             else:
                 medians[key] = outcome
+        spread = not spread
     if small:
         medians.update(_pick(df, columns, small))
     return medians

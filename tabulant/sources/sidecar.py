@@ -222,7 +222,8 @@ def parse_sidecars(texts: DataFrame) -> DataFrame:
         .when(F.col("format") == "tabular", _parse_tabular(of_lines))
         .when(F.col("format") == "keyvalue", _parse_key_value(of_lines))
     )
-    result = known.select("path", "format", parsed.alias("parsed")).select("path", "format", "parsed.*")
+    # A generator is evaluated once per row; a plain column would be copied into later filters.
+    result = known.select("path", "format", F.inline_outer(F.array(parsed)))
     status = (
         F.when(F.col("format") == "empty", F.lit(_EMPTY))
         .when(F.col("error").isNotNull(), F.col("error"))

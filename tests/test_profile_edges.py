@@ -23,6 +23,7 @@ SHAPES = {
     "half_hot": lambda r: 7.0 if r.random() < 0.5 else r.uniform(0, 1e9),
     "two_values": lambda r: r.choice([1.0, 2.0]),
     "close": lambda r: 1.0 + r.randint(0, 40) * 2.220446049250313e-16,
+    "denormal": lambda r: 1e-310 + r.randint(0, 9) * 5e-324,
     "infinite": lambda r: r.choice([float("inf"), r.uniform(-1e308, 1e308), float("-inf"), 3.0]),
 }
 
