@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabulant.columns import ORDINAL, named
 from tabulant.functions.text import strip
+from tabulant.sources.records import split_records
 
 # Cell texts that mean "no value", whether quoted or not.
 NULL_TOKENS = (
@@ -35,6 +37,9 @@ NULL_TOKENS = (
 
 _RAW = "__raw__"
 
+# A file with quoted line ends is read by one task up to this size and split beyond it.
+WHOLE_FILE_BYTES = 256 * 1024 * 1024
+
 
 def null_tokens_to_null(value: Column) -> Column:
     return F.when(~value.isin(*NULL_TOKENS), value)
@@ -82,22 +87,33 @@ def read_header(spark: SparkSession, path: str | list[str], delimiter: str = ","
     return unique_headers(cells)
 
 
-def split_by_open_quotes(
-    spark: SparkSession, path: str | list[str], delimiter: str = ","
-) -> tuple[list[str], list[str]]:
-    """The files whose lines are all closed, and those where a quoted cell may run over a line end.
+def _quoted_cell(delimiter: str) -> str:
+    """A pattern for one well-formed quoted cell, from border to border."""
+    edge = re.escape(delimiter)
+    return rf'(?<=\A|{edge})"(?:[^"]++|"")*+"(?={edge}|\r?\z)'
+
+
+def files_by_quoting(
+    spark: SparkSession, path: str | list[str], delimiter: str = ",", whole_file_bytes: int = WHOLE_FILE_BYTES
+) -> dict[str, list[str]]:
+    """Sort files by how they can be read: ``lines``, ``whole`` or ``records``.
 
     A line is closed if dropping its well-formed quoted cells leaves no quote. Where every line
-    of a file is closed, each line is one record, so splitting the file is exact. One row per
-    file reaches the driver.
+    of a file is closed, each line is one record and the file is read by ``lines``. Others hold
+    cells that may run over a line end: small ones are read ``whole``, large ones by
+    ``records``. One row per file reaches the driver.
     """
-    edge = re.escape(delimiter)
-    quoted_cell = rf'(?<=^|{edge})"(?:[^"]++|"")*+"(?={edge}|\r?$)'
-    is_open = F.when(F.col("value").contains('"'), F.regexp_replace("value", quoted_cell, "").contains('"'))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), is_open.alias("open"))
-    files = lines.groupBy("file").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open")).collect()
-    closed = sorted(unquote(f["file"]) for f in files if not f["open"])
-    return closed, sorted(unquote(f["file"]) for f in files if f["open"])
+    quote = F.col("value").contains('"')
+    is_open = F.when(quote, F.regexp_replace("value", _quoted_cell(delimiter), "").contains('"'))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), is_open.alias("open")
+    )
+    found = lines.groupBy("file", "size").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open")).collect()
+    sorted_files: dict[str, list[str]] = {"lines": [], "whole": [], "records": []}
+    for row in sorted(found):
+        way = "lines" if not row["open"] else "whole" if row["size"] <= whole_file_bytes else "records"
+        sorted_files[way].append(unquote(row["file"]))
+    return sorted_files
 
 
 def _scan(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool) -> DataFrame:
@@ -113,6 +129,19 @@ def _scan(spark: SparkSession, path, names: list[str], delimiter: str, multiline
     return reader.csv(path).select("*", position.alias(ORDINAL))
 
 
+def _scan_records(spark: SparkSession, files: list[str], names: list[str], delimiter: str) -> DataFrame:
+    """Read large files with quoted line ends in splits; a stray quote fails the job."""
+    record = F.regexp_replace("text", r"\r\z", "")
+    stray = F.regexp_replace(record, _quoted_cell(delimiter), "").contains('"')
+    message = F.concat(F.lit("Stray quote, read this file with multiline=True: "), F.col("file"))
+    sound = F.when(stray, F.raise_error(message).cast("string")).otherwise(record)
+    ddl = ",".join("`" + n.replace("`", "``") + "` string" for n in [*names, _RAW])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _RAW, "multiLine": "true"}
+    records = split_records(spark, files).where(strip(F.col("text")) != "")
+    cells = records.select("file", "start", "id", F.from_csv(sound, ddl, options).alias("c"))
+    return cells.select("c.*", F.struct("file", "start", "id").alias(ORDINAL))
+
+
 def _is_long(raw: Column, width: int, delimiter: str) -> Column:
     """Whether a record the parser flagged has more cells than the header."""
     bare = F.regexp_replace(raw, r'"(?:[^"]++|"")*+"', "")
@@ -122,13 +151,17 @@ def _is_long(raw: Column, width: int, delimiter: str) -> Column:
 
 def _scan_all(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool | str) -> DataFrame:
     if multiline == "auto":
-        closed, whole = split_by_open_quotes(spark, path, delimiter)
-    else:
-        closed, whole = ([], path) if multiline else (path, [])
-    if whole and closed:
-        rows = _scan(spark, whole, names, delimiter, True).unionByName(_scan(spark, closed, names, delimiter, False))
+        ways = files_by_quoting(spark, path, delimiter)
     else:
-        rows = _scan(spark, whole or path, names, delimiter, bool(whole))
+        ways = {"whole" if multiline else "lines": path}
+    scans = []
+    if ways.get("lines"):
+        scans.append(_scan(spark, ways["lines"], names, delimiter, False))
+    if ways.get("whole"):
+        scans.append(_scan(spark, ways["whole"], names, delimiter, True))
+    if ways.get("records"):
+        scans.append(_scan_records(spark, ways["records"], names, delimiter))
+    rows = reduce(DataFrame.unionByName, scans or [_scan(spark, path, names, delimiter, False)])
     # A blank line has no first cell either. Naming that cell keeps one real column in every
     # scan, without which Spark refuses to return the raw text.
     blank = (strip(F.col(_RAW)) == "") & (strip(F.coalesce(named(names[0]), F.lit(""))) == "")
@@ -141,9 +174,10 @@ def read_delimited(
     """Read files with a header line; every column is text and null tokens are null.
 
     Short rows are padded with null and blank lines skipped. A row with more cells than the
-    header fails the job that meets it. ``multiline="auto"`` looks for quoted line ends first
-    and reads only the files that hold one as a whole; all others are split. The result
-    carries the file order as an ordinal column.
+    header fails the job that meets it. ``multiline="auto"`` looks for quoted line ends first:
+    files without any are split at lines, and large files with some at records. ``True`` reads
+    every file in one task, ``False`` takes every line as a record. The result carries the file
+    order as an ordinal column.
     """
     delimiter = delimiter or ","
     names = read_header(spark, path, delimiter)

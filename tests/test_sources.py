@@ -1,12 +1,15 @@
+import random
+
 import pytest
 
 from tabulant.columns import ORDINAL
+from tabulant.sources import delimited
 from tabulant.sources.delimited import (
     NULL_TOKENS,
+    files_by_quoting,
     quarantine_long_rows,
     read_delimited,
     read_header,
-    split_by_open_quotes,
     unique_headers,
 )
 
@@ -31,7 +34,7 @@ def test_quotes_newlines_blank_lines_short_rows_and_mark(spark, folder):
     )
     df = read_delimited(spark, path)
     assert df.columns[:-1] == ["id", "b", "b.1", "Unnamed: 3"]
-    assert split_by_open_quotes(spark, path)[1] != []
+    assert files_by_quoting(spark, path)["whole"] != []
     assert in_order(df) == [
         ("1", 'x "q" y', "z", "w"),
         ("2", "two\nlines", None, None),
@@ -86,7 +89,7 @@ def test_mixed_folder_keeps_file_order(spark, folder):
 
 def test_quote_opened_late_in_a_line_is_found(spark, folder):
     path = write(folder / "a.csv", 'a,b\nx"y,"one\ntwo"\n')
-    assert split_by_open_quotes(spark, path)[1] != []
+    assert files_by_quoting(spark, path)["whole"] != []
     assert in_order(read_delimited(spark, path)) == [('x"y', "one\ntwo")]
 
 
@@ -112,3 +115,52 @@ def test_tab_and_empty_delimiter(spark, folder):
 def test_missing_file_is_an_error(spark, folder):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         read_delimited(spark, str(folder / "none.csv"))
+
+
+@pytest.fixture()
+def small_splits(spark, monkeypatch):
+    """Splits of a few hundred bytes, and no file small enough to be read whole."""
+    monkeypatch.setattr(delimited, "files_by_quoting", lambda *a: files_by_quoting(*a, whole_file_bytes=0))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_large_files_with_quoted_line_ends_are_split(spark, folder, small_splits, line_end):
+    rng = random.Random(5)
+
+    def cell():
+        text = "".join(rng.choice(["a", "b", ",", '"', "\n", "\n\n", " ", "long words "]) for _ in range(rng.randint(0, 40)))
+        return '"' + text.replace('"', '""') + '"' if rng.random() < 0.7 else str(rng.randint(0, 9))
+
+    data = folder / "data"
+    data.mkdir()
+    for name in ("a.csv", "b.csv"):
+        rows = [f"{i},{cell()},{cell()}" for i in range(150)]
+        rows[70] = '70,"' + "x\n" * 600 + '",end'
+        rows[90] = "90,short"
+        rows.insert(100, "")
+        # Bytes, so that line ends are kept as they are.
+        (data / name).write_bytes(line_end.join(["id,p,q", *rows, ""]).encode())
+    whole = read_delimited(spark, str(data), ",", True)
+    split = read_delimited(spark, str(data))
+    assert spark.read.text(str(data)).rdd.getNumPartitions() > 20
+    assert in_order(split) == in_order(whole)
+    assert split.count() == 300
+
+
+def test_stray_quote_in_a_split_file_fails(spark, folder, small_splits):
+    path = write(folder / "a.csv", 'a,b\n1,x"y\n2,"p\nq"\n' + "3,z\n" * 200)
+    with pytest.raises(Exception, match="Stray quote"):
+        read_delimited(spark, path).collect()
+    assert len(in_order(read_delimited(spark, path, ",", True))) == 202
+
+
+def test_long_rows_in_a_split_file(spark, folder, small_splits):
+    path = write(folder / "a.csv", 'a,b\n1,"x\ny",3\n' + "3,z\n" * 200)
+    rows = quarantine_long_rows(spark, path)
+    assert [r["__raw__"] for r in rows.where("__quarantined__").collect()] == ['1,"x\ny",3']
+    assert rows.where("not __quarantined__").count() == 200

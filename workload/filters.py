@@ -117,8 +117,8 @@ _TEXT_OPS = {
 }
 
 _NUMBER_OPS = {
-    "equals": ({"filter": "6.55"}, "x = 6.55"),
-    "notEqual": ({"filter": "6.55"}, "x <> 6.55"),
+    "equals": ({"filter": "2.64"}, "x = 2.64"),
+    "notEqual": ({"filter": "2.64"}, "x <> 2.64"),
     "lessThan": ({"filter": 50}, "x < 50"),
     "lessThanOrEqual": ({"filter": "50"}, "x <= 50"),
     "greaterThan": ({"filter": "1,00"}, "x > 100"),
