@@ -19,8 +19,9 @@ from tabulant.sources.snapshot import Snapshot, write_snapshot
 RECORD = "record_number"
 
 PAGE_ROWS = 500
-# Pages ending before this row are taken by a bounded top-k; later ones from a sorted snapshot.
-TOP_ROWS = 100_000
+# Rows up to this position are taken by a bounded top-k, which one task merges from the first
+# rows of all others; later ones come from a sorted snapshot.
+TOP_ROWS = 10_000
 
 GUARD_ROWS = 200_000
 GUARD_CELLS = 12_000_000
@@ -69,9 +70,30 @@ def sort_rows(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] |
     return df.orderBy(*sort_order(df, model, tiebreak))
 
 
+def _leading(df: DataFrame, order: Sequence[Column], rows: int) -> DataFrame:
+    """At least the first ``rows`` rows: those of every partition, found without a shuffle."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.sortWithinPartitions(*order).withColumn("__within__", within)
+    return placed.where(F.col("__within__") < rows).drop("__within__")
+
+
+def rows_between(
+    df: DataFrame, order: Sequence[Column], start: int, stop: int, top_rows: int = TOP_ROWS
+) -> DataFrame:
+    """Rows at positions ``start`` (0-based) up to ``stop`` in the given order, numbered from 1."""
+    columns = data_columns(df)
+    if stop > top_rows:
+        rows = write_snapshot(_leading(df, order, stop), order).slice(start, stop, columns)
+        return rows.withColumnRenamed(ORDINAL, RECORD)
+    # At most ``top_rows`` rows are left here, so numbering them in one task is bounded.
+    rows = df.orderBy(*order).offset(start).limit(max(stop - start, 0))
+    position = (F.row_number().over(Window.orderBy(*order)) + start).cast("bigint")
+    return rows.withColumn(RECORD, position).select(*map(named, columns), RECORD)
+
+
 def preview(df: DataFrame, rows: int, order: Sequence[Column] | None = None) -> DataFrame:
     """The first rows in the given order, by default the row order of the data."""
-    return df.orderBy(*(order or row_order(df))).limit(rows)
+    return rows_between(df, order or row_order(df), 0, rows).orderBy(RECORD).drop(RECORD)
 
 
 def number_records(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -98,14 +120,7 @@ def page(
     kept = apply_grid_filters(df, filter_model)
     order = sort_order(kept, sort_model, tiebreak)
     total = kept.agg(F.count(F.lit(1)).alias("row_count"))
-    columns = data_columns(df)
-    if stop > top_rows:
-        rows = write_snapshot(kept, order).slice(start, stop, columns)
-        return rows.withColumnRenamed(ORDINAL, RECORD), total
-    # At most ``top_rows`` rows are left here, so numbering them in one task is bounded.
-    rows = kept.orderBy(*order).offset(start).limit(max(stop - start, 0))
-    position = (F.row_number().over(Window.orderBy(*order)) + start).cast("bigint")
-    return rows.withColumn(RECORD, position).select(*map(named, columns), RECORD), total
+    return rows_between(kept, order, start, stop, top_rows), total
 
 
 def page_of_snapshot(snapshot: Snapshot, start: int = 0, end: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulant.columns import data_columns, named, row_order
 from tabulant.functions.display import header, with_display_headers
+from tabulant.operators.ordering import RECORD, rows_between
 from tabulant.operators.profile import KEY_ROW
 
 TSV_ROWS = 100_000
@@ -59,11 +60,9 @@ def tsv_of_view(
     shown = data_columns(df) if columns is None else [c for c in columns if c in data_columns(df)]
     if not shown:
         return df.sparkSession.createDataFrame([], "position bigint, line string")
-    keys = list(order or row_order(df))
-    first = df.orderBy(*keys).limit(limit)
+    first = rows_between(df, list(order or row_order(df)), 0, limit)
     cells = [F.translate(F.coalesce(named(c).cast("string"), F.lit("")), "\t\r\n", "   ") for c in shown]
-    # The limit above left one partition in order, so ids count up by one.
-    lines = first.select((F.monotonically_increasing_id() + 1).alias("position"), F.concat_ws("\t", *cells).alias("line"))
+    lines = first.select(F.col(RECORD).alias("position"), F.concat_ws("\t", *cells).alias("line"))
     titles = df.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("position"), F.concat_ws("\t", *(header(F.lit(c)) for c in shown)).alias("line")
     )

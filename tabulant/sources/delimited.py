@@ -6,6 +6,7 @@ import re
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabulant.columns import ORDINAL, named
@@ -78,7 +79,12 @@ def _reader(spark: SparkSession, delimiter: str, multiline: bool):
 
 def read_header(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> list[str]:
     """The column names of the first file."""
-    first = _reader(spark, delimiter, True).option("header", False).csv(path).head(1)
+    try:
+        first = _reader(spark, delimiter, True).option("header", False).csv(path).head(1)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"Data file not found: {path}") from error
     if not first:
         raise ValueError(f"No columns to read in {path}")
     cells = list(first[0])

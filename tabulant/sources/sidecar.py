@@ -6,6 +6,7 @@ no shuffle, and one result row per sidecar with its error, if any, in ``status``
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulant.catalog import FIELD_ATTRIBUTES, FIELD_DDL, Catalog
@@ -278,7 +279,12 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_catalog(spark: SparkSession, path: str) -> Catalog:
     """Read one sidecar; raises with the reason where it cannot be used."""
-    row = parse_sidecars(read_sidecars(spark, path)).first()
+    try:
+        row = parse_sidecars(read_sidecars(spark, path)).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"Metadata file not found: {path}") from error
     if row is None:
         raise ValueError(f"Metadata file is empty: {path}")
     if row["status"] != "ok":

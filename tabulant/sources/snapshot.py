@@ -64,10 +64,10 @@ class Snapshot:
         """Rows at positions ``start`` (0-based) up to ``end``, reading only the files that hold them."""
         bounds = [*self.offsets[1:], self.row_count]
         touched = [f for f, lo, hi in zip(self.files, self.offsets, bounds) if lo < end and hi > start]
-        frame = self.frame(columns)
-        if touched:
-            part = self.spark.read.parquet(*(unquote(f) for f in touched))
-            frame = self._positions(part.select(*(named(c) for c in columns)) if columns else part)
+        if not touched:
+            return self.frame(columns).where(F.lit(False))
+        part = self.spark.read.parquet(*(unquote(f) for f in touched))
+        frame = self._positions(part.select(*(named(c) for c in columns)) if columns else part)
         return frame.where((F.col(ORDINAL) > start) & (F.col(ORDINAL) <= end))
 
 

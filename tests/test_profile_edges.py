@@ -11,7 +11,15 @@ from tabulant.operators.charts import chart_data
 from tabulant.operators.filters import apply_grid_filters
 from tabulant.operators.median import exact_medians
 from tabulant.operators.options import measure_ranges
-from tabulant.operators.ordering import RECORD, large_result_guard, number_records, page, sort_rows
+from tabulant.operators.ordering import (
+    RECORD,
+    _leading,
+    large_result_guard,
+    number_records,
+    page,
+    rows_between,
+    sort_rows,
+)
 from tabulant.operators.profile import profile
 from tabulant.operators.quality import findings, scorecard
 from tabulant.sources.snapshot import open_snapshot, write_snapshot
@@ -142,6 +150,15 @@ def test_sort_and_page_edges(spark):
     assert sorted((r.record_number, r.i) for r in deep.collect()) == [(2, 2), (3, 4)]
 
 
+def test_late_rows_need_only_the_first_rows_of_each_partition(spark):
+    df = spark.range(5000).selectExpr("id", "(id * 7919) % 5000 as v").repartition(16)
+    with many_files(spark):
+        got = rows_between(df, [F.col("v").desc(), F.col("id")], 1000, 1100, top_rows=10)
+        assert [r.v for r in got.orderBy(RECORD).collect()] == [4999 - i for i in range(1000, 1100)]
+        kept = _leading(df, [F.col("v").desc(), F.col("id")], 100)
+        assert kept.count() == 1600
+
+
 def test_record_numbers_over_many_files(spark):
     df = spark.range(5000).selectExpr("id", "id % 7 as g").repartition(16)
     with many_files(spark):

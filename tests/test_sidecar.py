@@ -140,6 +140,8 @@ def test_discovery_and_loading(spark, folder):
     (folder / "c_Meta").write_text("")
     with pytest.raises(ValueError, match="empty"):
         load_catalog(spark, str(folder / "c_Meta"))
+    with pytest.raises(FileNotFoundError, match="Metadata file not found"):
+        load_catalog(spark, str(folder / "b.csv_Meta"))
 
 
 CATALOG = Catalog(("b",), (Field("c", "Date", desc="When"), Field("a", "Num", role="M"), Field("b", desc=" ")))

@@ -113,7 +113,7 @@ def test_tab_and_empty_delimiter(spark, folder):
 
 
 def test_missing_file_is_an_error(spark, folder):
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+    with pytest.raises(FileNotFoundError, match="Data file not found"):
         read_delimited(spark, str(folder / "none.csv"))
 
 
