@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -71,12 +72,36 @@ def _utc(instant: Column) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+# What each letter group of a layout looks like in text.
+_GROUPS = {
+    "yyyyMMdd": r"\d{8}",
+    "yyyy": r"\d{4}",
+    "MMM": r"[A-Za-z]{3}",
+    "M": r"\d{1,2}",
+    "d": r"\d{1,2}",
+    "HH": r"\d{2}",
+    "mm": r"\d{2}",
+    "ss": r"\d{2}",
+    "SSSSSSSSS": r"\d{1,9}",
+    "XXX": r"(?:Z|[+-]\d{2}:\d{2})",
+    "'T'": "T",
+}
+
+
+def _shape(layout: str) -> str:
+    """A pattern that text in the layout matches; cheaper to try than the layout itself."""
+    parts = re.findall("|".join(_GROUPS) + "|.", layout)
+    return "^" + "".join(_GROUPS.get(p) or re.escape(p) for p in parts) + "$"
+
+
 def _read_layout(value: Column, layout: str) -> Column:
     """Read text in one layout; where it carries no offset the text is taken as UTC."""
     if "X" in layout:
         instant = F.try_to_timestamp(value, F.lit(layout))
     else:
         instant = F.try_to_timestamp(F.concat(value, F.lit("Z")), F.lit(layout + "X"))
+    if layout in DATETIME_LAYOUTS:
+        return F.when(value.rlike(_shape(layout)), instant)
     return instant
 
 
@@ -120,12 +145,12 @@ def infer_layouts(
     firsts = df.agg(
         *(F.min_by(named(n), F.when(named(n).isNotNull(), position)).alias(f"f{i}") for i, n in enumerate(open_names))
     )
-    picks = [
-        F.coalesce(*(F.when(try_instant(F.col(f"f{i}"), one).isNotNull(), F.lit(one)) for one in DATETIME_LAYOUTS))
-        for i in range(len(open_names))
-    ]
-    row = firsts.select(*(p.alias(f"f{i}") for i, p in enumerate(picks))).first()
-    layouts.update({n: row[i] for i, n in enumerate(open_names)})
+    # One row per column, so that the layouts are spelled out once and not once per column.
+    cells = [F.struct(F.lit(i).alias("at"), F.col(f"f{i}").alias("first")) for i in range(len(open_names))]
+    first = F.col("first")
+    pick = F.coalesce(*(F.when(try_instant(first, one).isNotNull(), F.lit(one)) for one in DATETIME_LAYOUTS))
+    for row in firsts.select(F.inline(F.array(*cells))).select("at", pick.alias("layout")).collect():
+        layouts[open_names[row["at"]]] = row["layout"]
     return layouts
 
 

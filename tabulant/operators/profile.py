@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulant.catalog import Catalog, Field
 from tabulant.columns import first_row_keys, text
@@ -26,6 +27,16 @@ PROFILE_DDL = (
 _TOP_TYPE = "array<struct<value:string,freq:bigint>>"
 
 
+def shaped(partial: DataFrame) -> DataFrame:
+    """A partial profile with every column of the full one."""
+    schema = T.StructType.fromDDL(PROFILE_DDL)
+    cells = [
+        (F.col(f.name) if f.name in partial.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+    ]
+    filled = partial.select(*cells)
+    return filled.withColumn("top_values", F.coalesce("top_values", F.array().cast(_TOP_TYPE)))
+
+
 def _indexed_fields(df: DataFrame, catalog: Catalog) -> list[tuple[int, Field]]:
     return [(i, f) for i, f in enumerate(catalog.fields) if f.name in df.columns]
 
@@ -189,11 +200,9 @@ def profile(
     keyed = key_profile(df, catalog)
     if keyed is not None:
         parts.append(keyed)
-    result = df.sparkSession.createDataFrame([], PROFILE_DDL)
-    for part in parts:
-        result = result.unionByName(part, allowMissingColumns=True)
-    empty = F.array().cast(_TOP_TYPE)
-    return result.withColumn("top_values", F.coalesce("top_values", empty))
+    if not parts:
+        return df.sparkSession.createDataFrame([], PROFILE_DDL)
+    return reduce(DataFrame.unionByName, map(shaped, parts))
 
 
 def field_stats(profiled: DataFrame, names: Sequence[str | None]) -> DataFrame:

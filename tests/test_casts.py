@@ -1,9 +1,10 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabulant.functions.casts import infer_layouts, instant, iso_text, try_number
+from tabulant.functions.casts import DATETIME_LAYOUTS, _shape, infer_layouts, instant, iso_text, try_number
 
 NUMBERS = {
     "1": 1.0, " 1 ": 1.0, "+1": 1.0, "1.": 1.0, ".5": 0.5, "1e3": 1000.0, "-2.5E-1": -0.25,
@@ -39,16 +40,30 @@ DATES = [
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
-@pytest.mark.parametrize("texts,expected", DATES, ids=[str(t[0]) for t in DATES])
-def test_first_value_fixes_the_layout(spark, texts, expected, zone):
+def test_first_value_fixes_the_layout(spark, zone):
+    names = [f"t{i}" for i in range(len(DATES))]
+    depth = max(len(texts) for texts, _ in DATES)
+    cells = [[texts[i] if i < len(texts) else None for texts, _ in DATES] for i in range(depth)]
+    rows = spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(cells)], "i int, " + ", ".join(f"{n} string" for n in names)
+    )
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-        layout = infer_layouts(rows, ["t"], [F.col("i")])["t"]
-        got = [r.x for r in rows.select("i", instant(rows, "t", layout).alias("x")).orderBy("i").collect()]
+        layouts = infer_layouts(rows, names, [F.col("i")])
+        read = rows.select("i", *(instant(rows, n, layouts[n]).alias(n) for n in names)).orderBy("i").collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == expected
+    for name, (texts, expected) in zip(names, DATES):
+        assert [r[name] for r in read][: len(texts)] == expected, texts
+
+
+def test_shapes_fit_their_layouts():
+    texts = ["2024-1-05", "2024-01-05 10:20", "01/02/2024 10:20:30", "Jan 5 2024", "2024-01-01T10:00:00.123+02:00", "20240105", "2024"]
+    fits = [[i for i, one in enumerate(DATETIME_LAYOUTS) if re.search(_shape(one), t)] for t in texts]
+    assert [[DATETIME_LAYOUTS[i] for i in f] for f in fits] == [
+        ["yyyy-M-d"], ["yyyy-M-d HH:mm"], ["M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss"], ["MMM d yyyy"],
+        ["yyyy-M-d'T'HH:mm:ss.SSSSSSSSSXXX"], ["yyyyMMdd"], ["yyyy"],
+    ]
 
 
 def test_wall_clock_in_a_gap_survives_any_session_zone(spark):

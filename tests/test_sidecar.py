@@ -38,8 +38,11 @@ FieldDType|m
 """
 
 
-def parse(spark, text):
-    return parse_sidecars(spark.createDataFrame([("p", text)], "path string, text string")).first()
+def parse(spark, *texts):
+    """Parse texts in one go; one row, or one per text."""
+    named = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    rows = sorted(parse_sidecars(named).collect(), key=lambda r: int(r.path))
+    return rows if len(rows) > 1 else rows[0]
 
 
 def fields(row):
@@ -93,32 +96,38 @@ def test_compact_with_key_inside_the_first_descriptor(spark):
 
 
 def test_compact_oddities(spark):
-    one_key = parse(spark, "k,k2|a|Char50|About a|d,b|x,c|number|About c|M")
+    one_key, lost_name, shifted, character, other = parse(
+        spark,
+        "k,k2|a|Char50|About a|d,b|x,c|number|About c|M",
+        "k,a|Char|5|About a|D",
+        "k,l,X|Char|5||D",
+        "k,l,X|Character|desc|D",
+        "k,l,X|big decimal|desc|D",
+    )
     assert one_key.file_keys == ["k", "k2"]
     assert fields(one_key) == [("a", "Char", "50", "About a", "D"), ("c", "Num", "", "About c", "M")]
-    lost_name = parse(spark, "k,a|Char|5|About a|D")
     assert lost_name.file_keys == ["k", "a"] and lost_name.note
     assert fields(lost_name) == [("Char", "5", "", "About a", "D")]
-    shifted = parse(spark, "k,l,X|Char|5||D")
     assert fields(shifted) == [("X", "Char", "", "5", "D")] and shifted.note
-    assert fields(parse(spark, "k,l,X|Character|desc|D")) == [("X", "Char", "acter", "desc", "D")]
-    assert fields(parse(spark, "k,l,X|big decimal|desc|D")) == [("X", "Big Decimal", "", "desc", "D")]
-
-
-@pytest.mark.parametrize(
-    "text,reason",
-    [
-        ("", "empty"),
-        (" \n\n", "empty"),
-        ("a|b|c|d,e|f|g|h", "explicit file keys"),
-        ("a|b|c|d,", "at least one field"),
-        ("nothing here", "field definitions"),
-        ("k,l,a|b|c", "field definitions"),
-        ("FieldName|FieldType|FieldLength|FieldDesc|FieldDType|FileKey\n|num|||M|k", "empty FieldName"),
-    ],
-)
-def test_unusable(spark, text, reason):
-    assert reason in parse(spark, text).status
+    assert fields(character) == [("X", "Char", "acter", "desc", "D")]
+    assert fields(other) == [("X", "Big Decimal", "", "desc", "D")]
+
+
+UNUSABLE = [
+    ("", "empty"),
+    (" \n\n", "empty"),
+    ("a|b|c|d,e|f|g|h", "explicit file keys"),
+    ("a|b|c|d,", "at least one field"),
+    ("nothing here", "field definitions"),
+    ("k,l,a|b|c", "field definitions"),
+    ("FieldName|FieldType|FieldLength|FieldDesc|FieldDType|FileKey\n|num|||M|k", "empty FieldName"),
+]
+
+
+def test_unusable(spark):
+    texts = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(UNUSABLE)], "path string, text string")
+    for row in parse_sidecars(texts).collect():
+        assert UNUSABLE[int(row.path)][1] in row.status, row
 
 
 def test_discovery_and_loading(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulant.catalog import Catalog, Field
-from tabulant.operators.profile import PROFILE_DDL, duplicate_keys, field_stats as keep_stats, key_profile, profile
+from tabulant.operators.profile import duplicate_keys, field_stats as keep_stats, key_profile, profile, shaped
 from tabulant.operators.quality import findings, scorecard
 from tabulant.plans.load import load_and_profile
 from tabulant.sinks.exports import write_csv
@@ -248,7 +248,7 @@ def profile_date_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(key_sql("lineitem", LINEITEM.keys, len(LINEITEM.fields)))
 def key_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = key_profile(table(spark, sf_dir, "lineitem"), LINEITEM)
-    return flat(spark.createDataFrame([], PROFILE_DDL).unionByName(keyed, allowMissingColumns=True))
+    return flat(shaped(keyed))
 
 
 @query(
