@@ -11,7 +11,7 @@ from tabulant.catalog import Catalog
 from tabulant.columns import named
 
 # The number forms that count as readable.
-NUMBER_PATTERN = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(?i:inf(inity)?))\s*$"
+NUMBER_PATTERN = r"^(\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?(?i:inf(inity)?))$"
 
 # Date layouts tried in this order against a column's first value.
 DATETIME_LAYOUTS = (

@@ -113,4 +113,6 @@ def float_text(value: Column) -> Column:
     digits = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
     exponent = F.concat(mantissa, F.lit("e"), sign, digits)
     usual = (size >= 1e-3) & (size < 1e7) | (size == 0)
-    return F.when(usual, raw).when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent)
+    endless = F.when(value > 0, "inf").otherwise("-inf")
+    texts = F.when(usual, raw).when(size == F.lit(float("inf")), endless)
+    return texts.when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent)

@@ -8,7 +8,7 @@ from tabulant.functions.casts import DATETIME_LAYOUTS, _shape, infer_layouts, in
 
 NUMBERS = {
     "1": 1.0, " 1 ": 1.0, "+1": 1.0, "1.": 1.0, ".5": 0.5, "1e3": 1000.0, "-2.5E-1": -0.25,
-    "inf": float("inf"), "Infinity": float("inf"), "-Infinity": float("-inf"), "+inf": float("inf"),
+    "inf": float("inf"), "Infinity": float("inf"), "-Infinity": float("-inf"), "+inf": float("inf"), " inf": None,
     "1d": None, "1f": None, "1.5D": None, "1L": None, "nan": None, "NaN": None, "0x10": None, "0x1p3": None,
     "1,000": None, "1_000": None, "True": None, "": None, "  ": None, "1e400": None, "-1e400": None,
     "--1": None, "١": None, "12abc": None, ".": None, "1e": None,
