@@ -7,8 +7,9 @@ underscores are helpers (row order, typed companions) and never reach an export.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HELPER_PREFIX = "__"
 ORDINAL = "__ordinal__"
@@ -28,6 +29,40 @@ def text(df: DataFrame, name: str) -> Column:
     return named(name).cast("string")
 
 
+@dataclass(frozen=True)
+class SortKey:
+    """A computed sort key, nulls last; sorts store it, since comparing rows would recompute it."""
+
+    value: Column
+    ascending: bool = True
+
+
+Order = Sequence[Column | SortKey]
+
+
+def text_key(df: DataFrame, name: str, ascending: bool = True) -> Column | SortKey:
+    """Sort a column as text, nulls last."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return SortKey(text(df, name), ascending)
+    return named(name).asc_nulls_last() if ascending else named(name).desc_nulls_last()
+
+
+def with_sort_keys(df: DataFrame, order: Order) -> tuple[DataFrame, list[Column]]:
+    """Store computed keys in helper columns; returns the frame and the columns to sort by."""
+    stored, keys = {}, []
+    for i, key in enumerate(order):
+        if isinstance(key, SortKey):
+            stored[f"__sort{i}__"] = key.value
+            key = F.asc_nulls_last(f"__sort{i}__") if key.ascending else F.desc_nulls_last(f"__sort{i}__")
+        keys.append(key)
+    return (df.withColumns(stored) if stored else df), keys
+
+
+def order_rows(df: DataFrame, order: Order) -> DataFrame:
+    keyed, keys = with_sort_keys(df, order)
+    return keyed.orderBy(*keys).select(*map(named, df.columns))
+
+
 def row_order(df: DataFrame, tiebreak: Sequence[str] | None = None) -> list[Column]:
     """Columns fixing the row order: the given ones, else the ordinal, else every data column."""
     if tiebreak is None:

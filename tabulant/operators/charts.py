@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tabulant.columns import named, row_order
+from tabulant.columns import Order, named, order_rows, row_order
 from tabulant.functions.casts import number
 
 BINS = 10
@@ -61,7 +59,7 @@ def pie(df: DataFrame, dimension: str, measure: str, color: str | None = None) -
 
 
 def line(
-    df: DataFrame, dimension: str, measure: str, color: str | None = None, order: Sequence[Column] | None = None
+    df: DataFrame, dimension: str, measure: str, color: str | None = None, order: Order | None = None
 ) -> DataFrame:
     """Every point in row order."""
     value = number(df, measure)
@@ -69,7 +67,7 @@ def line(
     if color:
         parts.append(named(color).alias("color"))
     kept = df.where(value.isNotNull())
-    return kept.orderBy(*(order or row_order(kept))).select(*parts)
+    return order_rows(kept, order or row_order(kept)).select(*parts)
 
 
 def scatter(df: DataFrame, dimension: str, measure: str, color: str) -> DataFrame:
@@ -98,7 +96,7 @@ def chart_data(
     dimension: str | None,
     measure: str | None,
     color: str | None = None,
-    order: Sequence[Column] | None = None,
+    order: Order | None = None,
     bins: int = BINS,
 ) -> DataFrame:
     """The data of the named chart; a ``ValueError`` says what is missing."""

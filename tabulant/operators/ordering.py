@@ -12,7 +12,17 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulant.catalog import Catalog
-from tabulant.columns import ORDINAL, data_columns, named, row_order, text
+from tabulant.columns import (
+    ORDINAL,
+    Order,
+    data_columns,
+    named,
+    order_rows,
+    row_order,
+    text,
+    text_key,
+    with_sort_keys,
+)
 from tabulant.operators.filters import apply_grid_filters
 from tabulant.sources.snapshot import Snapshot, write_snapshot
 
@@ -31,13 +41,13 @@ def available_keys(df: DataFrame, catalog: Catalog) -> list[str]:
     return [k for k in catalog.keys if k in df.columns]
 
 
-def key_order(df: DataFrame, catalog: Catalog, tiebreak: Sequence[str] | None = None) -> list[Column]:
-    return [*(text(df, k).asc_nulls_last() for k in available_keys(df, catalog)), *row_order(df, tiebreak)]
+def key_order(df: DataFrame, catalog: Catalog, tiebreak: Sequence[str] | None = None) -> Order:
+    return [*(text_key(df, k) for k in available_keys(df, catalog)), *row_order(df, tiebreak)]
 
 
 def sort_by_keys(df: DataFrame, catalog: Catalog, tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Sort by the key columns that exist; without any the data stay as they are."""
-    return df.orderBy(*key_order(df, catalog, tiebreak)) if available_keys(df, catalog) else df
+    return order_rows(df, key_order(df, catalog, tiebreak)) if available_keys(df, catalog) else df
 
 
 def key_sort_status(df: DataFrame, catalog: Catalog) -> str:
@@ -61,42 +71,40 @@ def _sort_keys(df: DataFrame, model: SortModel | None) -> list[tuple[str, bool]]
     return keys
 
 
-def sort_order(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] | None = None) -> list[Column]:
-    keys = [text(df, n).asc_nulls_last() if up else text(df, n).desc_nulls_last() for n, up in _sort_keys(df, model)]
-    return [*keys, *row_order(df, tiebreak)]
+def sort_order(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] | None = None) -> Order:
+    return [*(text_key(df, name, up) for name, up in _sort_keys(df, model)), *row_order(df, tiebreak)]
 
 
 def sort_rows(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] | None = None) -> DataFrame:
-    return df.orderBy(*sort_order(df, model, tiebreak))
+    return order_rows(df, sort_order(df, model, tiebreak))
 
 
-def _leading(df: DataFrame, order: Sequence[Column], rows: int) -> DataFrame:
+def _leading(df: DataFrame, keys: Sequence[Column], rows: int) -> DataFrame:
     """At least the first ``rows`` rows: those of every partition, found without a shuffle."""
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.sortWithinPartitions(*order).withColumn("__within__", within)
+    placed = df.sortWithinPartitions(*keys).withColumn("__within__", within)
     return placed.where(F.col("__within__") < rows).drop("__within__")
 
 
-def rows_between(
-    df: DataFrame, order: Sequence[Column], start: int, stop: int, top_rows: int = TOP_ROWS
-) -> DataFrame:
+def rows_between(df: DataFrame, order: Order, start: int, stop: int, top_rows: int = TOP_ROWS) -> DataFrame:
     """Rows at positions ``start`` (0-based) up to ``stop`` in the given order, numbered from 1."""
     columns = data_columns(df)
+    keyed, keys = with_sort_keys(df, order)
     if stop > top_rows:
-        rows = write_snapshot(_leading(df, order, stop), order).slice(start, stop, columns)
+        rows = write_snapshot(_leading(keyed, keys, stop), keys).slice(start, stop, columns)
         return rows.withColumnRenamed(ORDINAL, RECORD)
     # At most ``top_rows`` rows are left here, so numbering them in one task is bounded.
-    rows = df.orderBy(*order).offset(start).limit(max(stop - start, 0))
-    position = (F.row_number().over(Window.orderBy(*order)) + start).cast("bigint")
+    rows = keyed.orderBy(*keys).offset(start).limit(max(stop - start, 0))
+    position = (F.row_number().over(Window.orderBy(*keys)) + start).cast("bigint")
     return rows.withColumn(RECORD, position).select(*map(named, columns), RECORD)
 
 
-def preview(df: DataFrame, rows: int, order: Sequence[Column] | None = None) -> DataFrame:
+def preview(df: DataFrame, rows: int, order: Order | None = None) -> DataFrame:
     """The first rows in the given order, by default the row order of the data."""
     return rows_between(df, order or row_order(df), 0, rows).orderBy(RECORD).drop(RECORD)
 
 
-def number_records(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def number_records(df: DataFrame, order: Order) -> DataFrame:
     """Add each row's 1-based position in the given order.
 
     The rows are range-sorted into a stored snapshot and numbered from its row counts, so no
@@ -154,7 +162,7 @@ def page_after(
         later.append(equal & (beyond | column.isNull()))
         equal = equal & (column == bound)
     ahead = reduce(or_, later) if later else F.lit(False)
-    return df.where(ahead).orderBy(*sort_order(df, sort_model, tiebreak)).limit(rows)
+    return order_rows(df.where(ahead), sort_order(df, sort_model, tiebreak)).limit(rows)
 
 
 def large_result_guard(df: DataFrame, preview_rows: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulant.columns import data_columns, named, row_order
+from tabulant.columns import Order, data_columns, named, order_rows, row_order
 from tabulant.functions.display import header, with_display_headers
 from tabulant.operators.ordering import RECORD, rows_between
 from tabulant.operators.profile import KEY_ROW
@@ -37,7 +37,7 @@ def write_csv(
     df: DataFrame,
     path: str,
     alphabetical: bool = False,
-    order: Sequence[Column] | None = None,
+    order: Order | None = None,
     single_file: bool = False,
 ) -> None:
     """Write every row and data column as CSV with a header.
@@ -45,13 +45,13 @@ def write_csv(
     Part files follow the row order. ``single_file`` brings all rows to one task and is only
     for results known to be small.
     """
-    rows = df.orderBy(*(order or row_order(df))).select(*map(named, data_columns(df)))
+    rows = order_rows(df, order or row_order(df)).select(*map(named, data_columns(df)))
     rows = sorted_columns(rows, alphabetical)
     _writer(rows.coalesce(1) if single_file else rows, ",").csv(path)
 
 
 def tsv_of_view(
-    df: DataFrame, columns: Sequence[str] | None, order: Sequence[Column] | None = None, limit: int = TSV_ROWS
+    df: DataFrame, columns: Sequence[str] | None, order: Order | None = None, limit: int = TSV_ROWS
 ) -> DataFrame:
     """The shown columns of the first rows, cleaned for pasting, as ``(position, line)``.
 
@@ -73,7 +73,7 @@ def write_tsv_of_view(
     df: DataFrame,
     path: str,
     columns: Sequence[str] | None,
-    order: Sequence[Column] | None = None,
+    order: Order | None = None,
     limit: int = TSV_ROWS,
 ) -> None:
     """Write the TSV of a view as one text file; the row limit keeps it small."""
@@ -82,11 +82,11 @@ def write_tsv_of_view(
 
 
 def write_tsv_of_frame(
-    df: DataFrame, path: str, columns: Sequence[str] | None = None, order: Sequence[Column] | None = None
+    df: DataFrame, path: str, columns: Sequence[str] | None = None, order: Order | None = None
 ) -> None:
     """Write the shown columns, all if none is known, with upper-case headers and normal quoting."""
     shown = [c for c in columns or () if c in data_columns(df)] or data_columns(df)
-    rows = df.orderBy(*(order or row_order(df))).select(*map(named, shown))
+    rows = order_rows(df, order or row_order(df)).select(*map(named, shown))
     _writer(with_display_headers(rows), "\t").csv(path)
 
 

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.columns import ORDINAL, named
+from tabulant.columns import ORDINAL, Order, named, order_rows
 from tabulant.storage import new_path
 
 # A file list up to this long is sent to every executor; a longer one is joined by shuffle.
@@ -82,13 +82,13 @@ def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     return Snapshot(spark, path, tuple(f for f, _ in ordered), tuple(offsets), total)
 
 
-def write_snapshot(df: DataFrame, order: Sequence[Column] | None = None, path: str | None = None) -> Snapshot:
+def write_snapshot(df: DataFrame, order: Order | None = None, path: str | None = None) -> Snapshot:
     """Write rows in the given order as parquet and open the result.
 
     The order columns stay out of the stored table unless they are data. Without a path the
     table goes below the session's shared folder.
     """
     target = path or new_path(df.sparkSession, "snapshot")
-    rows = df.orderBy(*order) if order else df
+    rows = order_rows(df, order) if order else df
     rows.drop(ORDINAL).write.mode("errorifexists").parquet(target)
     return open_snapshot(df.sparkSession, target)
