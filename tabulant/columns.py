@@ -58,7 +58,14 @@ def with_sort_keys(df: DataFrame, order: Order) -> tuple[DataFrame, list[Column]
     return (df.withColumns(stored) if stored else df), keys
 
 
+def own_order(df: DataFrame) -> Order:
+    """The row order the data carry; none for tables without one, which then need no sort."""
+    return [named(ORDINAL).asc_nulls_last()] if ORDINAL in df.columns else []
+
+
 def order_rows(df: DataFrame, order: Order) -> DataFrame:
+    if not order:
+        return df
     keyed, keys = with_sort_keys(df, order)
     return keyed.orderBy(*keys).select(*map(named, df.columns))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulant.columns import Order, named, order_rows, row_order
+from tabulant.columns import Order, named, order_rows, own_order
 from tabulant.functions.casts import number
 
 BINS = 10
@@ -67,7 +67,7 @@ def line(
     if color:
         parts.append(named(color).alias("color"))
     kept = df.where(value.isNotNull())
-    return order_rows(kept, order or row_order(kept)).select(*parts)
+    return order_rows(kept, order or own_order(kept)).select(*parts)
 
 
 def scatter(df: DataFrame, dimension: str, measure: str, color: str) -> DataFrame:

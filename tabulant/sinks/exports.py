@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulant.columns import Order, data_columns, named, order_rows, row_order
+from tabulant.columns import Order, data_columns, named, order_rows, own_order, row_order
 from tabulant.functions.display import header, with_display_headers
 from tabulant.operators.ordering import RECORD, rows_between
 from tabulant.operators.profile import KEY_ROW
@@ -45,7 +45,7 @@ def write_csv(
     Part files follow the row order. ``single_file`` brings all rows to one task and is only
     for results known to be small.
     """
-    rows = order_rows(df, order or row_order(df)).select(*map(named, data_columns(df)))
+    rows = order_rows(df, order or own_order(df)).select(*map(named, data_columns(df)))
     rows = sorted_columns(rows, alphabetical)
     _writer(rows.coalesce(1) if single_file else rows, ",").csv(path)
 
@@ -86,7 +86,7 @@ def write_tsv_of_frame(
 ) -> None:
     """Write the shown columns, all if none is known, with upper-case headers and normal quoting."""
     shown = [c for c in columns or () if c in data_columns(df)] or data_columns(df)
-    rows = order_rows(df, order or row_order(df)).select(*map(named, shown))
+    rows = order_rows(df, order or own_order(df)).select(*map(named, shown))
     _writer(with_display_headers(rows), "\t").csv(path)
 
 
