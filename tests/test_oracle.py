@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import workload
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -16,7 +16,7 @@ TABLES = (
     "conversations"
 ).split()
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = workload.queries(), workload.oracle_sql()
 
 
 @pytest.fixture(scope="module")
