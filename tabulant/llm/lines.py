@@ -29,6 +29,18 @@ def identity(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"))
 
 
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """``at, site, line_no, line_hash`` of every line that isn't blank.
+
+    All that needs the text is computed before the lines are dealt out, so that rows of lines don't
+    carry whole texts.
+    """
+    site = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
+    hashes = F.transform(F.split(docs["text"], "\n"), line_hash)
+    whole = docs.select(identity(docs["doc_id"], docs["text"]).alias("at"), site.alias("site"), hashes.alias("hashes"))
+    return whole.select("at", "site", F.posexplode("hashes").alias("line_no", "line_hash")).where("line_hash is not null")
+
+
 def boilerplate(docs: DataFrame, *, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """``line_hash, sites, keep`` for every line on at least ``min_sites`` sites.
 
@@ -40,11 +52,7 @@ def boilerplate(docs: DataFrame, *, min_sites: int = MIN_SITES, margin: float =
     leaves few lines to sketch. Sketches are merged by aggregation: a hot line costs one sketch a
     task. Lines near the threshold get exact counts from distinct (line, site) pairs.
     """
-    lines = docs.select(
-        identity(F.col("doc_id"), F.col("text")).alias("at"),
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("site"),
-        F.posexplode(F.transform(F.split("text", "\n"), line_hash)).alias("line_no", "line_hash"),
-    ).where("line_hash is not null")
+    lines = numbered_lines(docs)
     often = lines.groupBy("line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     often = stored(often.select("line_hash"), "often")
     common = lines.join(often, "line_hash")
@@ -77,13 +85,10 @@ def without_boilerplate(
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # The row travels as one struct, so that no column of the input meets a helper's name.
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), identity(docs["doc_id"], docs["text"]).alias("at"))
+    rows = docs.select(*[docs[f"`{c}`"] for c in names]).select(F.struct("*").alias("row"))
+    rows = rows.withColumn("at", identity(F.col("row.doc_id"), F.col("row.text")))
     found = stored(boilerplate(docs, min_sites=min_sites, margin=margin), "boilerplate")
-    occurrences = docs.select(
-        identity(docs["doc_id"], docs["text"]).alias("at"),
-        F.posexplode(F.transform(F.split(docs["text"], "\n"), line_hash)).alias("line_no", "line_hash"),
-    ).where("line_hash is not null")
-    removed = occurrences.join(found, "line_hash")
+    removed = numbered_lines(docs).join(found, "line_hash")
     if keep_first:
         removed = removed.where(~F.struct("at", "line_no").eqNullSafe(F.col("keep")))
     # Documents are known by id and text, so the numbers gathered here are those of one text's lines.
@@ -94,7 +99,7 @@ def without_boilerplate(
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines"))
     text = F.when(touched, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("row.text"))
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names],
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names],
         F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(touched, F.size("removed_lines")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -97,7 +97,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """
     names = docs.columns
     # The row travels as one struct, so that no column of the input meets a helper's name.
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
+    rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
     taken = mix(docs, **parameters).groupBy("doc_id", "text_hash", "source").agg(
         F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.first("size").alias("size")
@@ -112,4 +112,4 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     if "n_chars" in names:
         length = F.length(text).cast(docs.schema["n_chars"].dataType)
         changed["n_chars"] = F.when(cut, length).otherwise(F.col("row.n_chars"))
-    return read.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in names])
+    return read.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])

@@ -136,7 +136,7 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def sketch_rows(words: int, positions: int, rows: int, bands: int):
     """For mapInArrow: id, set size, set identity, band keys and the signature's low bytes."""
 
-    def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(ids: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(s) for s in sets], np.int64)
         some = lengths > 0
         best = np.zeros((len(sets), positions), U64)
@@ -155,24 +155,26 @@ def sketch_rows(words: int, positions: int, rows: int, bands: int):
         flat = pa.array(keys.reshape(-1).view(np.int64))
         offsets = pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+            [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lengths), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
              pa.ListArray.from_arrays(offsets, flat), low],
-            ["doc_id", "n_shingles", "set_one", "set_two", "bands", "low"],
+            ["doc_id", "text_hash", "n_shingles", "set_one", "set_two", "bands", "low"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, hashes, sets, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+            known = zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts_of(batch))
+            for doc_id, text_hash, text in known:
                 found = shingles(text, words)
                 if sets and held + len(found) > ELEMENTS:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, hashes, sets)
+                    ids, hashes, sets, held = [], [], [], 0
                 ids.append(doc_id)
+                hashes.append(text_hash)
                 sets.append(found)
                 held += len(found)
         if sets:
-            yield flush(ids, sets)
+            yield flush(ids, hashes, sets)
 
     return run
 
@@ -252,7 +254,7 @@ def likely_pairs(similarity: int, positions: int, best: int | None):
 def near_duplicates(
     docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILARITY, positions: int = POSITIONS
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, text_hash, n_shingles, component_id, kept``.
 
     A document's set holds its distinct runs of ``words`` words (blank-separated, A-Z as a-z); one with
     fewer words has a single run of all; one without words, or null, has none and links to
@@ -272,9 +274,10 @@ def near_duplicates(
     spark = docs.sparkSession
     python_ready(spark)
     rows, bands = banding(similarity, positions, MISS)
-    schema = "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>, low binary"
+    schema = "doc_id long, text_hash long, n_shingles long, set_one long, set_two long, bands array<long>, low binary"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stored(texts.mapInArrow(sketch_rows(words, positions, rows, bands), schema), "sketches")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    sketches = stored(hashed.mapInArrow(sketch_rows(words, positions, rows, bands), schema), "sketches")
     known = sketches.where("n_shingles > 0 and doc_id is not null")
 
     same = ["n_shingles", "set_one", "set_two"]
@@ -311,12 +314,24 @@ def near_duplicates(
             roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "roots")
     found = classes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    out = sketches.select("doc_id", *same).join(found, same, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
+    out = sketches.select("doc_id", "text_hash", *same).join(found, same, "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     )
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that stay if of each component only its smallest id does.
+
+    Columns stay as they are, whatever their names. Rows with null ids stay, and so do texts without
+    words. Rows that repeat an id and text count as one document and stay or go together.
+    """
+    gone = near_duplicates(docs, **parameters).where("not kept").select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
 def unsettled(members: DataFrame, low: DataFrame, roots: DataFrame, propose) -> DataFrame:
     """What ``propose`` finds in the blocks of all buckets that hold several components.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import lines, mixing, neardup
+from tabulant.llm import bpe, language, lines, mixing, neardup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_tokenizer() -> bpe.Tokenizer:
+    """The public lower-case word-end tokenizer that the queries use."""
+    import public_tokenizers
+
+    return bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_digests(docs: DataFrame, tokenizer: bpe.Tokenizer) -> DataFrame:
+    """How many tokens each document has, and hashes of them and of the text they decode to."""
+    spark = docs.sparkSession
+    encoded = docs.select("doc_id", bpe.encoder(spark, tokenizer)(F.coalesce("text", F.lit(""))).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", bpe.decoder(spark, tokenizer)(F.col("ids")).alias("decoded"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return token_digests(documents(spark, sf_dir), word_tokenizer())
+
+
 LINES_SQL = r"""
 WITH numbered AS (
     SELECT doc_id, coalesce('=' || source, '') AS site, line, line_no
@@ -54,6 +80,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, learned from three quarters of them."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, ~language.held_out(F.col("doc_id")))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 MIX_SQL = r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
@@ -99,4 +134,5 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
-    return neardup.near_duplicates(documents(spark, sf_dir), words=3, similarity=85)
+    found = neardup.near_duplicates(documents(spark, sf_dir), words=3, similarity=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
