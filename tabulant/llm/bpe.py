@@ -190,7 +190,7 @@ def encoder(spark: SparkSession, tokenizer: Tokenizer):
         for batch in batches:
             yield memory.encode(batch.to_pylist())
 
-    return F.arrow_udf(run, "array<int>", F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, "array<int>")
 
 
 def decoder(spark: SparkSession, tokenizer: Tokenizer):
@@ -211,7 +211,7 @@ def decoder(spark: SparkSession, tokenizer: Tokenizer):
             valid = batch.is_valid().to_numpy(zero_copy_only=False)
             yield pa.array([text(flat[offsets[k] : offsets[k + 1]]) if valid[k] else "" for k in range(len(batch))], pa.string())
 
-    return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, "string")
 
 
 def ids_text(ids: Column) -> Column:

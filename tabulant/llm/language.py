@@ -214,7 +214,7 @@ def labeller(model: Model):
         if parts:
             yield from cut(parts)
 
-    return F.arrow_udf(run, LABELS, F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, LABELS)
 
 
 def fit(docs: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> Model | None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import bpe, language, lines, mixing, neardup
+from tabulant.llm import ann, bpe, language, lines, mixing, neardup, topk, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return table.select("vec_id", F.col("embedding").alias("vector"))
+
+
+@query()
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth."""
+    vectors = embeddings(spark, sf_dir)
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query()
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, in 256ths."""
+    vectors = embeddings(spark, sf_dir).where(topk.usable(F.col("vector")))
+    scaled = vectors.select("vec_id", F.transform("vector", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return topk.best_inner_products(scaled, scaled.where("vec_id % 50 = 0"))
+
+
 def word_tokenizer() -> bpe.Tokenizer:
     """The public lower-case word-end tokenizer that the queries use."""
     import public_tokenizers
@@ -131,6 +151,31 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+URLS_SQL = r"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rest
+), rules(rule_host, rule_path, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+    SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        max_by(r.verdict, length(rule_host || rule_path)) AS verdict
+    FROM parts p JOIN rules r ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
+    GROUP BY page_id
+)
+SELECT p.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
+"""
+
+
+@query(URLS_SQL)
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by host and path rules."""
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query()
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""

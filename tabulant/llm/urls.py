@@ -150,7 +150,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, default: str = "
                 found += [int(k) for k in first]
             yield pa.array([None if k == len(ranked) else k for k in found], pa.int32())
 
-    which = F.arrow_udf(fitting, "int", F.ArrowUDFType.SCALAR_ITER)
+    which = F.arrow_udf(fitting, "int")
     host, path = host_and_path(pages["url"].cast("string"))
     parts = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
     known = parts.select("*", which(F.concat(F.lit("."), "host", "path")).alias("which"))
