@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulant.llm.shared import python_ready
+from tabulant.llm.shared import parts_of, python_ready
 
 #: Documents of each language that the model learns from, chosen by a hash of their id.
 SAMPLE_DOCS = 2000
@@ -98,10 +98,11 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for lang in set(langs):
-            words = Words([t for t, own in zip(texts, langs) if own == lang])
             total = counts.setdefault(lang, np.zeros(TRIPLES + N_SCRIPTS, np.int64))
-            total[:TRIPLES] += np.bincount(words.triples, minlength=TRIPLES)
-            total[TRIPLES:] += np.bincount(words.scripts, minlength=N_SCRIPTS)
+            for part in parts_of([t for t, own in zip(texts, langs) if own == lang]):
+                words = Words(part)
+                total[:TRIPLES] += np.bincount(words.triples, minlength=TRIPLES)
+                total[TRIPLES:] += np.bincount(words.scripts, minlength=N_SCRIPTS)
     for lang, total in counts.items():
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(total[some])], ["lang", "feature", "n"])
@@ -196,23 +197,28 @@ def labeller(model: Model):
             [pa.array(lang, pa.string()), pa.array(score), pa.ListArray.from_arrays(offsets, spans)], ["lang", "score", "spans"]
         )
 
-    def cut(parts: list[tuple[Words, np.ndarray]]) -> Iterator[pa.Array]:
-        whole, at = flush(parts), 0
-        for words, _ in parts:
-            yield whole.slice(at, len(words.per_doc))
-            at += len(words.per_doc)
-
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parts, held = [], 0
+        parts, rows, held = [], [], 0
+
+        def cut() -> Iterator[pa.Array]:
+            whole, at = flush(parts), 0
+            for n in rows:
+                yield whole.slice(at, n)
+                at += n
+
         for batch in batches:
-            words = Words(batch.to_pylist())
-            parts.append((words, model.word_scores(words)))
-            held += len(words.first) * len(model.langs)
+            if not len(batch):
+                parts.append((Words([]), model.word_scores(Words([]))))
+            for texts in parts_of(batch.to_pylist()):
+                words = Words(texts)
+                parts.append((words, model.word_scores(words)))
+                held += len(words.first) * len(model.langs)
+            rows.append(len(batch))
             if held > SCORES:
-                yield from cut(parts)
-                parts, held = [], 0
+                yield from cut()
+                parts, rows, held = [], [], 0
         if parts:
-            yield from cut(parts)
+            yield from cut()
 
     return F.arrow_udf(run, LABELS)
 

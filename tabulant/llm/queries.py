@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import ann, bpe, language, lines, mixing, neardup, topk, urls
+from tabulant.llm import ann, bpe, language, lines, materialise, mixing, neardup, quality, topk, urls
+from tabulant.storage import new_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -151,6 +152,23 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' words as two-byte ids in shuffled shards, and what these hold when read again."""
+    docs = documents(spark, sf_dir)
+    tokens = docs.select("doc_id", materialise.hashed_words(spark)(docs["text"]).alias("tokens"))
+    manifest = materialise.materialise(tokens, new_path(spark, "shards"))
+    return materialise.read_back(spark, manifest)
+
+
+@query()
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of three quarters of them."""
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~language.held_out(F.col("doc_id")))
+    return quality.score(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 URLS_SQL = r"""
 WITH rest AS (
     SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,6 +16,23 @@ BLANKS = " \t\n\x0b\f\r"
 TEXT_ROWS = 256
 
 
+#: Characters of text that Python code spreads out into arrays at a time.
+PART = 1_000_000
+
+
+def parts_of(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, in lists of about ``PART`` characters; a longer text stands alone."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text or "") > PART:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text or "")
+    if part:
+        yield part
+
+
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers import this library and keep their batches of texts small."""
     root = str(Path(__file__).resolve().parents[2])
