@@ -69,7 +69,7 @@ def test_spans_of_mixed_text_and_edges(spark, docs):
     assert by[None].lang == "en" and by[6].lang == "en" and by[6].score == 1.0
     df = docs(rows)
     kept = language.accepted(df, model)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 6] or kept.count() == 5
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 6, 6]
     assert language.identify(docs([]), model).collect() == [] and language.fit(docs([]), F.lit(True)) is None
     assert {r.lang for r in language.identify(df, None).collect()} == {"und"}
 
