@@ -228,13 +228,15 @@ def likely_pairs(similarity: int, positions: int, best: int | None):
 
     def run(table: pa.Table) -> pa.Table:
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        size, side = table.column("n_shingles").to_numpy(), table.column("asks").to_numpy()
+        size, shared = table.column("n_shingles").to_numpy(), table.column("shared").to_numpy()
+        side = table.column("asks").to_numpy()
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), U8).reshape(-1, positions)
         ask, answer = np.flatnonzero(side), np.flatnonzero(table.column("answers").to_numpy())
         out_a, out_b = [], []
         for k in ask:
-            # Exact: of two sets the smaller holds at least this share of the larger.
-            fits = 100 * np.minimum(size[answer], size[k]) >= similarity * np.maximum(size[answer], size[k])
+            # Exact: two sets have no more in common than the smaller one's elements that others have too.
+            most = np.minimum(shared[answer], shared[k])
+            fits = 100 * most >= similarity * (size[answer] + size[k] - most)
             there = answer[fits & (root[answer] != root[k])]
             if not len(there):
                 continue
@@ -265,7 +267,8 @@ def near_duplicates(
     banded by signature; in each bucket every member is compared with the bucket's first, and links
     are confirmed on full sets and joined into components. Buckets that still hold several
     components are then searched: by signature, in blocks, for each member's most similar ones, and
-    finally for every pair that may link. So links are lost only if a signature is off by over
+    finally for every pair that may link. Runs that only one set has, counted among all that are
+    left, rule most pairs out exactly. So links are lost only if a signature is off by over
     six standard errors, or (probability below ``MISS``) shares no band.
 
     Rows with a null id link to nothing, have a null ``component_id`` and are kept. Rows that repeat
@@ -305,7 +308,8 @@ def near_duplicates(
     links = stored(confirmed(firsts.join(size, "b").where(fits).select("a", "b")), "links")
     tried = firsts.select("a", "b")
     roots = stored(components(links), "roots")
-    for best in (4, 4, None):
+    low = stored(with_shared(members, roots, low, sets, similarity), "low")
+    for best in (4, None):
         pairs = unsettled(members, low, roots, likely_pairs(similarity, positions, best))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         new = stored(confirmed(pairs), "links")
@@ -332,27 +336,48 @@ def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     return rows.join(gone, same, "left_anti").select("row.*")
 
 
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, node, root, asks, n, n_ask`` of buckets that hold several components.
+
+    Members outside the component of a bucket's first one ask; ``n`` and ``n_ask`` count all and those.
+    """
+    own = roots.withColumnRenamed("root", "own")
+    tops = members.select("bucket", F.col("first").alias("node")).distinct().join(roots, "node", "left")
+    tops = tops.select("bucket", F.coalesce("root", "node").alias("top"))
+    placed = members.join(own, "node", "left").select("bucket", "node", F.coalesce("own", "node").alias("root"))
+    placed = placed.join(tops, "bucket").withColumn("asks", F.col("root") != F.col("top"))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_ask")).where("n_ask > 0")
+    return placed.join(split, "bucket").select("bucket", "node", "root", "asks", "n", "n_ask")
+
+
+def with_shared(members: DataFrame, roots: DataFrame, low: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Nodes of open buckets that can link at all, with how many of their elements other sets have too.
+
+    An element that one set alone has is in no intersection. A node whose id has several sets counts
+    all elements as shared.
+    """
+    open_ = stored(open_buckets(members, roots).select("node").distinct(), "open")
+    once = low.groupBy("node").agg(F.count("*").alias("sets")).where("sets = 1").select("node")
+    elements = sets.join(open_, "node", "left_semi").select("node", F.explode("members").alias("element"))
+    alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone")).join(once, "node", "left_semi")
+    known = low.join(open_, "node", "left_semi").join(alone, "node", "left")
+    shared = known.withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return shared.where(100 * F.col("shared") >= similarity * F.col("n_shingles"))
+
+
 def unsettled(members: DataFrame, low: DataFrame, roots: DataFrame, propose) -> DataFrame:
     """What ``propose`` finds in the blocks of all buckets that hold several components.
 
     Members outside a bucket's first component ask, all answer. Askers and answerers
     are cut into blocks of ``BLOCK``, and each pair of blocks is one group.
     """
-    placed = members.join(roots, "node", "left").select(
-        "bucket", "node", "first", F.coalesce("root", "node").alias("root")
-    )
-    tops = members.select("bucket", F.col("first").alias("node")).distinct().join(roots, "node", "left")
-    tops = tops.select("bucket", F.coalesce("root", "node").alias("top"))
-    placed = placed.join(tops, "bucket")
-    split = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.count_if(F.col("root") != F.col("top")).alias("n_ask")
-    ).where("n_ask > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = placed.join(split, "bucket").join(low, "node").withColumns({"own": F.xxhash64("node"), "asks": F.col("root") != F.col("top")})
+    rows = open_buckets(members, roots).join(low, "node").withColumn("own", F.xxhash64("node"))
     every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
     asking = rows.where("asks").withColumn("ask", F.pmod("own", blocks("n_ask"))).withColumn("answer", F.explode(every("n")))
     answering = rows.withColumn("answer", F.pmod("own", blocks("n"))).withColumn("ask", F.explode(every("n_ask")))
-    columns = ["bucket", "ask", "answer", "node", "root", "n_shingles", "low"]
+    columns = ["bucket", "ask", "answer", "node", "root", "n_shingles", "shared", "low"]
     both = asking.select(*columns, F.lit(True).alias("asks"), F.lit(False).alias("answers")).union(
         answering.select(*columns, F.lit(False).alias("asks"), F.lit(True).alias("answers"))
     )
