@@ -230,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int =
     chosen = known.where((chance < rate) & F.col("quality").isin(0, 1))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # The order decides how sums round, so it is fixed.
-    sample = texts.join(chosen, "doc_id").orderBy("doc_id", F.xxhash64("text")).select("text", F.col("quality").cast("int").alias("quality"))
+    # The sample's ids are as many as the parameter says, so they can go to every task.
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).select("text", F.col("quality").cast("int").alias("quality"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(described(b.column("text").to_pylist()), b.column("quality").to_numpy()) for b in batches if b.num_rows]
