@@ -1,7 +1,7 @@
 """Column naming rules shared by every operator.
 
-Names are matched exactly and case-sensitively. Columns whose name starts with two
-underscores are helpers (row order, typed companions) and never reach an export.
+Names are matched exactly and case-sensitively. Columns whose name starts with the helper
+prefix (row order, typed companions) never reach an export; data columns may have any other name.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-HELPER_PREFIX = "__"
-ORDINAL = "__ordinal__"
+HELPER_PREFIX = "__tabulant_"
+ORDINAL = HELPER_PREFIX + "ordinal__"
 
 
 def named(name: str) -> Column:
@@ -24,6 +24,15 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith(HELPER_PREFIX)]
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, numbered if the given columns have it already, upper and lower case alike."""
+    lowered, free, number = {t.lower() for t in taken}, name, 0
+    while free.lower() in lowered:
+        number += 1
+        free = f"{name}.{number}"
+    return free
+
+
 def text(df: DataFrame, name: str) -> Column:
     """The column as text, which is how values are matched, grouped and sorted."""
     return named(name).cast("string")
@@ -52,8 +61,9 @@ def with_sort_keys(df: DataFrame, order: Order) -> tuple[DataFrame, list[Column]
     stored, keys = {}, []
     for i, key in enumerate(order):
         if isinstance(key, SortKey):
-            stored[f"__sort{i}__"] = key.value
-            key = F.asc_nulls_last(f"__sort{i}__") if key.ascending else F.desc_nulls_last(f"__sort{i}__")
+            name = f"{HELPER_PREFIX}sort{i}__"
+            stored[name] = key.value
+            key = F.asc_nulls_last(name) if key.ascending else F.desc_nulls_last(name)
         keys.append(key)
     return (df.withColumns(stored) if stored else df), keys
 

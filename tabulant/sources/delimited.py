@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabulant.columns import ORDINAL, named
+from tabulant.columns import HELPER_PREFIX, ORDINAL, free_name, named
 from tabulant.functions.text import strip
 from tabulant.sources.records import split_records
 
@@ -36,11 +36,8 @@ NULL_TOKENS = (
     "null",
 )
 
-_RAW = "__raw__"
-
-# A file with quoted line ends is read by one task up to this size and split beyond it.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
+RAW = HELPER_PREFIX + "raw__"
+QUARANTINED = HELPER_PREFIX + "quarantined__"
 
 def null_tokens_to_null(value: Column) -> Column:
     return F.when(~value.isin(*NULL_TOKENS), value)
@@ -49,21 +46,24 @@ def null_tokens_to_null(value: Column) -> Column:
 def unique_headers(cells: list[str | None]) -> list[str]:
     """Name blank headers by position and number repeats: ``b``, ``b.1``, ``b.2``.
 
-    A numbered name never takes one that the header line itself uses.
+    Names that differ in case alone count as repeats, since Spark takes them for one. A numbered
+    name never takes one that the header line itself uses.
     """
     names = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(cells)]
-    taken, next_number = set(names), {}
-    result = list(names)
-    # Names that were given keep theirs before generated ones do.
-    for i in sorted(range(len(names)), key=lambda i: not cells[i]):
-        name = names[i]
-        if name not in next_number:
-            next_number[name] = 1
-            continue
-        while f"{name}.{next_number[name]}" in taken:
-            next_number[name] += 1
-        result[i] = f"{name}.{next_number[name]}"
-        taken.add(result[i])
+    if reserved := [n for n in names if n.lower().startswith(HELPER_PREFIX)]:
+        raise ValueError(f"Reserved column names: {reserved}")
+    result: list[str | None] = [None] * len(names)
+    # The first cell of each name keeps it; names that were given come before generated ones.
+    used: set[str] = set()
+    order = sorted(range(len(names)), key=lambda i: not cells[i])
+    for i in order:
+        if names[i].lower() not in used:
+            used.add(names[i].lower())
+            result[i] = names[i]
+    for i in order:
+        if result[i] is None:
+            result[i] = free_name(names[i], [*used])
+            used.add(result[i].lower())
     return result
 
 
@@ -89,7 +89,7 @@ def read_header(spark: SparkSession, path: str | list[str], delimiter: str = ","
         raise ValueError(f"No columns to read in {path}")
     cells = list(first[0])
     if cells[0]:
-        cells[0] = cells[0].lstrip("﻿")
+        cells[0] = cells[0].lstrip("\ufeff")
     return unique_headers(cells)
 
 
@@ -99,34 +99,35 @@ def _quoted_cell(delimiter: str) -> str:
     return rf'(?<=\A|{edge})"(?:[^"]++|"")*+"(?={edge}|\r?\z)'
 
 
-def files_by_quoting(
-    spark: SparkSession, path: str | list[str], delimiter: str = ",", whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> dict[str, list[str]]:
-    """Sort files by how they can be read: ``lines``, ``whole`` or ``records``.
+def survey_files(
+    spark: SparkSession, path: str | list[str], delimiter: str = ","
+) -> list[tuple[str, bool, str | None]]:
+    """``(file, open, first line)`` of every file, from one pass that ends in one row a file.
 
     A line is closed if dropping its well-formed quoted cells leaves no quote. Where every line
-    of a file is closed, each line is one record and the file is read by ``lines``. Others hold
-    cells that may run over a line end: small ones are read ``whole``, large ones by
-    ``records``. One row per file reaches the driver.
+    of a file is closed, each line is one record. Others may hold cells that run over a line end.
     """
     quote = F.col("value").contains('"')
-    is_open = F.when(quote, F.regexp_replace("value", _quoted_cell(delimiter), "").contains('"'))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), is_open.alias("open")
+    # A lone carriage return may be a line end to a reader of lines, so with a quote it counts as open.
+    value = F.regexp_replace("value", r"\r\z", "")
+    left = F.regexp_replace(value, _quoted_cell(delimiter), "")
+    is_open = F.when(quote, left.contains('"') | value.contains("\r"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        value.alias("value"),
+        is_open.alias("open"),
     )
-    found = lines.groupBy("file", "size").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open")).collect()
-    sorted_files: dict[str, list[str]] = {"lines": [], "whole": [], "records": []}
-    for row in sorted(found):
-        way = "lines" if not row["open"] else "whole" if row["size"] <= whole_file_bytes else "records"
-        sorted_files[way].append(unquote(row["file"]))
-    return sorted_files
+    first = F.min_by("value", F.when(strip(F.col("value")) != "", F.col("place")))
+    found = lines.groupBy("file").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open"), first.alias("first"))
+    return [(unquote(r["file"]), r["open"], r["first"]) for r in sorted(found.collect())]
 
 
 def _scan(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAW]])
     # Pruning columns inside the parser would hide rows with too many or too few cells.
     reader = _reader(spark, delimiter, multiline).schema(schema).option("header", True)
-    reader = reader.option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
+    reader = reader.option("columnNameOfCorruptRecord", RAW).option("columnPruning", False)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -136,15 +137,12 @@ def _scan(spark: SparkSession, path, names: list[str], delimiter: str, multiline
 
 
 def _scan_records(spark: SparkSession, files: list[str], names: list[str], delimiter: str) -> DataFrame:
-    """Read large files with quoted line ends in splits; a stray quote fails the job."""
+    """Read files with open quotes in splits, record by record."""
     record = F.regexp_replace("text", r"\r\z", "")
-    stray = F.regexp_replace(record, _quoted_cell(delimiter), "").contains('"')
-    message = F.concat(F.lit("Stray quote, read this file with multiline=True: "), F.col("file"))
-    sound = F.when(stray, F.raise_error(message).cast("string")).otherwise(record)
-    ddl = ",".join("`" + n.replace("`", "``") + "` string" for n in [*names, _RAW])
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _RAW, "multiLine": "true"}
-    records = split_records(spark, files).where(strip(F.col("text")) != "")
-    cells = records.select("file", "start", "id", F.from_csv(sound, ddl, options).alias("c"))
+    ddl = ",".join("`" + n.replace("`", "``") + "` string" for n in [*names, RAW])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": RAW, "multiLine": "true"}
+    records = split_records(spark, files, delimiter).where(strip(F.col("text")) != "")
+    cells = records.select("file", "start", "id", F.from_csv(record, ddl, options).alias("c"))
     return cells.select("c.*", F.struct("file", "start", "id").alias(ORDINAL))
 
 
@@ -155,23 +153,33 @@ def _is_long(raw: Column, width: int, delimiter: str) -> Column:
     return F.coalesce(cells > width, F.lit(False))
 
 
-def _scan_all(spark: SparkSession, path, names: list[str], delimiter: str, multiline: bool | str) -> DataFrame:
-    if multiline == "auto":
-        ways = files_by_quoting(spark, path, delimiter)
+def _scan_all(spark: SparkSession, path, delimiter: str, multiline: bool | str) -> tuple[list[str], DataFrame]:
+    """Column names and raw rows. Files must have the same columns, in any order."""
+    names = read_header(spark, path, delimiter)
+    if multiline != "auto":
+        scans = [_scan(spark, path, names, delimiter, bool(multiline))]
     else:
-        ways = {"whole" if multiline else "lines": path}
-    scans = []
-    if ways.get("lines"):
-        scans.append(_scan(spark, ways["lines"], names, delimiter, False))
-    if ways.get("whole"):
-        scans.append(_scan(spark, ways["whole"], names, delimiter, True))
-    if ways.get("records"):
-        scans.append(_scan_records(spark, ways["records"], names, delimiter))
+        ways: dict[tuple[bool, tuple[str, ...]], list[str]] = {}
+        surveyed = [one for one in survey_files(spark, path, delimiter) if one[2] is not None]
+        if len({first for _, _, first in surveyed}) > 1:
+            names = read_header(spark, surveyed[0][0], delimiter)
+        for line in dict.fromkeys(first for _, _, first in surveyed):
+            # Equal first lines are equal headers; one with an open quote is read from its file.
+            own = [(file, open_) for file, open_, first in surveyed if first == line]
+            header = names if len(surveyed) == len(own) else read_header(spark, own[0][0], delimiter)
+            if sorted(header) != sorted(names):
+                raise ValueError(f"Other columns than {names}: {header} in {own[0][0]}")
+            for file, open_ in own:
+                ways.setdefault((open_, tuple(header)), []).append(file)
+        scans = [
+            (_scan_records if open_ else _scan)(spark, sorted(files), list(header), delimiter, *([] if open_ else [False]))
+            for (open_, header), files in sorted(ways.items())
+        ]
     rows = reduce(DataFrame.unionByName, scans or [_scan(spark, path, names, delimiter, False)])
     # A blank line has no first cell either. Naming that cell keeps one real column in every
     # scan, without which Spark refuses to return the raw text.
-    blank = (strip(F.col(_RAW)) == "") & (strip(F.coalesce(named(names[0]), F.lit(""))) == "")
-    return rows.where(F.col(_RAW).isNull() | ~blank)
+    blank = (strip(F.col(RAW)) == "") & (strip(F.coalesce(named(names[0]), F.lit(""))) == "")
+    return names, rows.where(F.col(RAW).isNull() | ~blank)
 
 
 def read_delimited(
@@ -180,16 +188,15 @@ def read_delimited(
     """Read files with a header line; every column is text and null tokens are null.
 
     Short rows are padded with null and blank lines skipped. A row with more cells than the
-    header fails the job that meets it. ``multiline="auto"`` looks for quoted line ends first:
-    files without any are split at lines, and large files with some at records. ``True`` reads
-    every file in one task, ``False`` takes every line as a record. The result carries the file
-    order as an ordinal column.
+    header fails the job that meets it. Files may hold the same columns in different order.
+    ``multiline="auto"`` looks for open quotes first: files without any are split at lines, those
+    with some at records. ``True`` reads every file in one task, ``False`` takes every line as a
+    record. The result carries the file order as an ordinal column.
     """
     delimiter = delimiter or ","
-    names = read_header(spark, path, delimiter)
-    rows = _scan_all(spark, path, names, delimiter, multiline)
-    message = F.concat(F.lit(f"Expected {len(names)} cells, found more: "), F.col(_RAW))
-    checked = F.when(_is_long(F.col(_RAW), len(names), delimiter), F.raise_error(message).cast("boolean"))
+    names, rows = _scan_all(spark, path, delimiter, multiline)
+    message = F.concat(F.lit(f"Expected {len(names)} cells, found more: "), F.col(RAW))
+    checked = F.when(_is_long(F.col(RAW), len(names), delimiter), F.raise_error(message).cast("boolean"))
     kept = rows.where(F.coalesce(checked, F.lit(True)))
     return kept.select(*(null_tokens_to_null(named(n)).alias(n) for n in names), ORDINAL)
 
@@ -197,10 +204,9 @@ def read_delimited(
 def quarantine_long_rows(
     spark: SparkSession, path: str | list[str], delimiter: str | None = ",", multiline: bool | str = "auto"
 ) -> DataFrame:
-    """As ``read_delimited``, but rows too long stay, flagged, with their raw text in ``__raw__``."""
+    """As ``read_delimited``, but rows too long stay, flagged in ``QUARANTINED``, with their raw text in ``RAW``."""
     delimiter = delimiter or ","
-    names = read_header(spark, path, delimiter)
-    rows = _scan_all(spark, path, names, delimiter, multiline)
-    long = _is_long(F.col(_RAW), len(names), delimiter)
+    names, rows = _scan_all(spark, path, delimiter, multiline)
+    long = _is_long(F.col(RAW), len(names), delimiter)
     cells = [F.when(~long, null_tokens_to_null(named(n))).alias(n) for n in names]
-    return rows.select(*cells, ORDINAL, F.when(long, F.col(_RAW)).alias(_RAW), long.alias("__quarantined__"))
+    return rows.select(*cells, ORDINAL, F.when(long, F.col(RAW)).alias(RAW), long.alias(QUARANTINED))

@@ -1,56 +1,100 @@
-"""Records of large delimited files whose quoted cells hold line ends.
+"""Records of delimited files whose quoted cells may hold line ends.
 
-Such a file cannot be cut at any line end, since that may lie inside a cell. But the number of
-quotes before a line tells whether it starts inside one, and that number adds up over splits:
-each split is counted, the counts are summed in file order, and every split then finds its own
-record starts. Only a record that crosses a split border is put together elsewhere.
+Such a file cannot be cut at any line end, since that may lie inside a cell. Whether a line ends
+inside one depends on where it starts: a quote opens a cell only at a cell's border, and inside
+one it closes it unless doubled. So each line is a function on two states, outside and inside,
+and so is each run of lines. The functions of the splits are composed in file order; every
+split then knows how it starts and finds its own records, whatever stray quotes it holds. Only
+a record that crosses a split border is put together elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulant.functions.text import strip
 
 
-def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Lines with their split and place in it; carriage returns stay part of the line."""
+def _ends_inside(value: Column, delimiter: str) -> tuple[Column, Column]:
+    """Whether a line ends inside a quoted cell if it starts outside one, and if it starts inside."""
+    edge = re.escape(delimiter)
+    text = '(?:[^"]|"")*+'
+    # Cells up to an open one: quoted with whatever follows the closing quote, plain, or empty.
+    cells = rf'(?:(?:"{text}"[^{edge}]*+|[^{edge}"][^{edge}]*+)?+{edge})*+'
+    opened = rf'{cells}"{text}\z'
+    outside = value.rlike(rf"(?s)\A{opened}")
+    inside = value.rlike(rf'(?s)\A{text}(?:\z|"[^{edge}]*+{edge}{opened})')
+    return outside, inside
+
+
+def _lines(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
+    """Lines with their split and place in it; carriage returns stay part of the line.
+
+    ``fixed`` is the state after a line that leaves the same one whatever came before, else null;
+    ``flips`` is 1 for a line that turns each state into the other.
+    """
     lines = spark.read.option("lineSep", "\n").text(files)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.select(
+    outside, inside = _ends_inside(F.col("value"), delimiter)
+    plain = ~F.col("value").contains('"')
+    ends = lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
         "value",
-        (quotes % 2).alias("odd"),
+        F.when(plain, F.lit(False)).otherwise(outside).alias("outside"),
+        F.when(plain, F.lit(True)).otherwise(inside).alias("inside"),
+    )
+    return ends.select(
+        "file",
+        "start",
+        "id",
+        "value",
+        F.when(F.col("outside") == F.col("inside"), F.col("outside").cast("int")).alias("fixed"),
+        (F.col("outside") & ~F.col("inside")).cast("int").alias("flips"),
     )
 
 
+def _state(fixed: Column, flips: Column, flips_at_fixed: Column, before: Column) -> Column:
+    """The state after a run: from its last fixed state, or from before it, turned by the flips since."""
+    return (F.coalesce(fixed, before) + flips - F.coalesce(flips_at_fixed, F.lit(0))) % 2
+
+
 def _joined(parts: str, *order: str):
     """Texts of a group put together again in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, parts))), lambda p: p[parts]), "\n")
 
 
-def split_records(spark: SparkSession, files: list[str]) -> DataFrame:
-    """``(file, start, id, text)`` of every record but the headers, where all quotes pair up."""
-    lines = _lines(spark, files)
-    # One row per split, so summing a file's splits in one task is bounded by their number.
-    splits = lines.groupBy("file", "start").agg(F.sum("odd").alias("odds"))
-    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "start", "odds", F.coalesce(F.sum("odds").over(so_far), F.lit(0)).alias("before"))
-
-    # A split is what one read task holds, so sorting its lines in one task is bounded too.
+def split_records(spark: SparkSession, files: list[str], delimiter: str = ",") -> DataFrame:
+    """``(file, start, id, text)`` of every record but the headers."""
+    lines = _lines(spark, files, delimiter)
     in_split = Window.partitionBy("file", "start")
+    # A split is what one read task holds, so sorting its lines in one task is bounded.
     earlier = in_split.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.join(splits, ["file", "start"]).withColumn(
-        "begins", ((F.col("before") + F.coalesce(F.sum("odd").over(earlier), F.lit(0))) % 2 == 0).cast("int")
+    counted = lines.withColumn("flips_before", F.coalesce(F.sum("flips").over(earlier), F.lit(0)))
+    last_fixed = F.when(F.col("fixed").isNotNull(), F.struct("id", "fixed", (F.col("flips_before") + F.col("flips")).alias("at")))
+    counted = counted.withColumn("known", F.max(last_fixed).over(earlier))
+    # One row per split, so composing a file's splits in one task is bounded by their number.
+    splits = counted.groupBy("file", "start").agg(F.max(last_fixed).alias("known"), F.sum("flips").alias("flips"))
+    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("all_flips", F.coalesce(F.sum("flips").over(so_far), F.lit(0)))
+    at = F.when(F.col("known").isNotNull(), F.struct("start", F.col("known.fixed"), (F.col("all_flips") + F.col("known.at")).alias("at")))
+    splits = splits.withColumn("last", F.max(at).over(so_far))
+    before = _state(F.col("last.fixed"), F.col("all_flips"), F.col("last.at"), F.lit(0))
+    after = _state(F.col("known.fixed"), F.col("flips"), F.col("known.at"), F.col("before"))
+    splits = splits.withColumn("before", before).select("file", "start", "before", (after == 1).alias("split_ends_open"))
+
+    placed = counted.join(splits, ["file", "start"]).withColumn(
+        "begins",
+        (_state(F.col("known.fixed"), F.col("flips_before"), F.col("known.at"), F.col("before")) == 0).cast("int"),
     )
     through = in_split.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = placed.withColumn("record", F.sum("begins").over(through))
     records = numbered.groupBy("file", "start", "record").agg(
         _joined("value", "id").alias("text"),
         F.min("id").alias("id"),
-        ((F.first("before") + F.first("odds")) % 2 == 1).alias("split_ends_open"),
+        F.first("split_ends_open").alias("split_ends_open"),
     )
     header = F.min(F.when(strip(F.col("text")) != "", F.col("record"))).over(in_split)
     last = F.max("record").over(in_split)

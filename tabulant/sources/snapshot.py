@@ -14,13 +14,13 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.columns import ORDINAL, Order, named, order_rows
+from tabulant.columns import HELPER_PREFIX, ORDINAL, Order, named, order_rows
 from tabulant.storage import new_path
 
 # A file list up to this long is sent to every executor; a longer one is joined by shuffle.
 BROADCAST_FILES = 100_000
 
-_FILE, _INDEX = "__file__", "__index__"
+_FILE, _INDEX, _START = (HELPER_PREFIX + name for name in ("file__", "index__", "start__"))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -46,10 +46,10 @@ class Snapshot:
 
     def _positions(self, frame: DataFrame) -> DataFrame:
         located = frame.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX))
-        starts = self.spark.createDataFrame(list(zip(self.files, self.offsets)), f"{_FILE} string, start bigint")
+        starts = self.spark.createDataFrame(list(zip(self.files, self.offsets)), f"{_FILE} string, {_START} bigint")
         if len(self.files) <= BROADCAST_FILES:
             starts = F.broadcast(starts)
-        position = (F.col("start") + F.col(_INDEX) + 1).alias(ORDINAL)
+        position = (F.col(_START) + F.col(_INDEX) + 1).alias(ORDINAL)
         return located.join(starts, _FILE).select(*(named(c) for c in frame.columns if c != ORDINAL), position)
 
     def table(self, columns: Sequence[str] | None = None) -> DataFrame:

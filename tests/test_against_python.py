@@ -23,10 +23,10 @@ def test_delimited_files(spark, folder):
             if kind < 0.25:
                 token = rng.choice(NULL_TOKENS)
                 return token if rng.random() < 0.5 else f'"{token}"'
-            body = "".join(rng.choice(["a", "é", " ", sep, '"', "\n", "1", "\\", "'", "#"]) for _ in range(rng.randint(0, 8)))
+            body = "".join(rng.choice(["a", "é", " ", sep, '"', "\n", "\r", "\r\n", "1", "\\", "'", "#"]) for _ in range(rng.randint(0, 8)))
             if kind < 0.6:
                 return '"' + body.replace('"', '""') + '"'
-            return "".join(c for c in body if c not in (sep, '"', "\n"))
+            return "".join(c for c in body if c not in (sep, '"', "\n", "\r"))
 
         width = rng.randint(2, 5)
         rows = []

@@ -8,7 +8,7 @@ from tabulant.columns import ORDINAL
 from tabulant.operators.profile import profile
 from tabulant.plans.view import View, ViewSpec
 from tabulant.sinks.exports import profile_payload, tsv_of_view, write_csv, write_tsv_of_frame
-from tabulant.sources.delimited import quarantine_long_rows, read_delimited
+from tabulant.sources.delimited import QUARANTINED, RAW, quarantine_long_rows, read_delimited
 from tabulant.sources.snapshot import read_parquet, write_snapshot
 from tabulant.storage import new_path
 from workload.registry import Registry
@@ -79,7 +79,7 @@ def scan_ragged_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A separator that no line holds keeps the writer from quoting.
     lines.write.option("header", True).option("sep", "\x01").csv(path)
     rows = quarantine_long_rows(spark, path)
-    return rows.select("key", "priority", "status", F.col("__raw__").alias("raw"), F.col("__quarantined__").alias("quarantined"))
+    return rows.select("key", "priority", "status", F.col(RAW).alias("raw"), F.col(QUARANTINED).alias("quarantined"))
 
 
 @query("SELECT p_partkey, p_name FROM part")
@@ -149,3 +149,74 @@ def profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"stat_type": "$.stat_type", "row_count": "$.metrics.row_count"}
     names |= {"distinct_count": "$.metrics.distinct_count", "min_value": "$.metrics.min"}
     return kept.select("field_name", *(F.get_json_object("payload", at).alias(n) for n, at in names.items()))
+
+
+# Line ends of all kinds inside cells; the same expression in both engines.
+_LINE_ENDS = (
+    "CASE doc_id % 3 WHEN 0 THEN replace(text, {lf}, {cr} || {lf}) WHEN 1 THEN replace(text, {lf}, {cr}) ELSE text END"
+)
+
+
+@query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_LINE_ENDS.format(lf="chr(10)", cr="chr(13)")} AS text, source
+    FROM documents"""
+)
+def scan_quoted_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "crlf-csv")
+    text = F.expr(_LINE_ENDS.format(lf="char(10)", cr="char(13)")).alias("text")
+    writer = table(spark, sf_dir, "documents").select("doc_id", text, "source").write
+    writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_delimited(spark, path).drop(ORDINAL)
+
+
+_STRAY = """CASE p_partkey % 4 WHEN 0 THEN p_size || '" pipe' WHEN 1 THEN 'say "hi" now'
+    WHEN 2 THEN ' "z' || p_size || '"' ELSE '"a, b"' END"""
+
+
+@query(
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS part, CASE WHEN cell = '"a, b"' THEN 'a, b' ELSE cell END AS cell, p_brand AS brand
+    FROM (SELECT *, {_STRAY} AS cell FROM part)"""
+)
+def scan_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "stray-csv")
+    line = F.expr(f"p_partkey || ',' || {_STRAY} || ',' || p_brand").alias("part,cell,brand")
+    # Neither separator nor quote of the writer occurs, so that lines are written as they are.
+    table(spark, sf_dir, "part").select(line).write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return read_delimited(spark, path).drop(ORDINAL)
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS start, o_orderstatus AS record_number, o_orderpriority AS "__v",
+    CAST(o_custkey AS VARCHAR) AS "ID", CAST(o_orderkey + 1 AS VARCHAR) AS "id.1" FROM orders"""
+)
+def scan_header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "names-csv")
+    cells = "o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority || ',' || o_custkey || ',' || (o_orderkey + 1)"
+    lines = table(spark, sf_dir, "orders").select(F.expr(cells).alias("start,record_number,__v,ID,id"))
+    lines.write.option("header", True).option("sep", "\x01").csv(path)
+    snapshot = write_snapshot(read_delimited(spark, path), [F.col("start")])
+    return snapshot.frame().drop(ORDINAL)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def scan_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "mixed-csv")
+    customer = table(spark, sf_dir, "customer")
+    for rest, columns in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"])):
+        half = customer.where(F.col("c_custkey") % 2 == rest).select(*columns)
+        half.write.option("header", True).mode("append").csv(path)
+    return read_delimited(spark, path).drop(ORDINAL)
+
+
+_TWICE = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)"
+
+
+@query(
+    f"""SELECT CAST(0 AS BIGINT) AS position, 'L_ORDERKEY' || chr(9) || 'L_LINENUMBER' || chr(9) || 'L_PARTKEY' AS line UNION ALL
+    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey),
+    l_orderkey || chr(9) || l_linenumber || chr(9) || l_partkey FROM {_TWICE}"""
+)
+def export_tsv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    shown = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return tsv_of_view(lines.unionAll(lines).select(*shown), shown, [F.col(c) for c in shown])
