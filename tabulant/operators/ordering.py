@@ -6,6 +6,7 @@ Values sort as text, nulls last in both directions, and ties keep the row order
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -15,7 +16,9 @@ from tabulant.catalog import Catalog
 from tabulant.columns import (
     ORDINAL,
     Order,
+    HELPER_PREFIX,
     data_columns,
+    free_name,
     named,
     order_rows,
     row_order,
@@ -28,6 +31,12 @@ from tabulant.sources.snapshot import Snapshot, write_snapshot
 
 RECORD = "record_number"
 
+
+def record_name(columns: Sequence[str]) -> str:
+    """What the numbering is called next to these columns: ``record_number`` unless one has that name."""
+    return free_name(RECORD, columns)
+
+
 PAGE_ROWS = 500
 # Rows up to this position are taken by a bounded top-k, which one task merges from the first
 # rows of all others; later ones come from a sorted snapshot.
@@ -60,19 +69,28 @@ def key_sort_status(df: DataFrame, catalog: Catalog) -> str:
 SortModel = Sequence[Mapping[str, object]]
 
 
-def _sort_keys(df: DataFrame, model: SortModel | None) -> list[tuple[str, bool]]:
-    """Known columns of a grid sort model, each with whether it ascends."""
-    keys = []
-    for item in model or ():
-        if isinstance(item, Mapping):
-            name = str(item.get("colId", "")).strip()
-            if name and name in df.columns:
-                keys.append((name, str(item.get("sort", "asc")).strip().lower() != "desc"))
-    return keys
+@dataclass(frozen=True)
+class SortBy:
+    """One column to sort by."""
+
+    column: str
+    ascending: bool = True
+
+    @staticmethod
+    def parse(item: object) -> SortBy | None:
+        """Read an item of a grid sort model; only the word ``desc`` turns the order."""
+        asked = item if isinstance(item, Mapping) else {}
+        column, way = (str(asked.get(part, "")).strip() for part in ("colId", "sort"))
+        return SortBy(column, way.lower() != "desc") if column else None
+
+
+def sort_request(df: DataFrame, model: SortModel | None) -> list[SortBy]:
+    """The sorts a grid model asks for on columns the data have."""
+    return [by for by in map(SortBy.parse, model or ()) if by and by.column in df.columns]
 
 
 def sort_order(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] | None = None) -> Order:
-    return [*(text_key(df, name, up) for name, up in _sort_keys(df, model)), *row_order(df, tiebreak)]
+    return [*(text_key(df, by.column, by.ascending) for by in sort_request(df, model)), *row_order(df, tiebreak)]
 
 
 def sort_rows(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] | None = None) -> DataFrame:
@@ -82,26 +100,28 @@ def sort_rows(df: DataFrame, model: SortModel | None, tiebreak: Sequence[str] |
 def _leading(df: DataFrame, keys: Sequence[Column], rows: int) -> DataFrame:
     """At least the first ``rows`` rows: those of every partition, found without a shuffle."""
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.sortWithinPartitions(*keys).withColumn("__within__", within)
-    return placed.where(F.col("__within__") < rows).drop("__within__")
+    placed = df.sortWithinPartitions(*keys).withColumn(HELPER_PREFIX + "within__", within)
+    return placed.where(F.col(HELPER_PREFIX + "within__") < rows).drop(HELPER_PREFIX + "within__")
 
 
 def rows_between(df: DataFrame, order: Order, start: int, stop: int, top_rows: int = TOP_ROWS) -> DataFrame:
     """Rows at positions ``start`` (0-based) up to ``stop`` in the given order, numbered from 1."""
     columns = data_columns(df)
+    record = record_name(columns)
     keyed, keys = with_sort_keys(df, order)
     if stop > top_rows:
         rows = write_snapshot(_leading(keyed, keys, stop), keys).slice(start, stop, columns)
-        return rows.withColumnRenamed(ORDINAL, RECORD)
+        return rows.withColumnRenamed(ORDINAL, record)
     # At most ``top_rows`` rows are left here, so numbering them in one task is bounded.
     rows = keyed.orderBy(*keys).offset(start).limit(max(stop - start, 0))
     position = (F.row_number().over(Window.orderBy(*keys)) + start).cast("bigint")
-    return rows.withColumn(RECORD, position).select(*map(named, columns), RECORD)
+    return rows.withColumn(record, position).select(*map(named, columns), named(record))
 
 
 def preview(df: DataFrame, rows: int, order: Order | None = None) -> DataFrame:
     """The first rows in the given order, by default the row order of the data."""
-    return rows_between(df, order or row_order(df), 0, rows).orderBy(RECORD).drop(RECORD)
+    record = record_name(data_columns(df))
+    return rows_between(df, order or row_order(df), 0, rows).orderBy(named(record)).drop(record)
 
 
 def number_records(df: DataFrame, order: Order) -> DataFrame:
@@ -111,7 +131,7 @@ def number_records(df: DataFrame, order: Order) -> DataFrame:
     task ever sees more than its own part.
     """
     snapshot = write_snapshot(df, order)
-    return snapshot.frame().withColumnRenamed(ORDINAL, RECORD)
+    return snapshot.frame().withColumnRenamed(ORDINAL, record_name(data_columns(df)))
 
 
 def page(
@@ -133,7 +153,8 @@ def page(
 
 def page_of_snapshot(snapshot: Snapshot, start: int = 0, end: int | None = None) -> DataFrame:
     """A page in stored order: only the files holding it are read, however deep it lies."""
-    return snapshot.slice(start, end or start + PAGE_ROWS).withColumnRenamed(ORDINAL, RECORD)
+    rows = snapshot.slice(start, end or start + PAGE_ROWS)
+    return rows.withColumnRenamed(ORDINAL, record_name(data_columns(rows)))
 
 
 def page_after(
@@ -149,7 +170,7 @@ def page_after(
     """
     if tiebreak is None:
         tiebreak = [ORDINAL] if ORDINAL in df.columns else data_columns(df)
-    keys = [(text(df, n), n, up, True) for n, up in _sort_keys(df, sort_model)]
+    keys = [(text(df, by.column), by.column, by.ascending, True) for by in sort_request(df, sort_model)]
     keys += [(named(n), n, True, False) for n in tiebreak]
     later, equal = [], F.lit(True)
     for column, name, up, as_text in keys:
@@ -165,12 +186,14 @@ def page_after(
     return order_rows(df.where(ahead), sort_order(df, sort_model, tiebreak)).limit(rows)
 
 
-def large_result_guard(df: DataFrame, preview_rows: int) -> DataFrame:
+def large_result_guard(
+    df: DataFrame, preview_rows: int, most_rows: int = GUARD_ROWS, most_cells: int = GUARD_CELLS
+) -> DataFrame:
     """Whether a result is too large to show whole, with its size and the warning."""
     width = len(data_columns(df))
     sized = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("total_columns", F.lit(width).cast("bigint"))
     cells = F.col("total_rows") * F.col("total_columns")
-    blocked = (F.col("total_rows") > GUARD_ROWS) | (cells > GUARD_CELLS)
+    blocked = (F.col("total_rows") > most_rows) | (cells > most_cells)
     counts = [F.format_number(c, 0) for c in (F.col("total_rows"), F.col("total_columns"), F.lit(preview_rows))]
     message = F.concat(
         F.lit("Large result guard active: "),

@@ -10,6 +10,7 @@ from tabulant.operators.filters import (
     apply_value_and_range_filters,
     drill_through as keep_clicked,
 )
+from tabulant.catalog import Catalog, Field
 from workload.registry import Registry
 from workload.tables import CUSTOMER, DOCUMENTS, LINEITEM, MESSY_EVENTS_SQL, ORDERS, PART, READ_SQL, messy_events, table
 
@@ -171,3 +172,20 @@ def filter_in_list_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.concat(F.lit(" "), F.col("o_orderstatus")))
     kept = apply_value_and_range_filters(padded, ORDERS, [("o_orderstatus", ["O"])], [], trim=True)
     return kept.select("o_orderkey", F.trim("o_orderstatus").alias("o_orderstatus"))
+
+
+_FAR = 1234567890123456789
+
+
+@query(
+    f"""SELECT o_orderkey + {_FAR} AS far_key, o_orderstatus FROM orders
+    WHERE o_orderkey IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) OR o_orderkey % 100 = 7"""
+)
+def filter_in_list_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    far = orders.select((F.col("o_orderkey") + F.lit(_FAR)).alias("far_key"), "o_orderkey", "o_orderstatus")
+    catalog = Catalog(("far_key",), (Field("far_key", "Char", "", "Key", "D"),))
+    asked = [str(_FAR + k) for k in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)] + ["99999999999999999999", f"0{_FAR}"]
+    kept = apply_value_and_range_filters(far, catalog, [("far_key", asked)], [])
+    others = far.where("o_orderkey % 100 = 7 AND o_orderkey NOT IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+    return kept.unionAll(others).select("far_key", "o_orderstatus")
