@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulant.catalog import Catalog
-from tabulant.columns import named
+from tabulant.columns import HELPER_PREFIX, named
 
 # The number forms that count as readable.
 NUMBER_PATTERN = r"^(\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?(?i:inf(inity)?))$"
@@ -39,11 +39,13 @@ DATETIME_LAYOUTS = (
 )
 
 # The range of instants a 64-bit nanosecond clock can hold.
-EARLIEST = "1677-09-21 00:12:43.145225"
-LATEST = "2262-04-11 23:47:16.854775"
+NANOSECOND_CLOCK = ("1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775")
 
-NUMBER_COMPANION = "__num__"
-INSTANT_COMPANION = "__ts__"
+# The first and last instant that count as readable; None for all.
+Bounds = tuple[str, str] | None
+
+NUMBER_COMPANION = HELPER_PREFIX + "num__"
+INSTANT_COMPANION = HELPER_PREFIX + "ts__"
 
 
 def try_number(value: Column) -> Column:
@@ -105,24 +107,29 @@ def _read_layout(value: Column, layout: str) -> Column:
     return instant
 
 
-def try_instant(value: Column, layout: str | None = None) -> Column:
+def _within(value: Column, bounds: Bounds) -> Column:
+    return F.when(value.between(*(F.lit(b).cast("timestamp_ntz") for b in bounds)), value) if bounds else value
+
+
+def try_instant(value: Column, layout: str | None = None, bounds: Bounds = None) -> Column:
     """Read text as a UTC wall clock in the given layout, or in the first layout that fits each value."""
     layouts = DATETIME_LAYOUTS if layout is None else (layout,)
-    parsed = _utc(F.coalesce(*(_read_layout(value, one) for one in layouts)))
-    bounds = [F.lit(b).cast("timestamp_ntz") for b in (EARLIEST, LATEST)]
-    return F.when(parsed.between(*bounds), parsed)
+    return _within(_utc(F.coalesce(*(_read_layout(value, one) for one in layouts))), bounds)
 
 
-def instant(df: DataFrame, name: str, layout: str | None = None) -> Column:
-    """A column's instant: its typed companion, its own type, or its text parsed."""
+def instant(df: DataFrame, name: str, layout: str | None = None, bounds: Bounds = None) -> Column:
+    """A column's instant: its typed companion, its own type, or its text parsed.
+
+    Text and typed columns keep every date, or those within ``bounds``.
+    """
     if INSTANT_COMPANION + name in df.columns:
-        return named(INSTANT_COMPANION + name)
+        return _within(named(INSTANT_COMPANION + name), bounds)
     own = df.schema[name].dataType
     if isinstance(own, (T.TimestampNTZType, T.DateType)):
-        return named(name).cast("timestamp_ntz")
+        return _within(named(name).cast("timestamp_ntz"), bounds)
     if isinstance(own, T.TimestampType):
-        return _utc(named(name))
-    return try_instant(named(name).cast("string"), layout)
+        return _within(_utc(named(name)), bounds)
+    return try_instant(named(name).cast("string"), layout, bounds)
 
 
 def needs_layout(df: DataFrame, name: str) -> bool:

@@ -76,17 +76,24 @@ def scatter(df: DataFrame, dimension: str, measure: str, color: str) -> DataFram
 
 
 def histogram(df: DataFrame, dimension: str, measure: str, bins: int = BINS) -> DataFrame:
-    """Counts per dimension value and equal-width bin; bins are half-open but for the last."""
+    """Counts per dimension value and equal-width bin; bins are half-open but for the last.
+
+    Bounds are those of the finite values. Infinite ones have bins of their own, -1 below the others
+    and ``bins`` above, whose two ends are infinite.
+    """
     points = _points(df, dimension, measure, None)
-    bounds = df.agg(F.min(number(df, measure)).alias("lo"), F.max(number(df, measure)).alias("hi"))
+    infinite = F.lit(float("inf"))
+    finite = F.when(F.abs(number(df, measure)) < infinite, number(df, measure))
+    bounds = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     width = (hi - lo) / float(bins)
     at = F.coalesce(F.floor((F.col("measure") - lo) / F.when(width > 0, width)), F.lit(0))
-    counted = points.groupBy("dimension", F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    low = lo + F.col("bin") * width
-    high = F.when(F.col("bin") == bins - 1, hi).otherwise(lo + (F.col("bin") + 1) * width)
+    beyond = F.when(F.col("measure") == infinite, F.lit(bins)).when(F.col("measure") == -infinite, F.lit(-1))
+    place = beyond.otherwise(F.least(at, F.lit(bins - 1)).cast("int"))
+    counted = points.groupBy("dimension", place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    outer = F.when(F.col("bin") == bins, infinite).when(F.col("bin") == -1, -infinite)
+    low = outer.otherwise(lo + F.col("bin") * width)
+    high = outer.when(F.col("bin") == bins - 1, hi).otherwise(lo + (F.col("bin") + 1) * width)
     return counted.select("dimension", "bin", low.alias("bin_low"), high.alias("bin_high"), "count")
 
 

@@ -9,28 +9,28 @@ from tabulant.functions.casts import number
 from tabulant.functions.display import display_number, float_text
 from tabulant.functions.text import strip
 
-VALUES_SHOWN = 2500
 RANGES = 10
 
 
-def dimension_values(df: DataFrame, name: str, limit: int = VALUES_SHOWN) -> DataFrame:
-    """Distinct trimmed values in order, blanks left out: the first ``limit`` of them."""
+def dimension_values(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """Distinct trimmed values in order, blanks left out: all, or the first ``limit`` of them."""
     if name not in df.columns:
         return df.sparkSession.createDataFrame([], "value string")
     values = df.select(strip(text(df, name)).alias("value")).where(F.col("value") != "")
-    return values.distinct().orderBy("value").limit(limit)
+    listed = values.distinct().orderBy("value")
+    return listed if limit is None else listed.limit(limit)
 
 
 def measure_ranges(df: DataFrame, name: str, ranges: int = RANGES) -> DataFrame:
     """Equal-width ranges from minimum to maximum, with typed bounds, expression and label.
 
-    One range where all values are equal, none where no value is readable.
+    One range where all values are equal, none where no value is readable. Infinite values are in no range.
     """
     if name not in df.columns:
         return df.sparkSession.createDataFrame(
             [], "position int, low double, high double, expression string, label string"
         )
-    values = df.select(number(df, name).alias("x"))
+    values = df.select(number(df, name).alias("x")).where(F.abs("x") < float("inf"))
     bounds = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("lo").isNotNull())
     last = F.when(F.col("lo") == F.col("hi"), 0).otherwise(ranges - 1)
     step = (F.col("hi") - F.col("lo")) / float(ranges)

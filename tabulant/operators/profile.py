@@ -14,6 +14,8 @@ from tabulant.operators.median import RANKED_VALUES, exact_medians
 
 KEY_ROW = "__FILEKEY__"
 DUPLICATE_KEYS_SHOWN = 10
+# Parts in which a field's values are ranked before the leading ones of all parts are.
+RANK_BUCKETS = 64
 
 PROFILE_DDL = (
     "field_name string, ordinal int, stat_type string,"
@@ -55,7 +57,12 @@ def value_frequencies(df: DataFrame, columns: Mapping[int, Column]) -> DataFrame
 def top_values(frequencies: DataFrame, top_n: int) -> DataFrame:
     """The most frequent values per field as one array, ties in value order, null last."""
     order = [F.desc("freq"), F.asc_nulls_last("value")]
-    ranked = frequencies.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
+    # A value among a field's first is among the first of its own bucket, so no task ranks a whole field.
+    bucket = F.pmod(F.xxhash64("value"), F.lit(RANK_BUCKETS))
+    by_bucket = Window.partitionBy("field", "bucket").orderBy(*order)
+    leading = frequencies.withColumn("bucket", bucket).withColumn("place", F.row_number().over(by_bucket))
+    leading = leading.where(F.col("place") <= top_n).drop("bucket", "place")
+    ranked = leading.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
     first = ranked.where(F.col("rank") <= top_n).groupBy("field").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked")
     )
@@ -146,7 +153,7 @@ def _ranked_duplicates(frequencies: DataFrame, width: int, limit: int) -> DataFr
     return first.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), signature.alias("value"), "freq")
 
 
-def key_profile(df: DataFrame, catalog: Catalog) -> DataFrame | None:
+def key_profile(df: DataFrame, catalog: Catalog, duplicates: int = DUPLICATE_KEYS_SHOWN) -> DataFrame | None:
     """The key's profile row, or None where a key column is absent or no key is declared."""
     keys = catalog.keys
     if not keys or not set(keys) <= set(df.columns):
@@ -157,7 +164,7 @@ def key_profile(df: DataFrame, catalog: Catalog) -> DataFrame | None:
         F.count(F.lit(1)).alias("unique_key_count"),
         F.count_if(F.col("freq") > 1).alias("duplicate_key_count"),
     )
-    first = _ranked_duplicates(frequencies, len(keys), DUPLICATE_KEYS_SHOWN).agg(
+    first = _ranked_duplicates(frequencies, len(keys), duplicates).agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked")
     )
     shown = F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.freq.alias("freq")))
@@ -181,10 +188,11 @@ def profile(
     order: Sequence[Column] | None = None,
     layouts: Mapping[str, str] | None = None,
     ranked_values: int = RANKED_VALUES,
+    duplicates: int = DUPLICATE_KEYS_SHOWN,
 ) -> DataFrame:
     """Profile every declared field present in the data, plus the key.
 
-    ``order`` says which row comes first, which decides how date text is read; it defaults to
+    The key's row lists its ``duplicates`` most frequent repeated values. ``order`` says which row comes first, which decides how date text is read; it defaults to
     the key columns as text, then the row order of the data.
     """
     fields = _indexed_fields(df, catalog)
@@ -197,7 +205,7 @@ def profile(
         parts.append(character_profile(df, plain, top_n))
     if typed:
         parts.append(typed_profile(df, typed, order, layouts, ranked_values))
-    keyed = key_profile(df, catalog)
+    keyed = key_profile(df, catalog, duplicates)
     if keyed is not None:
         parts.append(keyed)
     if not parts:
@@ -205,7 +213,7 @@ def profile(
     return reduce(DataFrame.unionByName, map(shaped, parts))
 
 
-def field_stats(profiled: DataFrame, names: Sequence[str | None]) -> DataFrame:
-    """Profile rows of the chosen fields, with at most ten top values each."""
-    wanted = [n for n in names if n]
-    return profiled.where(F.col("field_name").isin(wanted)).withColumn("top_values", F.slice("top_values", 1, 10))
+def field_stats(profiled: DataFrame, names: Sequence[str | None], values: int | None = None) -> DataFrame:
+    """Profile rows of the chosen fields, with all their top values or the first ones."""
+    chosen = profiled.where(F.col("field_name").isin([n for n in names if n]))
+    return chosen if values is None else chosen.withColumn("top_values", F.slice("top_values", 1, values))

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulant.operators.profile import KEY_ROW
 
-FINDINGS_SHOWN = 25
-WARNINGS_SHOWN = 3
-
 # Finding texts.
 DUPLICATES = "Detected %d duplicate key combinations in FileKey columns."
 MISSINGNESS = "Average null ratio exceeds 10%; review missingness patterns."
@@ -62,8 +59,14 @@ def _finding(source: DataFrame, place: int, rule: str, message: Column) -> DataF
     )
 
 
-def findings(profiled: DataFrame, catalogs: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Ranked findings ``(rank, rule, finding)``, or the all-clear.
+def findings(
+    profiled: DataFrame,
+    catalogs: DataFrame,
+    warnings: DataFrame,
+    most: int | None = None,
+    most_warnings: int | None = None,
+) -> DataFrame:
+    """Ranked findings ``(rank, rule, finding)``, or the all-clear; all of them, or the first ones.
 
     ``catalogs`` holds the declared fields and ``warnings`` the ranked schema warnings. All
     inputs have one row per field, so ranking them needs one small window.
@@ -93,7 +96,7 @@ def findings(profiled: DataFrame, catalogs: DataFrame, warnings: DataFrame) -> D
         _finding(
             undescribed.where(F.col("n") > 0), 6, "missing_descriptions", F.format_string(DESCRIPTIONS, F.col("n"))
         ),
-        warnings.orderBy("rank").limit(WARNINGS_SHOWN).select(
+        (warnings if most_warnings is None else warnings.orderBy("rank").limit(most_warnings)).select(
             F.lit(7).alias("place"),
             F.col("rank").cast("int").alias("within"),
             F.lit("schema_warning").alias("rule"),
@@ -106,5 +109,6 @@ def findings(profiled: DataFrame, catalogs: DataFrame, warnings: DataFrame) -> D
         every = every.unionByName(rule)
     rank = F.row_number().over(Window.orderBy("place", "within"))
     ranked = every.withColumn("rank", rank)
-    kept = ranked.where((F.col("rule") != "all_clear") | (F.col("rank") == 1)).where(F.col("rank") <= FINDINGS_SHOWN)
+    kept = ranked.where((F.col("rule") != "all_clear") | (F.col("rank") == 1))
+    kept = kept if most is None else kept.where(F.col("rank") <= most)
     return kept.select("rank", "rule", "finding")

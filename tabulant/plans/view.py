@@ -32,7 +32,7 @@ class ViewSpec:
 
 @dataclass(frozen=True)
 class View:
-    """Lazy: nothing runs until one of its DataFrames does."""
+    """A filtered table. Building it runs nothing; numbering and storing its rows do, when asked for."""
 
     source: DataFrame
     catalog: Catalog
@@ -66,9 +66,9 @@ class View:
         """Size of the view, and whether it is too large to show whole."""
         return large_result_guard(self.filtered, self.spec.preview_rows)
 
-    def snapshot(self, path: str | None = None) -> Snapshot | None:
-        """Store the kept rows for paging if the guard fires; a small view needs no snapshot."""
-        return write_snapshot(self.filtered, self._order(), path) if self.counts().first()["blocked"] else None
+    def snapshot(self, path: str | None = None) -> Snapshot:
+        """Store the kept rows in order once; pages of any depth then read only the files that hold them."""
+        return write_snapshot(self.filtered, self._order(), path)
 
     def numbered(self) -> DataFrame:
         return number_records(self.filtered, self._order())
@@ -78,18 +78,16 @@ class View:
 
 
 def fetch_page(
-    snapshot: Snapshot | None,
+    snapshot: Snapshot,
     filter_model: Mapping[str, object] | None = None,
     sort_model: Sequence[Mapping[str, object]] | None = None,
     start: int = 0,
     end: int | None = None,
-) -> tuple[DataFrame, int | DataFrame] | None:
-    """Serve one page of a stored view; None where there is none.
+) -> tuple[DataFrame, int | DataFrame]:
+    """Serve one page of a stored view.
 
     Without filter and sort the page is cut straight out of the stored order.
     """
-    if snapshot is None:
-        return None
     if not filter_model and not sort_model:
         return page_of_snapshot(snapshot, start, end), snapshot.row_count
     return page(snapshot.frame(), filter_model, sort_model, start, end)

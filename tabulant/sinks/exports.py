@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulant.columns import Order, data_columns, named, order_rows, own_order, row_order
 from tabulant.functions.display import header, with_display_headers
-from tabulant.operators.ordering import RECORD, rows_between
+from tabulant.operators.ordering import number_records, record_name, rows_between
 from tabulant.operators.profile import KEY_ROW
 
-TSV_ROWS = 100_000
-
 
 def _writer(df: DataFrame, delimiter: str):
     return (
@@ -51,18 +49,20 @@ def write_csv(
 
 
 def tsv_of_view(
-    df: DataFrame, columns: Sequence[str] | None, order: Order | None = None, limit: int = TSV_ROWS
+    df: DataFrame, columns: Sequence[str] | None, order: Order | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The shown columns of the first rows, cleaned for pasting, as ``(position, line)``.
+    """The shown columns of all rows, or of the first ``limit``, as ``(position, line)`` cleaned for pasting.
 
     The header is at position 0. No columns give no lines at all.
     """
     shown = data_columns(df) if columns is None else [c for c in columns if c in data_columns(df)]
     if not shown:
         return df.sparkSession.createDataFrame([], "position bigint, line string")
-    first = rows_between(df, list(order or row_order(df)), 0, limit)
+    chosen = list(order or row_order(df))
+    first = number_records(df, chosen) if limit is None else rows_between(df, chosen, 0, limit)
+    record = named(record_name(data_columns(df)))
     cells = [F.translate(F.coalesce(named(c).cast("string"), F.lit("")), "\t\r\n", "   ") for c in shown]
-    lines = first.select(F.col(RECORD).alias("position"), F.concat_ws("\t", *cells).alias("line"))
+    lines = first.select(record.alias("position"), F.concat_ws("\t", *cells).alias("line"))
     titles = df.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("position"), F.concat_ws("\t", *(header(F.lit(c)) for c in shown)).alias("line")
     )
@@ -74,11 +74,10 @@ def write_tsv_of_view(
     path: str,
     columns: Sequence[str] | None,
     order: Order | None = None,
-    limit: int = TSV_ROWS,
+    limit: int | None = None,
 ) -> None:
-    """Write the TSV of a view as one text file; the row limit keeps it small."""
-    lines = tsv_of_view(df, columns, order, limit)
-    lines.coalesce(1).sortWithinPartitions("position").select("line").write.text(path)
+    """Write the TSV of a view as text; part files follow the row order, the header first."""
+    tsv_of_view(df, columns, order, limit).orderBy("position").select("line").write.text(path)
 
 
 def write_tsv_of_frame(

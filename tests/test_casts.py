@@ -33,7 +33,7 @@ DATES = [
     (["2024", "2024-05"], [D(2024, 1, 1), None]),
     (["2024-02-30"], [None]),
     (["1700000000"], [None]),
-    (["1600-01-01"], [None]),
+    (["1600-01-01", "9999-12-31"], [D(1600, 1, 1), D(9999, 12, 31)]),
     (["2024-01-01 10:00:00.25", "2024-01-01 10:00:00.000001"], [D(2024, 1, 1, 10, 0, 0, 250000), D(2024, 1, 1, 10, 0, 0, 1)]),
     (["2024-01-01 10:00", "2024-01-01 23:59"], [D(2024, 1, 1, 10), D(2024, 1, 1, 23, 59)]),
 ]

@@ -98,3 +98,19 @@ def chart_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
             messages.append(F.lit(str(reason)))
     points = chart_data(orders, "line", "o_orderdate", "o_totalprice")
     return points.agg(F.count(F.lit(1)).alias("points")).select(F.explode(F.array(*messages)).alias("message"), "points")
+
+
+_SOME_INFINITE = (
+    "CASE o_orderkey % 50 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN CAST('-Infinity' AS DOUBLE) ELSE o_totalprice END"
+)
+
+
+@query(
+    f"""WITH v AS (SELECT o_orderstatus AS dimension, {_SOME_INFINITE} AS x FROM orders),
+    b AS (SELECT min(x) AS lo, (max(x) - min(x)) / 10 AS w FROM v WHERE isfinite(x))
+    SELECT dimension, CAST(CASE WHEN x = 'Infinity' THEN 10 WHEN x = '-Infinity' THEN -1
+    ELSE least(floor((x - lo) / w), 9) END AS INTEGER) AS bin, count(*) AS count FROM v, b GROUP BY ALL"""
+)
+def chart_histogram_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.expr(_SOME_INFINITE).alias("x"))
+    return chart_data(orders, "histogram", "o_orderstatus", "x").select("dimension", "bin", "count")

@@ -25,7 +25,7 @@ from tabulant.operators.ordering import (
 )
 from tabulant.operators.profile import profile
 from tabulant.operators.quality import scorecard
-from tabulant.plans.view import View, ViewSpec
+from tabulant.plans.view import View, ViewSpec, fetch_page
 from tabulant.sources.alignment import schema_warnings
 from tabulant.sources.snapshot import write_snapshot
 from tabulant.storage import stored
@@ -114,6 +114,31 @@ def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, 3000, 3700, top_rows=2000)
 
 
+_THRICE = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)"
+
+
+@query(
+    f"""SELECT record_number, l_orderkey, l_linenumber FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber)
+    AS record_number, * FROM {_THRICE}) WHERE record_number > 12000 AND record_number <= 12300"""
+)
+def page_beyond_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").select(*keys)
+    rows, _ = fetch(lines.unionAll(lines).unionAll(lines), None, None, 12_000, 12_300, keys)
+    return rows.select(RECORD, *keys)
+
+
+@query(
+    f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY {_LINE_KEYS_SQL}) AS record_number, {_LINE_COLUMNS_SQL}
+    FROM lineitem WHERE l_returnflag = 'R') WHERE record_number BETWEEN 301 AND 700"""
+)
+def view_snapshot_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ViewSpec(preview_rows=100, dimension_rows=[("l_returnflag", ["R"])], tiebreak=TIES)
+    stored_view = View(table(spark, sf_dir, "lineitem"), LINEITEM, spec).snapshot()
+    first, second = (fetch_page(stored_view, start=at, end=at + 200)[0] for at in (300, 500))
+    return first.unionAll(second).select(RECORD, *_LINE_COLUMNS)
+
+
 @query("SELECT count(*) AS row_count FROM lineitem WHERE l_quantity > 10")
 def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch(table(spark, sf_dir, "lineitem"), _PAGE_FILTER, _PAGE_SORT, 0, 100, _PAGE_TIES)[1]
@@ -150,6 +175,15 @@ def large_result_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard(table(spark, sf_dir, "lineitem"), 1000)
 
 
+@query(
+    """SELECT count(*) AS total_rows, CAST(11 AS BIGINT) AS total_columns, count(*) > 1000 AS blocked,
+    'Large result guard active: ' || format('{:,}', count(*)) || ' rows x 11 columns. Grid rendering is limited to first '
+    || '50 rows. Use Export Filtered CSV to download the full filtered dataset.' AS message FROM lineitem"""
+)
+def large_result_guard_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard(table(spark, sf_dir, "lineitem"), 50, most_rows=1000)
+
+
 @query(
     f"""SELECT l_discount, l_extendedprice, l_linenumber, l_linestatus, l_orderkey, l_partkey, l_quantity, l_returnflag,
     l_shipdate, l_suppkey, l_tax FROM lineitem WHERE l_returnflag IN ('A', 'R') AND (l_quantity BETWEEN 1 AND 10
@@ -188,7 +222,12 @@ def view_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT trim(p_name) AS value FROM part WHERE trim(p_name) <> '' ORDER BY value LIMIT 2500")
 def dimension_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_values(table(spark, sf_dir, "part"), "p_name")
+    return list_values(table(spark, sf_dir, "part"), "p_name", 2500)
+
+
+@query("SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS value FROM orders")
+def dimension_values_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_values(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query(

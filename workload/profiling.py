@@ -206,6 +206,11 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(profile(table(spark, sf_dir, "part").select(brand), Catalog((), (Field("brand"),)), 30))
 
 
+@query(char_sql("orders", "o_orderkey", 0, 5000))
+def top_values_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(profile(table(spark, sf_dir, "orders"), _keyless(ORDERS, "o_orderkey"), 5000))
+
+
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -332,6 +337,30 @@ def quality_findings_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(profiled, catalogs, warnings)
 
 
+@query(
+    """WITH s AS (SELECT avg(x) AS mean, median(x) AS med FROM (SELECT (o_orderkey % 100)::DOUBLE ** 4 AS x FROM orders))
+    SELECT CAST(1 AS INTEGER) AS rank, 'skew' AS rule, 'Distribution hint: x appears right-skewed (mean/median gap ratio '
+    || format('{:.2f}', (mean - med) / med) || ').' AS finding FROM s WHERE (mean - med) / med >= 0.5"""
+)
+def quality_findings_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.pow((F.col("o_orderkey") % 100).cast("double"), F.lit(4.0)).alias("x")
+    catalog = Catalog(("o_orderkey",), (Field("o_orderkey", "Char", "", "Order", "D"), Field("x", "Num", "", "Power", "M")))
+    profiled, catalogs, warnings = _quality(table(spark, sf_dir, "orders").select("o_orderkey", x), catalog)
+    return findings(profiled, catalogs, warnings)
+
+
+@query(
+    """SELECT CAST(1 AS INTEGER) AS rank, 'all_clear' AS rule, 'No major data quality risks detected from quick profile.' AS finding
+    FROM (SELECT count(*) - count(DISTINCT o_orderkey) AS repeated, avg(CAST(o_orderstatus IS NULL AS INTEGER)) AS gaps FROM orders)
+    WHERE repeated = 0 AND gaps <= 0.1"""
+)
+def quality_findings_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (Field("o_orderkey", "Char", "", "Order", "D"), Field("o_orderstatus", "Char", "", "Status", "D"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    profiled, catalogs, warnings = _quality(orders, Catalog(("o_orderkey",), fields))
+    return findings(profiled, catalogs, warnings)
+
+
 # Load --------------------------------------------------------------------------------------
 
 _SIDECAR = "FileKey|o_orderkey\n" + "\n".join(
