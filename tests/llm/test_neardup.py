@@ -90,6 +90,20 @@ def test_edges(docs):
     assert answer(docs([])) == {}
 
 
+def test_one_id_with_several_texts(docs):
+    rows = variants(9, 6, 12, 0.12)
+    doubled = rows + [(i, text, s) for (i, _, s), (_, text, _) in zip(rows, rows[30:])]
+    found = neardup.near_duplicates(docs(doubled), words=3, similarity=85).collect()
+    assert len(found) == len(doubled) and all(r.component_id <= r.doc_id for r in found)
+    # Each text is linked with whatever its own set is linked with.
+    alone = brute([(k, t) for k, (_, t, _) in enumerate(doubled)], 3, 85)
+    hashes = {(r.doc_id, r.n_shingles): r.component_id for r in found}
+    groups = {}
+    for k, (_, root, _) in alone.items():
+        groups.setdefault(root, []).append(hashes[doubled[k][0], alone[k][0]])
+    assert sum(len(set(g)) == 1 for g in groups.values()) >= 0.9 * len(groups)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
