@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulant.operators.profile import KEY_ROW
 
@@ -16,8 +16,8 @@ DESCRIPTIONS = "%d fields are missing FieldDesc metadata."
 ALL_CLEAR = "No major data quality risks detected from quick profile."
 
 
-def _rates(profiled: DataFrame) -> DataFrame:
-    """Averages over fields and the key's counts, in one row even for an empty profile."""
+def _rates(profiled: DataFrame, *more: Column) -> DataFrame:
+    """Averages over fields, the key's counts and more aggregates, in one row even for an empty profile."""
     is_key = F.col("field_name") == KEY_ROW
     parse_rate = F.when(~is_key, F.coalesce("parse_success_rate", F.lit(1.0)))
     null_rate = F.when(~is_key, F.try_divide(F.col("null_count"), F.col("row_count")))
@@ -26,6 +26,7 @@ def _rates(profiled: DataFrame) -> DataFrame:
         F.coalesce(F.avg(null_rate), F.lit(0.0)).alias("null_rate"),
         F.coalesce(F.max(F.when(is_key, F.col("duplicate_key_count"))), F.lit(0)).alias("duplicate_key_count"),
         F.coalesce(F.max(F.when(is_key, F.col("row_count"))), F.lit(0)).alias("key_rows"),
+        *more,
     )
 
 
@@ -47,16 +48,14 @@ def scorecard(profiled: DataFrame, warnings: DataFrame) -> DataFrame:
     )
 
 
-def _widest(profiled: DataFrame, measure: Column, threshold: float) -> DataFrame:
-    """The numeric field with the largest measure, the earliest field winning ties, if large enough."""
-    scored = profiled.where(F.col("stat_type") == "Num").withColumn("score", measure).where(F.col("score").isNotNull())
-    return scored.orderBy(F.desc("score"), "ordinal").limit(1).where(F.col("score") >= threshold)
+def _widest(measure: Column, *told: str) -> Column:
+    """The numeric field with the largest measure, the earliest field winning ties, and columns of it."""
+    scored = F.struct(measure.alias("score"), (-F.col("ordinal")).alias("earlier"), "field_name", *told)
+    return F.max(F.when((F.col("stat_type") == "Num") & measure.isNotNull(), scored))
 
 
-def _finding(source: DataFrame, place: int, rule: str, message: Column) -> DataFrame:
-    return source.select(
-        F.lit(place).alias("place"), F.lit(0).alias("within"), F.lit(rule).alias("rule"), message.alias("finding")
-    )
+def _finding(rule: str, holds: Column, message: Column) -> Column:
+    return F.when(holds, F.struct(F.lit(rule).alias("rule"), message.alias("finding")))
 
 
 def findings(
@@ -68,47 +67,31 @@ def findings(
 ) -> DataFrame:
     """Ranked findings ``(rank, rule, finding)``, or the all-clear; all of them, or the first ones.
 
-    ``catalogs`` holds the declared fields and ``warnings`` the ranked schema warnings. All
-    inputs have one row per field, so ranking them needs one small window.
+    ``catalogs`` holds the declared fields and ``warnings`` the ranked schema warnings. All inputs
+    have one row per field. The profile is read once, into one row from which every rule is judged.
     """
-    rates = _rates(profiled)
     gap = F.abs(F.col("mean") - F.col("median")) / F.abs(F.when(F.col("median") != 0, F.col("median")))
     spread = F.when(F.col("min") > 0, F.col("max") / F.when(F.col("min") > 0, F.col("min"))).when(
         (F.col("min") < 0) & (F.col("max") > 0), F.col("max") - F.col("min")
     )
-    side = F.when(F.col("mean") > F.col("median"), "right-skewed").otherwise("left-skewed")
-    undescribed = catalogs.agg(F.count_if(F.trim(F.coalesce("field_desc", F.lit(""))) == "").alias("n"))
-    rules = [
-        _finding(
-            rates.where(F.col("duplicate_key_count") > 0),
-            1,
-            "duplicate_keys",
-            F.format_string(DUPLICATES, F.col("duplicate_key_count")),
-        ),
-        _finding(rates.where(F.col("null_rate") > 0.1), 2, "missingness", F.lit(MISSINGNESS)),
-        _finding(rates.where(F.col("parse_rate") < 0.95), 3, "parse_success", F.lit(PARSING)),
-        _finding(
-            _widest(profiled, gap, 0.5), 4, "skew", F.format_string(SKEW, F.col("field_name"), side, F.col("score"))
-        ),
-        _finding(
-            _widest(profiled, spread, 20.0), 5, "outlier", F.format_string(OUTLIER, F.col("field_name"), F.col("score"))
-        ),
-        _finding(
-            undescribed.where(F.col("n") > 0), 6, "missing_descriptions", F.format_string(DESCRIPTIONS, F.col("n"))
-        ),
-        (warnings if most_warnings is None else warnings.orderBy("rank").limit(most_warnings)).select(
-            F.lit(7).alias("place"),
-            F.col("rank").cast("int").alias("within"),
-            F.lit("schema_warning").alias("rule"),
-            F.col("warning").alias("finding"),
-        ),
-        _finding(rates, 8, "all_clear", F.lit(ALL_CLEAR)),
-    ]
-    every = rules[0]
-    for rule in rules[1:]:
-        every = every.unionByName(rule)
-    rank = F.row_number().over(Window.orderBy("place", "within"))
-    ranked = every.withColumn("rank", rank)
-    kept = ranked.where((F.col("rule") != "all_clear") | (F.col("rank") == 1))
-    kept = kept if most is None else kept.where(F.col("rank") <= most)
-    return kept.select("rank", "rule", "finding")
+    undescribed = catalogs.agg(F.count_if(F.trim(F.coalesce("field_desc", F.lit(""))) == "")).scalar()
+    warned = warnings.agg(F.array_sort(F.collect_list(F.struct("rank", "warning")))).scalar()
+    judged = _rates(profiled, _widest(gap, "mean", "median").alias("skew"), _widest(spread).alias("outlier"))
+    judged = judged.select("*", undescribed.alias("undescribed"), warned.alias("warned"))
+    side = F.when(F.col("skew.mean") > F.col("skew.median"), "right-skewed").otherwise("left-skewed")
+    skew, outlier = ((F.col(f"{c}.field_name"), F.col(f"{c}.score")) for c in ("skew", "outlier"))
+    rules = F.array(
+        _finding("duplicate_keys", F.col("duplicate_key_count") > 0, F.format_string(DUPLICATES, "duplicate_key_count")),
+        _finding("missingness", F.col("null_rate") > 0.1, F.lit(MISSINGNESS)),
+        _finding("parse_success", F.col("parse_rate") < 0.95, F.lit(PARSING)),
+        _finding("skew", skew[1] >= 0.5, F.format_string(SKEW, skew[0], side, skew[1])),
+        _finding("outlier", outlier[1] >= 20.0, F.format_string(OUTLIER, *outlier)),
+        _finding("missing_descriptions", F.col("undescribed") > 0, F.format_string(DESCRIPTIONS, "undescribed")),
+    )
+    shown = F.col("warned") if most_warnings is None else F.slice("warned", 1, most_warnings)
+    told = F.transform(shown, lambda w: F.struct(F.lit("schema_warning").alias("rule"), w["warning"].alias("finding")))
+    found = F.concat(F.filter(rules, lambda r: r.isNotNull()), told)
+    clear = F.array(F.struct(F.lit("all_clear").alias("rule"), F.lit(ALL_CLEAR).alias("finding")))
+    found = F.when(F.size(found) > 0, found).otherwise(clear)
+    ranked = judged.select(F.posexplode(found if most is None else F.slice(found, 1, most)).alias("rank", "f"))
+    return ranked.select((F.col("rank") + 1).alias("rank"), "f.rule", "f.finding")
