@@ -18,9 +18,11 @@ POSITIONS = 140
 #: Chance that a pair at the threshold shares no band, at most.
 MISS = 1e-6
 #: Members of a bucket that one task compares at a time.
-BLOCK = 1000
+BLOCK = 400
+#: Sets that one is compared with before what is connected is looked at again.
+TOGETHER = 64
 #: Standard errors of the signature's estimate below the threshold from which a pair is left out.
-SIGMAS = 6.5
+SIGMAS = 5.0
 #: Bytes of text hashed at a time.
 PIECE = 1 << 18
 #: Elements whose shuffles are held at a time.
@@ -216,39 +218,60 @@ def linked_rows(similarity: int):
     return run
 
 
-def likely_pairs(similarity: int, positions: int, best: int | None):
-    """For applyInArrow: pairs of one block of a bucket that may be linked and aren't connected yet.
+def common_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of some sorted sets shares with one."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    at[at == len(own)] = 0
+    ends = np.cumsum([len(o) for o in others])
+    hits = np.concatenate(([0], np.cumsum(own[at] == flat)))
+    return hits[ends] - hits[ends - [len(o) for o in others]]
+
+
+def links_of_block(similarity: int, positions: int):
+    """For applyInArrow: links between components, confirmed on full sets, in one block of a bucket.
 
     Two signatures of sets with similarity J agree in a share of positions near J (a little more, as
-    only bytes are compared); pairs far below the threshold are left out. ``best`` asks
-    for each member's nearest ones only, a shortcut for rounds that are not the last.
+    only bytes are compared); pairs far below the threshold are left out. A pair that shares several
+    buckets is compared in the first of them, since buckets of nodes that are not connected are all
+    open. Members that become connected on the way are not compared with each other any more.
     """
     share = similarity / 100
-    floor = share - SIGMAS * (share * (1 - share) / positions) ** 0.5
+    floor = (share - SIGMAS * (share * (1 - share) / positions) ** 0.5) * positions
 
     def run(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        size, shared = table.column("n_shingles").to_numpy(), table.column("shared").to_numpy()
-        side = table.column("asks").to_numpy()
+        column = lambda name: table.column(name).to_numpy()
+        node, root, shared, stray = column("node"), column("root").copy(), column("shared"), column("stray")
+        keys = table.column("bands").combine_chunks().values.to_numpy().reshape(len(node), -1)
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), U8).reshape(-1, positions)
-        ask, answer = np.flatnonzero(side), np.flatnonzero(table.column("answers").to_numpy())
-        out_a, out_b = [], []
-        for k in ask:
+        lists = table.column("members").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+        size = np.diff(offsets)
+        bucket = table.column("bucket")[0].as_py()
+        answer = np.flatnonzero(column("answers"))
+        links = []
+        for k in np.flatnonzero(column("asks")):
             # Exact: two sets have no more in common than the smaller one's elements that others have too.
             most = np.minimum(shared[answer], shared[k])
             fits = 100 * most >= similarity * (size[answer] + size[k] - most)
             there = answer[fits & (root[answer] != root[k])]
-            if not len(there):
-                continue
+            there = there[~stray[there] | (node[there] < node[k])]  # of two that ask, one is enough
+            # An id with several texts may stand here by the bands of another one.
+            earlier = int(np.argmax(keys[k] == bucket))
+            there = there[~(keys[there, :earlier] == keys[k, :earlier]).any(axis=1)]
             near = (low[there] == low[k]).sum(axis=1)
-            good = near >= floor * positions
-            there, near = there[good], near[good]
-            if best and len(there) > best:
-                there = there[np.argsort(-near, kind="stable")[:best]]
-            out_a.append(np.maximum(node[there], node[k]))
-            out_b.append(np.minimum(node[there], node[k]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+            there = there[np.argsort(-near, kind="stable")][: int((near >= floor).sum())]
+            own = flat[offsets[k] : offsets[k + 1]]
+            while len(there):
+                some, there = there[:TOGETHER], there[TOGETHER:]
+                common = common_counts(own, [flat[offsets[t] : offsets[t + 1]] for t in some])
+                for t in some[100 * common >= similarity * (size[some] + size[k] - common)]:
+                    if root[t] != root[k]:
+                        links.append((max(node[t], node[k]), min(node[t], node[k])))
+                        root[root == root[t]] = root[k]
+                there = there[root[there] != root[k]]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -266,10 +289,10 @@ def near_duplicates(
     Equal sets are merged first, by an aggregation, so copies cost nothing after it. The others are
     banded by signature; in each bucket every member is compared with the bucket's first, and links
     are confirmed on full sets and joined into components. Buckets that still hold several
-    components are then searched: by signature, in blocks, for each member's most similar ones, and
-    finally for every pair that may link. Runs that only one set has, counted among all that are
-    left, rule most pairs out exactly. So links are lost only if a signature is off by over
-    six standard errors, or (probability below ``MISS``) shares no band.
+    components are then compared whole, in blocks that carry the sets and give links alone. Runs that
+    only one set has, counted among all that are left, rule most pairs out exactly, signatures
+    most others. So links are lost only if a signature is off by over
+    five standard errors, or (probability below ``MISS``) shares no band.
 
     Rows with a null id link to nothing, have a null ``component_id`` and are kept. Rows that repeat
     an id and text are treated alike. An empty table gives no rows; other columns are not read.
@@ -292,7 +315,7 @@ def near_duplicates(
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
     members = stored(banded.join(shared, "bucket"), "buckets")
     candidates = stored(members.select("node").distinct(), "candidates")
-    low = stored(nodes.join(candidates, "node", "left_semi").select("node", "n_shingles", "low"), "low")
+    low = stored(nodes.join(candidates, "node", "left_semi").select("node", "n_shingles", "bands", "low"), "low")
     wanted = texts.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = stored(wanted.mapInArrow(set_rows(words), "node long, members array<long>"), "sets")
 
@@ -306,16 +329,11 @@ def near_duplicates(
     size = low.select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"))
     fits = 100 * F.least("n_shingles", "size_b") >= similarity * F.greatest("n_shingles", "size_b")
     links = stored(confirmed(firsts.join(size, "b").where(fits).select("a", "b")), "links")
-    tried = firsts.select("a", "b")
     roots = stored(components(links), "roots")
-    low = stored(with_shared(members, roots, low, sets, similarity), "low")
-    for best in (4, None):
-        pairs = unsettled(members, low, roots, likely_pairs(similarity, positions, best))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = stored(confirmed(pairs), "links")
-        if not new.isEmpty():
-            links, tried = links.union(new), tried.union(pairs)
-            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "roots")
+    able = stored(with_shared(members, roots, low, sets, similarity), "able")
+    new = stored(unsettled(members, able, roots, links_of_block(similarity, positions)), "links")
+    if not new.isEmpty():
+        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "roots")
     found = classes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     out = sketches.select("doc_id", "text_hash", *same).join(found, same, "left").select(
@@ -351,7 +369,7 @@ def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def with_shared(members: DataFrame, roots: DataFrame, low: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Nodes of open buckets that can link at all, with how many of their elements other sets have too.
+    """Nodes of open buckets that can link at all, their sets, and how many elements other sets have too.
 
     An element that one set alone has is in no intersection. A node whose id has several sets counts
     all elements as shared.
@@ -363,22 +381,23 @@ def with_shared(members: DataFrame, roots: DataFrame, low: DataFrame, sets: Data
     alone = alone.groupBy("node").agg(F.count("*").alias("alone")).join(once, "node", "left_semi")
     known = low.join(open_, "node", "left_semi").join(alone, "node", "left")
     shared = known.withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
-    return shared.where(100 * F.col("shared") >= similarity * F.col("n_shingles"))
+    return shared.where(100 * F.col("shared") >= similarity * F.col("n_shingles")).join(sets, "node")
 
 
-def unsettled(members: DataFrame, low: DataFrame, roots: DataFrame, propose) -> DataFrame:
-    """What ``propose`` finds in the blocks of all buckets that hold several components.
+def unsettled(members: DataFrame, able: DataFrame, roots: DataFrame, compare) -> DataFrame:
+    """What ``compare`` finds in the blocks of all buckets that hold several components.
 
     Members outside a bucket's first component ask, all answer. Askers and answerers
     are cut into blocks of ``BLOCK``, and each pair of blocks is one group.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = open_buckets(members, roots).join(low, "node").withColumn("own", F.xxhash64("node"))
+    rows = open_buckets(members, roots).join(able, "node").withColumn("own", F.xxhash64("node"))
+    rows = rows.withColumn("stray", F.col("asks"))
     every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
     asking = rows.where("asks").withColumn("ask", F.pmod("own", blocks("n_ask"))).withColumn("answer", F.explode(every("n")))
     answering = rows.withColumn("answer", F.pmod("own", blocks("n"))).withColumn("ask", F.explode(every("n_ask")))
-    columns = ["bucket", "ask", "answer", "node", "root", "n_shingles", "shared", "low"]
+    columns = ["bucket", "ask", "answer", "node", "root", "shared", "bands", "low", "members", "stray"]
     both = asking.select(*columns, F.lit(True).alias("asks"), F.lit(False).alias("answers")).union(
         answering.select(*columns, F.lit(False).alias("asks"), F.lit(True).alias("answers"))
     )
-    return both.groupBy("bucket", "ask", "answer").applyInArrow(propose, "a long, b long")
+    return both.groupBy("bucket", "ask", "answer").applyInArrow(compare, "a long, b long")
