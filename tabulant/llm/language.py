@@ -234,9 +234,13 @@ def fit(docs: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> Mo
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    rates = known.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count("*")).alias("rate"))
+    # One number a language, so that texts stay where they are.
+    found = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for lang, n in found.items():
+        rate = F.when(F.col("lang") == lang, F.lit(sample_docs / n)).otherwise(rate)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.join(rates, "lang").where(chance < F.col("rate")).select("lang", "text")
+    sample = known.where(chance < rate).select("lang", "text")
     counts = sample.mapInArrow(count_rows, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
