@@ -13,15 +13,8 @@ MARGIN = 0.2
 LG_REGISTERS = 12
 
 
-def stripped(line: Column) -> Column:
-    """A line without blanks at its ends; a file's carriage returns go with them."""
-    return F.trim(F.translate(line, "\t\x0b\f\r", "    "))
-
-
-def line_hash(line: Column) -> Column:
-    """What identifies a line: null for one that holds nothing but blanks."""
-    bare = stripped(line)
-    return F.when(bare != "", F.xxhash64(bare))
+#: Blanks that may stand at a line's ends besides the space; a file's carriage returns go with them.
+BLANKS = "\t\x0b\f\r"
 
 
 def identity(doc_id: Column, text: Column) -> Column:
@@ -32,13 +25,16 @@ def identity(doc_id: Column, text: Column) -> Column:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """``at, site, line_no, line_hash`` of every line that isn't blank.
 
-    All that needs the text is computed before the lines are dealt out, so that rows of lines don't
-    carry whole texts.
+    Lines are compared without blanks at their ends. All that needs the whole text is computed before
+    the lines are dealt out, so that rows of lines don't carry it; the rest is plain expressions on one line,
+    which Spark compiles. The outer form keeps it from splitting every text twice, to see if it has lines.
     """
     site = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
-    hashes = F.transform(F.split(docs["text"], "\n"), line_hash)
-    whole = docs.select(identity(docs["doc_id"], docs["text"]).alias("at"), site.alias("site"), hashes.alias("hashes"))
-    return whole.select("at", "site", F.posexplode("hashes").alias("line_no", "line_hash")).where("line_hash is not null")
+    lines = F.split(F.translate(docs["text"], BLANKS, " " * len(BLANKS)), "\n")
+    whole = docs.select(identity(docs["doc_id"], docs["text"]).alias("at"), site.alias("site"), lines.alias("lines"))
+    each = whole.select("at", "site", F.posexplode_outer("lines").alias("line_no", "line"))
+    bare = each.select("at", "site", "line_no", F.trim("line").alias("bare")).where("bare <> ''")
+    return bare.select("at", "site", "line_no", F.xxhash64("bare").alias("line_hash"))
 
 
 def boilerplate(docs: DataFrame, *, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
