@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,12 @@ from tabulant.llm.shared import prefix_sums, python_ready
 from tabulant.llm.topk import usable
 from tabulant.storage import stored
 
-#: Orderings, dimensions each projects to, and candidates to a block; a query sees its block and both next to it.
+#: Orderings, dimensions each projects to, and the least candidates to a block; a query sees its block and some on both sides.
 ORDERINGS, PROJECTED, BLOCK = 24, 8, 1024
+#: Share of all candidates that a query sees at least in each ordering, so that recall doesn't fall as the table grows.
+SHARE = 1 / 24
+#: Numbers in the vectors of a block (unless ``BLOCK`` vectors have more), queries that meet it at a time, and scores held at a time.
+HELD, QUERIES, SCORES = 1 << 20, 4096, 1 << 21
 
 
 def matrix(values: pa.ListArray, width: int) -> np.ndarray:
@@ -103,29 +108,33 @@ def nearest_in_block(width: int, k: int):
         held = units(matrix(candidates.column("vector").combine_chunks(), width))
         asked = units(matrix(queries.column("vector").combine_chunks(), width))
         ids, own = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        near = asked @ held.T
-        some = min(len(ids), 2 * k)
-        pick = np.argpartition(-near, some - 1, axis=1)[:, :some]
-        # Each pair by itself, so that its score is the same in whichever block it is met.
-        score = np.einsum("qcd,qd->qc", held[pick], asked)
-        order = np.lexsort((ids[pick], -score))[:, :k]
-        best, score = ids[np.take_along_axis(pick, order, 1)], np.take_along_axis(score, order, 1)
-        return pa.table([np.repeat(own, best.shape[1]), best.reshape(-1), score.reshape(-1)], schema=schema)
+        some, step, parts = min(len(ids), 2 * k), max(1, SCORES // len(ids)), []
+        for at in range(0, len(own), step):
+            part = asked[at : at + step]
+            pick = np.argpartition(-(part @ held.T), some - 1, axis=1)[:, :some]
+            # Each pair by itself, so that its score is the same in whichever block it is met.
+            score = np.einsum("qcd,qd->qc", held[pick], part)
+            order = np.lexsort((ids[pick], -score))[:, :k]
+            best, score = ids[np.take_along_axis(pick, order, 1)], np.take_along_axis(score, order, 1)
+            parts.append(pa.table([np.repeat(own[at : at + step], best.shape[1]), best.reshape(-1), score.reshape(-1)], schema=schema))
+        return pa.concat_tables(parts)
 
     return run
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, *, k: int = 5, orderings: int = ORDERINGS, projected: int = PROJECTED,
-    block: int = BLOCK, seed: int = 11,
+    block: int = BLOCK, share: float = SHARE, seed: int = 11,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query the ``k`` nearest found, by cosine.
 
     Both inputs have ``vec_id`` and an array of numbers ``vector``; a query never finds rows of its own
     id. Every vector gets a key on each of several Hilbert curves, each through a random
-    projection shifted at random. Spark range-sorts the keys; runs of ``block`` candidates form
-    blocks, and a query is compared with its own and the two next to it. Its ``k`` best of
-    each ordering are merged. Scores are cosines of the vectors themselves.
+    projection shifted at random. Spark range-sorts the keys; runs of at least ``block`` candidates form
+    blocks, and a query is compared with its own and as many on both sides as hold ``share`` of all
+    candidates, one at least. So the window grows with the table, while a task meets one block of
+    bounded size and ``QUERIES`` queries at a time. The ``k`` best of all blocks and orderings are
+    merged. Scores are cosines of the vectors themselves.
 
     Equal vectors are indexed by their ``k + 1`` smallest ids, since no query can want more of them, and
     equal queries are searched once; so copies fill no window. Ties go to the smaller id. Vectors
@@ -164,18 +173,27 @@ def nearest(
     points = sides.select("vec_id", "asks", keys("vector").alias("keys"))
     points = stored(points.select("vec_id", "asks", F.posexplode("keys").alias("ordering", "key")), "points")
     order = [F.col("ordering"), F.col("key"), F.col("vec_id"), F.col("asks")]
-    placed = prefix_sums(points, order, {"before": F.when(F.col("asks"), 0).otherwise(1).cast("long")}, "curves")
+    sums = {"before": F.when(F.col("asks"), 0).otherwise(1).cast("long"), "asked": F.col("asks").cast("long")}
+    placed = prefix_sums(points, order, sums, "curves")
     # Every ordering holds all candidates, so places within it start from a multiple of their number.
     size = sides.where("not asks").count()
+    window = math.ceil(share * size)
+    wide = max(block, min(HELD // width, -(-window // 3)))
+    reach, last = max(1, -(-(window - wide) // (2 * wide))), max(0, -(-size // wide) - 1)
     place = F.col("before") - F.col("ordering") * F.lit(size)
-    placed = placed.select("vec_id", "asks", "ordering", F.floor(place / block).alias("block"))
-    rows = placed.join(sides, ["vec_id", "asks"])
-    around = F.explode(F.array(*[F.col("block") + step for step in (-1, 0, 1)]))
+    tile = F.floor(F.col("asked") / QUERIES)
+    placed = placed.select("vec_id", "asks", "ordering", F.floor(place / wide).alias("block"), tile.alias("tile"))
+    # At the ends of a curve the window lies on one side.
+    first = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(last - 2 * reach)))
+    around = F.explode(F.sequence(first, F.least(first + 2 * reach, F.lit(last))))
+    searching = placed.where("asks").select("vec_id", "ordering", "tile", around.alias("block"))
     # New names for the same columns, since both sides of the comparison come from one table.
-    again = [F.col(c).alias(c) for c in ("vec_id", "vector")]
-    candidates, searching = (rows.where("not asks").select("ordering", "block", *again),
-                             rows.where("asks").select(F.col("ordering").alias("ordering"), around.alias("block"), *again))
-    found = candidates.groupBy("ordering", "block").cogroup(searching.groupBy("ordering", "block")).applyInArrow(
+    names = ["ordering", "block", "tile"]
+    wanted = searching.select(*[F.col(c).alias(c) for c in names]).distinct()
+    candidates = placed.where("not asks").select(*[F.col(c).alias(c) for c in ("vec_id", "ordering", "block")]).join(wanted, ["ordering", "block"])
+    candidates = candidates.join(sides.where("not asks").select("vec_id", "vector"), "vec_id").select(*[F.col(c).alias(c) for c in (*names, "vec_id", "vector")])
+    searching = searching.join(sides.where("asks").select("vec_id", "vector"), "vec_id").select(*[F.col(c).alias(c) for c in (*names, "vec_id", "vector")])
+    found = candidates.groupBy(*names).cogroup(searching.groupBy(*names)).applyInArrow(
         nearest_in_block(width, k + 1), "query_class long, vec_id long, score double"
     )
     merged = stored(found.groupBy("query_class", "vec_id").agg(F.max("score").alias("score")), "found")

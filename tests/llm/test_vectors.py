@@ -81,6 +81,21 @@ def test_recall_over_many_blocks(spark):
     assert hits >= 0.9 * 5 * len(expected)
 
 
+def test_recall_where_blocks_are_small_against_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "HELD", 64 * 30, raising=False)
+    monkeypatch.setattr(ann, "QUERIES", 25, raising=False)
+    monkeypatch.setattr(ann, "SCORES", 100, raising=False)
+    draw = np.random.default_rng(6)
+    rows = {i: draw.normal(size=64) for i in range(4000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, vector array<double>")
+    asked = {i: v for i, v in rows.items() if i % 50 == 0}
+    expected = brute(rows, asked, 5, cosine)
+    found = by_query(ann.nearest(df, df.where("vec_id % 50 = 0"), block=12).collect())
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in expected[q]}) for q in expected)
+    assert set(found) == set(asked) and all(len(f) == 5 for f in found.values())
+    assert hits >= 0.9 * 5 * len(expected)
+
+
 def test_edges_of_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 1.0]) for i in range(100, 60, -1)] + [(1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]),
