@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulant.llm.shared import prefix_sums, python_ready
-from tabulant.storage import stored
+from tabulant.storage import new_path, stored
 
 #: Tokens to a sequence, bytes to a token, and sequences to a shard file.
 SEQUENCE, WIDTH, PER_SHARD = 1024, 2, 4096
 ROUNDS = 6
+#: The bits of a row's number that count within its part.
+ROW = (1 << 33) - 1
 
 
 class Permutation:
@@ -77,7 +80,12 @@ def packed_ids(spark: SparkSession, end: int, width: int = WIDTH):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([np.array([*(ids or []), end]).astype(kind).tobytes() for ids in batch.to_pylist()], pa.binary())
+            sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            stops = np.cumsum(sizes)
+            data = np.insert(batch.flatten().to_numpy(zero_copy_only=False), stops, end).astype(kind)
+            offsets = np.concatenate(([0], stops + np.arange(1, len(sizes) + 1))).astype(np.int64) * width
+            whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield whole.cast(pa.binary())
 
     return F.arrow_udf(run, "binary")
 
@@ -132,6 +140,26 @@ def write_shards(folder: str, stride: int, per_shard: int, total: int):
     return run
 
 
+def starts_below(folder: str):
+    """For an Arrow UDF: where in the stream each row starts, from tables below ``folder``, one for each part of the rows."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        files, root = fs.FileSystem.from_uri(folder)
+        now, held = None, None
+        for batch in batches:
+            rows = batch.to_numpy(zero_copy_only=False)
+            out = np.zeros(len(rows), np.int64)
+            for part in np.unique(rows >> 33):
+                if part != now:
+                    table = pq.read_table(f"{root}/part={part}", filesystem=files, partitioning=None)
+                    now, held = part, table.column("start").to_numpy()[np.argsort(table.column("at").to_numpy())]
+                own = rows >> 33 == part
+                out[own] = held[rows[own] & ROW]
+            yield pa.array(out)
+
+    return run
+
+
 def materialise(
     docs: DataFrame, folder: str, *, key: int = 1, sequence: int = SEQUENCE, width: int = WIDTH, per_shard: int = PER_SHARD
 ) -> DataFrame:
@@ -143,29 +171,31 @@ def materialise(
     says, and slot ``s`` lies in shard ``s // per_shard`` at byte ``s % per_shard * stride``: a reader
     that knows where it stopped goes on there, and the order of reading is the order of training.
 
-    Prefix sums of lengths place the documents, so only lengths are sorted; pieces of documents
-    then move once, to the range of shards they belong to. ``folder`` is a URI that all executors reach
+    Tokens are stored with a number for each row. Prefix sums of lengths place the documents, so only
+    lengths are sorted; every task looks up its rows' starts where they are stored, and pieces of
+    documents then move once, to the range of shards they belong to. ``folder`` is a URI that all executors reach
     and that does not hold shards yet. Null tokens have none; rows repeated are stored as often; an
     empty table writes nothing. Other columns are not read.
     """
     spark = docs.sparkSession
     python_ready(spark)
     stride = sequence * width
-    rows = docs.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens")).withColumn("hash", F.xxhash64("tokens"))
-    # Equal rows are one entry of the sorted table and lie behind one another in the stream.
-    lengths = rows.groupBy("doc_id", "hash").agg(F.count("*").alias("copies"), F.max(F.length("tokens")).cast("long").alias("size"))
-    lengths = stored(lengths, "lengths")
-    total = lengths.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] or 0
+    tokens = docs.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens"))
+    rows = tokens.select("*", F.xxhash64("tokens").alias("hash"), F.length("tokens").cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    path = new_path(spark, "tokens")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    total = rows.agg(F.sum("size")).first()[0] or 0
     sequences = -(-total // stride)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
-    placed = prefix_sums(lengths, order, {"start": F.col("copies") * F.col("size")}, "placed")
     if not sequences:
         return spark.createDataFrame([], MANIFEST)
-    one = rows.dropDuplicates(["doc_id", "hash"]) if placed.where("copies > 1").limit(1).count() else rows
-    known = one.join(placed, one["doc_id"].eqNullSafe(placed["doc_id"]) & (one["hash"] == placed["hash"])).select("tokens", "size", "copies", "start")
-    copy = F.explode(F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda k: F.col("start") + k * F.col("size")))
-    many = known.where("copies > 1 and size > 0").select("tokens", "size", copy.alias("start"))
-    each = known.where("copies = 1 and size > 0").select("tokens", "size", "start").unionByName(many)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
+    placed = prefix_sums(rows.select("doc_id", "hash", "size", "row"), order, {"start": F.col("size")}, "placed")
+    starts = placed.select(F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND(F.lit(ROW)).alias("at"), "start")
+    found = new_path(spark, "starts")
+    starts.repartition("part").sortWithinPartitions("part", "at").write.partitionBy("part").parquet(found)
+    start = F.arrow_udf(starts_below(found), "long")("row")
+    each = rows.where("size > 0").select("tokens", "size", start.alias("start"))
 
     def cut(number):
         first = F.greatest(number * stride, F.col("start"))

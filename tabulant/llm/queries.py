@@ -154,10 +154,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' words as two-byte ids in shuffled shards, and what these hold when read again."""
-    docs = documents(spark, sf_dir)
-    tokens = docs.select("doc_id", materialise.hashed_words(spark)(docs["text"]).alias("tokens"))
-    manifest = materialise.materialise(tokens, new_path(spark, "shards"))
+    """All documents' token ids in shuffled shards of two bytes an id, and what these hold when read again."""
+    docs, tokenizer = documents(spark, sf_dir), word_tokenizer()
+    ids = bpe.encoder(spark, tokenizer)(F.coalesce("text", F.lit("")))
+    packed = materialise.packed_ids(spark, tokenizer.special["<|endoftext|>"])(ids)
+    manifest = materialise.materialise(docs.select("doc_id", packed.alias("tokens")), new_path(spark, "shards"))
     return materialise.read_back(spark, manifest)
 
 

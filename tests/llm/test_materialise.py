@@ -4,8 +4,10 @@ import hashlib
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from conftest import SF_DIR
+from tokenizers import Tokenizer
 
 from tabulant.llm import materialise as m, queries
 
@@ -55,6 +57,17 @@ def test_query_holds_every_word(spark):
     assert len(found) == -(-words // m.SEQUENCE) == len({r.slot for r in found}) == len({r.sequence for r in found})
 
 
+def test_query_holds_the_library_s_ids(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = sorted(spark.read.parquet(f"{SF_DIR}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    ids = [i for r in rows for i in [*library.encode(r.text or "", add_special_tokens=False).ids, library.token_to_id("<|endoftext|>")]]
+    assert max(ids) < 1 << 16
+    n = -(-len(ids) // m.SEQUENCE)
+    stream = np.array(ids + [0] * (n * m.SEQUENCE - len(ids)), "<u2").reshape(n, m.SEQUENCE)
+    found = {r.sequence: r.tokens_sha256 for r in queries.op7_training_order(spark, SF_DIR).collect()}
+    assert found == {k: hashlib.sha256(s.tobytes()).hexdigest() for k, s in enumerate(stream)}
+
+
 def test_edges(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "doc_id long, tokens binary")
     assert m.materialise(none, f"{tmp_path}/b").collect() == [] == m.materialise(none.limit(0), f"{tmp_path}/c").collect()
