@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int =
 
     ``labels`` has ``doc_id`` and ``quality``. The sample is chosen by a hash of the id at a rate that
     follows from the number of labels, evenly from both, and fitted in one task, whose size
-    the parameter bounds. None if both labels don't occur.
+    the parameter bounds: of rows that share an id the smallest text counts. None if both labels don't occur.
     """
     python_ready(docs.sparkSession)
     # One label to an id; where several disagree the document is bad.
@@ -229,9 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int =
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = known.where((chance < rate) & F.col("quality").isin(0, 1))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    # The sample's ids are as many as the parameter says, so they can go to every task; each gives one text.
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))
     # The order decides how sums round, so it is fixed.
-    # The sample's ids are as many as the parameter says, so they can go to every task.
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).select("text", F.col("quality").cast("int").alias("quality"))
+    sample = sample.orderBy("doc_id").select("text", "quality")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(described(b.column("text").to_pylist()), b.column("quality").to_numpy()) for b in batches if b.num_rows]

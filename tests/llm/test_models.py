@@ -83,6 +83,15 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in out]) >= 0.9
 
 
+def test_quality_learns_from_one_text_of_an_id(spark, docs):
+    good, bad = "This is a fine sentence about things.\nAnd this one goes on.", "BUY!! NOW!! $$$ ### $$$\nBUY!! NOW!!"
+    rows = [(i, good if i % 2 else bad, "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one = quality.fit(docs(rows), labels, F.lit(True))
+    many = quality.fit(docs(rows + [(3, f"{good}\nmore {k}", "s") for k in range(60)]), labels, F.lit(True))
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.transition, many.transition)
+
+
 def test_quality_edges(spark, docs):
     good = "This is a fine sentence about things.\nAnd this one goes on a little."
     bad = "BUY!! NOW!! $$$ ### $$$\nBUY!! NOW!! BUY!! NOW!!"
