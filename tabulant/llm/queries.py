@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import ann, bpe, language, lines, materialise, mixing, neardup, quality, topk, urls
+from tabulant.llm import ann, bpe, byte_bpe, language, lines, materialise, mixing, neardup, quality, topk, urls
 from tabulant.storage import new_path
 
 QUERIES: dict = {}
@@ -200,3 +200,27 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
     found = neardup.near_duplicates(documents(spark, sf_dir), words=3, similarity=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def byte_ranks() -> byte_bpe.Ranks:
+    """The public byte-level ranks that the queries use."""
+    import public_tokenizers
+
+    return byte_bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def byte_digests(docs: DataFrame, ranks: byte_bpe.Ranks) -> DataFrame:
+    """How many byte-level tokens each document has, and hashes of them and of the bytes they decode to."""
+    both = docs.select("doc_id", byte_bpe.round_trip(docs.sparkSession, ranks)("text").alias("both"))
+    return both.select(
+        "doc_id",
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("both.ids")), 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the byte-level ranks and decoded again."""
+    return byte_digests(documents(spark, sf_dir), byte_ranks())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,10 +35,23 @@ def parts_of(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
+def shipped(spark: SparkSession) -> None:
+    """Let Python workers import this library: Spark sends them its modules, once a session, whatever they can read."""
+    context = spark.sparkContext
+    if getattr(context, "_tabulant_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tabulant-")) / "tabulant.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves it; executors need not reach the folder
+    context._tabulant_shipped = True
+
+
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers import this library and keep their batches of texts small."""
-    root = str(Path(__file__).resolve().parents[2])
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    shipped(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))
