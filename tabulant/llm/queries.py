@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import ann, bpe, byte_bpe, language, lines, materialise, mixing, neardup, quality, topk, urls
+from tabulant.llm import ann, bpe, byte_bpe, language, lines, materialise, mixing, neardup, quality, ranked, topk, urls
 from tabulant.storage import new_path
 
 QUERIES: dict = {}
@@ -224,3 +224,43 @@ def byte_digests(docs: DataFrame, ranks: byte_bpe.Ranks) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again."""
     return byte_digests(documents(spark, sf_dir), byte_ranks())
+
+
+RANKED_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+    )) AS term FROM documents
+), counts AS (
+    SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), lengths AS (
+    SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id
+), whole AS (
+    SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+), sized AS (
+    SELECT doc_id, 100 - 25 + ((25 * n * documents) // terms) AS m FROM lengths, whole
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM counts, whole GROUP BY term
+), items AS (
+    SELECT item_id, term, count(*) AS c FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+        )) AS term FROM benchmark
+    ) GROUP BY item_id, term
+), scored AS (
+    SELECT item_id, c.doc_id, CAST(sum(i.c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM items i JOIN counts c USING (term) JOIN weights USING (term) JOIN sized s ON s.doc_id = c.doc_id
+    GROUP BY item_id, c.doc_id
+), placed AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+
+@query(RANKED_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that rank highest for each benchmark item."""
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
