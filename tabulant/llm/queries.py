@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm import ann, bpe, byte_bpe, language, lines, materialise, mixing, neardup, quality, ranked, topk, urls
+from tabulant.llm import ann, bpe, byte_bpe, language, lines, materialise, merkle, mixing, neardup, quality, ranked, topk, urls
 from tabulant.storage import new_path
 
 QUERIES: dict = {}
@@ -264,3 +264,70 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents that rank highest for each benchmark item."""
     return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def merkle_sql(source_levels: int = 4, top_levels: int = 3) -> str:
+    """The SQL of op11, its levels spelled out: enough for 16^4 documents a source and 16^3 sources."""
+
+    def tree(name: str, leaves: str, levels: int) -> list[str]:
+        """Nodes by level; ``n`` counts a tree's nodes on the level, and a lone one is carried up as it is."""
+        steps = [f"{name}0 AS ({leaves})"]
+        for k in range(levels):
+            steps.append(
+                f"{name}run{k} AS (SELECT tree, pos // 16 AS pos, n, list(digest ORDER BY pos) AS run FROM {name}{k} GROUP BY tree, pos // 16, n)"
+            )
+            parent = "CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END"
+            steps.append(f"{name}{k + 1} AS (SELECT tree, pos, (n + 15) // 16 AS n, {parent} AS digest FROM {name}run{k})")
+        return steps
+
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    crc = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+        lambda acc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, xor(acc, b)),
+        4294967295::BIGINT), 4294967295::BIGINT)"""
+    parts = [
+        f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS other FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves)",
+        *tree("s", "SELECT coalesce('=' || source, '') AS tree, pos, n, leaf AS digest FROM placed", source_levels),
+        *tree("t", f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest, tree AS source FROM s{source_levels}", top_levels),
+        "ways AS (SELECT p.*, coalesce('=' || p.source, '') AS tree, t0.pos AS place, t0.digest AS subroot FROM placed p JOIN t0 ON t0.source = coalesce('=' || p.source, ''))",
+    ]
+    last, fold, siblings = "ways", "other", "''"
+    for name, place, key, levels in (("s", "pos", "w.tree", source_levels), ("t", "place", "''", top_levels)):
+        for k in range(levels):
+            left, right = (
+                f"array_to_string(r.run[1:(w.{place} // {16**k}) % 16], '')",
+                f"array_to_string(r.run[(w.{place} // {16**k}) % 16 + 2:], '')",
+            )
+            fold_now = f"CASE WHEN r.n > 1 THEN sha256({left} || {fold} || {right}) ELSE {fold} END AS fold"
+            siblings_now = f"{siblings} || CASE WHEN r.n > 1 THEN {left} || {right} ELSE '' END AS siblings"
+            keep = "w.* EXCLUDE (fold, siblings)" if fold == "fold" else "w.*"
+            parts.append(
+                f"way{name}{k} AS (SELECT {keep}, {fold_now}, {siblings_now} FROM {last} w JOIN {name}run{k} r ON r.tree = {key} AND r.pos = w.{place} // {16 ** (k + 1)})"
+            )
+            last, fold, siblings = f"way{name}{k}", "fold", "siblings"
+    root = f"(SELECT digest FROM t{top_levels})"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, {root} AS root, sha256(siblings) AS proof_sha256, fold AS folded_root, fold = {root} AS verified FROM {last}"""
+
+
+def merkle_digests(docs: DataFrame, shape: merkle.Shape = merkle.Shape()) -> DataFrame:
+    """Every document's leaf and roots, a hash of its proof, and the root that its leaf, one in five tampered with, folds to."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    other = F.when(chosen, F.unhex(merkle.leaf_digest(*fields, lowered)))
+    found = merkle.manifest(docs, merkle.leaf_digest(*fields, F.col("text")), [F.col("other")], shape, other=other)
+    leaf, given = F.lower(F.hex("digest")), F.lower(F.hex(F.coalesce("other", "digest")))
+    root, steps = F.lit(found.root).cast("string"), F.col("steps")
+    fold = merkle.folded(given, steps)
+    out = found.proofs().select("doc_id", leaf.alias("leaf"), "subroot", root.alias("root"), F.sha2(merkle.siblings(steps), 256).alias("proof_sha256"), fold.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in the Merkle trees of their sources, checked with every fifth text altered."""
+    return merkle_digests(documents(spark, sf_dir))
