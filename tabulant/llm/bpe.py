@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,17 +13,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tabulant.llm.shared import python_ready
+from tabulant.llm.shared import parts_of, python_ready, released
 
 #: What the tokenizer's patterns call white space, and its pattern for words.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
 #: Characters at which ``str.split`` cuts though they are no white space to the tokenizer.
 ODD_BREAKS = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
 WORD_END = "</w>"
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Bytes that the chunks which a task remembers may take, and what each costs besides its characters and ids.
+REMEMBERED, OVERHEAD = 64 << 20, 200
 NONE = np.iinfo(np.int32).max
 
 
@@ -33,6 +34,33 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+def word_pattern() -> str:
+    """The pattern for words, its properties spelled out as ranges.
+
+    Editions of Unicode differ in what is a letter, so the library that defines the encoding is asked, once and on the driver.
+    """
+    from tokenizers import Regex, normalizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+    def ranges(name: str) -> str:
+        rest = normalizers.Replace(Regex(rf"\p{{{name}}}"), "").normalize_str(every)
+        codes = np.setdiff1d(np.frombuffer(every.encode("utf-32-le"), np.uint32), np.frombuffer(rest.encode("utf-32-le"), np.uint32))
+        runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+        return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+    return WORD.format(letters=ranges("L"), digits=ranges("N"), space=SPACE)
+
+
+def later_letters() -> dict[int, str]:
+    """Letters that the defining library lowers and Python's edition of Unicode doesn't."""
+    from tokenizers import normalizers
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) != "\n"]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    return {ord(c): small for c, small in zip(every, lowered) if small != c and c.lower() == c}
+
+
 class Tokenizer:
     """The tables of a word-end BPE: symbols of bytes, merges by sorted pair keys, token strings."""
 
@@ -48,6 +76,7 @@ class Tokenizer:
         for table in (vocab, self.special):
             for token, at in table.items():
                 self.tokens[at] = token
+        self.word, self.lower = word_pattern(), later_letters()
         chars = byte_characters()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + WORD_END] for c in chars], np.int64)
@@ -104,15 +133,18 @@ class Tokenizer:
 
 
 class Memory:
-    """Ids of chunks of text between white space that a worker has met, in one growing array."""
+    """Ids of chunks of text between white space that a task has met, in one growing array of bounded size."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.words = re.compile(tokenizer.word).findall
+        self.odd = re.compile("[" + "".join(map(chr, tokenizer.lower)) + "]") if tokenizer.lower else None
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(tokenizer.special, key=len, reverse=True))) + ")")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def chunks(self, text: str | None) -> list[str]:
@@ -136,29 +168,37 @@ class Memory:
 
     def learn(self, chunks: list[str]) -> None:
         words: dict[bytes, int] = {}
-        held: list[list[int]] = []
+        flat: list[int] = []
+        counts: list[int] = []
         for chunk in chunks:
             if chunk[0] == "\n":
-                held.append([-self.tokenizer.special[chunk[1:]] - 1])
-            else:
-                held.append([words.setdefault(w.encode(), len(words)) for w in WORD.findall(chunk)])
+                flat.append(-self.tokenizer.special[chunk[1:]] - 1)
+                counts.append(1)
+                continue
+            if self.odd and self.odd.search(chunk):
+                chunk = chunk.translate(self.tokenizer.lower)
+            found = self.words(chunk)
+            flat += [words.setdefault(w.encode(), len(words)) for w in found]
+            counts.append(len(found))
         ids, sizes = self.tokenizer.encode_words(list(words))
-        ends = np.cumsum(sizes)
-        parts, lengths = [], []
-        for own in held:
-            found = [np.array([-k - 1]) if k < 0 else ids[ends[k] - sizes[k] : ends[k]] for k in own]
-            parts += found
-            lengths.append(sum(map(len, found)))
-        lengths = np.array(lengths, np.int64)
+        place = np.array(flat, np.int64)
+        special = place < 0  # a word of its own, of one id
+        ids, sizes = np.concatenate((ids, -place[special] - 1)), np.concatenate((sizes, np.ones(special.sum(), np.int64)))
+        place[special] = len(words) + np.arange(special.sum())
+        own, ends = sizes[place], np.cumsum(sizes)
+        stops = np.cumsum(own)
+        found = ids[np.repeat(ends[place] - stops, own) + np.arange(stops[-1] if len(stops) else 0)].astype(np.int32)
+        lengths = np.diff(np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))])
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(lengths) - lengths))
         self.size = np.concatenate((self.size, lengths))
-        self.ids = np.concatenate((self.ids, *parts)).astype(np.int32)
+        self.ids = np.concatenate((self.ids, found))
         for chunk in chunks:
             self.known[chunk] = len(self.known)
+        self.held += sum(map(len, chunks)) + OVERHEAD * len(chunks) + 4 * int(lengths.sum())
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         new = [c for c in dict.fromkeys(c for own in cut for c in own) if c not in self.known]
         if new:
@@ -172,7 +212,9 @@ class Memory:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-_MEMORIES: dict[str, Memory] = {}
+def encoded(memory: Memory, texts: list[str | None]) -> pa.ListArray:
+    """The ids of texts, worked out some at a time."""
+    return pa.concat_arrays([memory.encode(part) for part in parts_of(texts)] or [pa.array([], pa.list_(pa.int32()))])
 
 
 def encoder(spark: SparkSession, tokenizer: Tokenizer):
@@ -180,40 +222,65 @@ def encoder(spark: SparkSession, tokenizer: Tokenizer):
 
     It gives what the tokenizer's own library gives without added tokens: texts in normal form C
     and lower case are cut into words, words into bytes, and bytes merged; names of special tokens
-    in a text become their ids. Null and empty texts have no ids. The tables travel with the
-    function; workers only need this library, not the file.
+    in a text become their ids. Null and empty texts have no ids; one text is worked on whole, whatever its length. The
+    tables travel with the function; workers only need this library, not the file. What a task remembers is bounded in bytes and ends with it.
     """
     python_ready(spark)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _MEMORIES.setdefault(tokenizer.name, Memory(tokenizer))
+        memory = Memory(tokenizer)
         for batch in batches:
-            yield memory.encode(batch.to_pylist())
+            yield encoded(memory, batch.to_pylist())
+        del memory
+        released()
 
     return F.arrow_udf(run, "array<int>")
 
 
+def decoded(tokenizer: Tokenizer, ids: pa.ListArray) -> pa.StringArray:
+    """The texts of lists of ids: the tokens' strings, joined by spaces."""
+
+    def text(own: np.ndarray) -> str:
+        tokens = tokenizer.tokens[own[(own >= 0) & (own < tokenizer.size)]].tolist()
+        return " ".join([t for t in tokens if t is not None] if None in tokens else tokens)
+
+    offsets, flat = ids.offsets.to_numpy(), ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([text(flat[offsets[k] : offsets[k + 1]]) if valid[k] else "" for k in range(len(ids))], pa.string())
+
+
 def decoder(spark: SparkSession, tokenizer: Tokenizer):
     """A column function from arrays of token ids to text: the tokens' strings, joined by spaces.
 
     Special tokens are kept, ids that the vocabulary lacks are left out, and null gives an empty text.
     """
     python_ready(spark)
-    names, size = tokenizer.tokens, tokenizer.size
-
-    def text(ids: np.ndarray) -> str:
-        tokens = names[ids[(ids >= 0) & (ids < size)]].tolist()
-        return " ".join([t for t in tokens if t is not None] if None in tokens else tokens)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            offsets, flat = batch.offsets.to_numpy(), batch.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            valid = batch.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([text(flat[offsets[k] : offsets[k + 1]]) if valid[k] else "" for k in range(len(batch))], pa.string())
+            yield decoded(tokenizer, batch)
 
     return F.arrow_udf(run, "string")
 
 
+def round_trip(spark: SparkSession, tokenizer: Tokenizer):
+    """A column function from texts to ``struct<ids: array<int>, decoded: string>``: ``encoder`` and ``decoder`` in one pass through Python.
+
+    One function means one worker a task, and ids that don't travel back to be decoded.
+    """
+    python_ready(spark)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = Memory(tokenizer)
+        for batch in batches:
+            ids = encoded(memory, batch.to_pylist())
+            yield pa.StructArray.from_arrays([ids, decoded(tokenizer, ids)], ["ids", "decoded"])
+        del memory
+        released()
+
+    return F.arrow_udf(run, "struct<ids: array<int>, decoded: string>")
+
+
 def ids_text(ids: Column) -> Column:
     """Token ids in decimal, joined by single spaces."""
     return F.array_join(ids.cast("array<string>"), " ")

@@ -11,7 +11,8 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulant.llm.shared import prefix_sums, python_ready
+from tabulant.llm import bpe
+from tabulant.llm.shared import prefix_sums, python_ready, released
 from tabulant.storage import new_path, stored
 
 #: Tokens to a sequence, bytes to a token, and sequences to a shard file.
@@ -53,39 +54,36 @@ class Permutation:
         return self.walk(slots, self.keys[::-1])
 
 
-def hashed_words(spark: SparkSession):
-    """A column function from texts to two-byte token ids: a hash of each word from 1 on, and 0 at the end.
+def packed(ids: pa.ListArray, end: int, width: int) -> pa.BinaryArray:
+    """Lists of ids as bytes, little-endian, with ``end`` after the last of each; a null list is empty."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    stops = np.cumsum(sizes)
+    data = np.insert(ids.flatten().to_numpy(zero_copy_only=False), stops, end).astype({1: "<u1", 2: "<u2", 4: "<u4"}[width])
+    offsets = np.concatenate(([0], stops + np.arange(1, len(sizes) + 1))).astype(np.int64) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
-    A simple tokenizer without a vocabulary, for tables whose exact one doesn't matter. Null counts as empty.
-    """
-    from tabulant.llm.neardup import word_hashes
 
+def packed_ids(spark: SparkSession, end: int, width: int = WIDTH):
+    """A column function from arrays of token ids to bytes, little-endian, with ``end`` after the last."""
     python_ready(spark)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                words = word_hashes(np.frombuffer((text or "").encode(), np.uint8))
-                out.append(np.append(words % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype("<u2").tobytes())
-            yield pa.array(out, pa.binary())
+            yield packed(batch, end, width)
 
     return F.arrow_udf(run, "binary")
 
 
-def packed_ids(spark: SparkSession, end: int, width: int = WIDTH):
-    """A column function from arrays of token ids to bytes, little-endian, with ``end`` after the last."""
+def packed_texts(spark: SparkSession, tokenizer: bpe.Tokenizer, end: int, width: int = WIDTH):
+    """A column function from texts to the bytes of their ids with ``end`` after the last: encoded and packed in one pass through Python."""
     python_ready(spark)
-    kind = {1: "<u1", 2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = bpe.Memory(tokenizer)
         for batch in batches:
-            sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            stops = np.cumsum(sizes)
-            data = np.insert(batch.flatten().to_numpy(zero_copy_only=False), stops, end).astype(kind)
-            offsets = np.concatenate(([0], stops + np.arange(1, len(sizes) + 1))).astype(np.int64) * width
-            whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield whole.cast(pa.binary())
+            yield packed(bpe.encoded(memory, batch.to_pylist()), end, width)
+        del memory
+        released()
 
     return F.arrow_udf(run, "binary")
 

@@ -55,13 +55,12 @@ def word_tokenizer() -> bpe.Tokenizer:
 def token_digests(docs: DataFrame, tokenizer: bpe.Tokenizer) -> DataFrame:
     """How many tokens each document has, and hashes of them and of the text they decode to."""
     spark = docs.sparkSession
-    encoded = docs.select("doc_id", bpe.encoder(spark, tokenizer)(F.coalesce("text", F.lit(""))).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bpe.decoder(spark, tokenizer)(F.col("ids")).alias("decoded"))
-    return decoded.select(
+    both = docs.select("doc_id", bpe.round_trip(spark, tokenizer)(F.coalesce("text", F.lit(""))).alias("both"))
+    return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("both.ids")), 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -156,8 +155,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids in shuffled shards of two bytes an id, and what these hold when read again."""
     docs, tokenizer = documents(spark, sf_dir), word_tokenizer()
-    ids = bpe.encoder(spark, tokenizer)(F.coalesce("text", F.lit("")))
-    packed = materialise.packed_ids(spark, tokenizer.special["<|endoftext|>"])(ids)
+    packed = materialise.packed_texts(spark, tokenizer, tokenizer.special["<|endoftext|>"])(F.coalesce("text", F.lit("")))
     manifest = materialise.materialise(docs.select("doc_id", packed.alias("tokens")), new_path(spark, "shards"))
     return materialise.read_back(spark, manifest)
 

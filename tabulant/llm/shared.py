@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulant.storage import stored
@@ -19,7 +22,7 @@ TEXT_ROWS = 256
 
 
 #: Characters of text that Python code spreads out into arrays at a time.
-PART = 1_000_000
+PART = 1 << 18
 
 
 def parts_of(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -35,6 +38,14 @@ def parts_of(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
+def released() -> None:
+    """Give back to the system what a finished task held, so that workers that wait for the next one stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shipped(spark: SparkSession) -> None:
     """Let Python workers import this library: Spark sends them its modules, once a session, whatever they can read."""
     context = spark.sparkContext

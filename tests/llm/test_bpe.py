@@ -46,6 +46,12 @@ def test_random_texts(own, library, texts):
     same(own, library, texts)
 
 
+def test_every_character(own, library):
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(characters), 50_000):
+        same(own, library, [f"the{c}the {c}1{c}!{c}{c}'s{c}" for c in characters[k : k + 50_000 : 5]])
+
+
 def test_forgetting_changes_nothing(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     for text in CASES:

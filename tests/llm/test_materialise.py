@@ -50,13 +50,6 @@ def test_shards_hold_the_stream_in_slot_order(spark, tmp_path):
     assert all(slots[r.sequence] == r.slot and r.byte_offset == r.slot % 20 * 32 for r in back)
 
 
-def test_query_holds_every_word(spark):
-    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
-    found = queries.op7_training_order(spark, SF_DIR).collect()
-    words = sum(len((r.text or "").split()) + 1 for r in rows)
-    assert len(found) == -(-words // m.SEQUENCE) == len({r.slot for r in found}) == len({r.sequence for r in found})
-
-
 def test_query_holds_the_library_s_ids(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = sorted(spark.read.parquet(f"{SF_DIR}/documents.parquet").collect(), key=lambda r: r.doc_id)
