@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulant.llm.shared import parts_of, python_ready
+from tabulant.llm.shared import parts_of, python_ready, released
 
 #: Documents of each language that the model learns from, chosen by a hash of their id.
 SAMPLE_DOCS = 2000
@@ -40,43 +40,51 @@ SCRIPTS = (
     (0x10A0, 0x10FF, 12),  # Georgian
     (0x1100, 0x11FF, 13), (0xAC00, 0xD7AF, 13),  # Hangul
     (0x3040, 0x30FF, 14),  # Kana
-    (0x3400, 0x9FFF, 15), (0x20000, 0x2FFFF, 15),  # Han
+    (0x3400, 0x9FFF, 15), (0x20000, 0x323AF, 15),  # Han
 )
 N_SCRIPTS = 16
-_KNOWN = 0x30000
+#: No character from here on is a letter; of marks, the selectors of variants are.
+_KNOWN = 0x323B0
+_SELECTORS = range(0xE0100, 0xE01F0)
 
 SPANS = "array<struct<start: int, stop: int, lang: string>>"
 LABELS = "lang string, score double, spans array<struct<start: int, stop: int, lang: string>>"
 
 
 @cache
-def letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point the script, 0 if it is no letter or mark, and the lower-case form."""
-    script, lower = np.zeros(_KNOWN + 1, np.uint8), np.arange(_KNOWN + 1, dtype=np.uint32)
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point the script, 0 if it is no letter or mark, the lower-case form, and whether it is a mark."""
+    script, lower, mark = np.zeros(_KNOWN + 1, np.uint8), np.arange(_KNOWN + 1, dtype=np.uint32), np.zeros(_KNOWN + 1, bool)
     for code in range(_KNOWN):
         char = chr(code)
-        if unicodedata.category(char)[0] in "LM":
-            script[code] = 1
+        if (kind := unicodedata.category(char)[0]) in "LM":
+            script[code], mark[code] = 1, kind == "M"
             small = char.lower()
             lower[code] = ord(small) if len(small) == 1 else code
     for first, last, number in SCRIPTS:
         part = script[first : last + 1]
         part[part > 0] = number
-    script[_KNOWN] = 15  # the planes above hold rare Han characters
-    return script, lower
+    return script, lower, mark
 
 
 class Words:
-    """The words of some texts, flat: runs of letters and marks that hold a letter triple each."""
+    """The words of some texts, flat: letters with the marks that follow them, each in a letter triple."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        script_of, lower_of = letters()
+        script_of, lower_of, mark_of = letters()
         raw = [np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) for t in texts]
         gap = np.zeros(1, np.uint32)
         flat = np.concatenate([gap, *[piece for r in raw for piece in (r, gap)], gap])
         doc_start = 1 + np.cumsum([0, *[len(r) + 1 for r in raw]])
         clipped = np.minimum(flat, _KNOWN)
         script = script_of[clipped]
+        marks = mark_of[clipped]
+        if (high := (flat >= _SELECTORS.start) & (flat < _SELECTORS.stop)).any():
+            marks, script = marks | high, np.where(high, 1, script)
+        if marks.any():
+            # A mark is of the word whose letter it follows, over other marks; without a letter it is of none.
+            base = np.maximum.accumulate(np.where(marks, 0, np.arange(len(flat))))
+            script = np.where(marks & (script[base] == 0), 0, script)
         clean = np.where(script > 0, lower_of[clipped], 0).astype(np.uint32)
         at = np.flatnonzero(script)
         mix = clean[at - 1] * np.uint32(0x9E3779B1) ^ clean[at] * np.uint32(0x85EBCA77) ^ clean[at + 1] * np.uint32(0xC2B2AE3D)
@@ -219,6 +227,8 @@ def labeller(model: Model):
                 parts, rows, held = [], [], 0
         if parts:
             yield from cut()
+        del parts
+        released()
 
     return F.arrow_udf(run, LABELS)
 
@@ -255,12 +265,12 @@ def fit(docs: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> Mo
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: ``doc_id, lang, score, spans``, from its text alone.
 
-    Words are runs of letters and marks. A word's script leaves the languages that use it (all, if
+    Words are runs of letters, with marks after them. A word's script leaves the languages that use it (all, if
     none does); its letter triples, edges included, score these; the labels of all words together
     maximise the scores less a penalty for each change. ``spans`` are runs of words with one label,
     as character positions; ``lang`` has most letters, and ``score`` is its share of them.
 
-    A text that is null or has no letter is ``und`` with score 0 and no spans, and so is every text
+    A text that is null or has no letter (Unicode category L; a mark is none) is ``und`` with score 0 and no spans, and so is every text
     if nothing was learned. Equal shares go to the language that sorts first. Rows repeated are
     repeated in the result; null ids stay null; other columns are not read.
     """

@@ -34,7 +34,7 @@ _SPACE[[9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line, its length in characters, and how many lines each text has."""
-    script_of, lower_of = letters()
+    script_of, lower_of, _ = letters()
     raw = [np.frombuffer((t + "\n").encode("utf-32-le", "replace"), np.uint32) for t in texts]
     flat = np.concatenate(raw)
     ends = np.flatnonzero(flat == 10)
@@ -215,19 +215,19 @@ def fitted(features: np.ndarray, size: np.ndarray, per_doc: np.ndarray, good: np
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> Field | None:
     """Learn from about ``sample_docs`` labelled documents among those where ``train`` holds.
 
-    ``labels`` has ``doc_id`` and ``quality``. The sample is chosen by a hash of the id at a rate that
+    ``labels`` has ``doc_id`` and ``quality``; other values than 0 and 1 are no labels. The sample is chosen by a hash of the id at a rate that
     follows from the number of labels, evenly from both, and fitted in one task, whose size
     the parameter bounds: of rows that share an id the smallest text counts. None if both labels don't occur.
     """
     python_ready(docs.sparkSession)
     # One label to an id; where several disagree the document is bad.
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(train)
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(train)
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if set(counts) < {0, 1}:
+    if set(counts) != {0, 1}:
         return None
     rate = F.lit(sample_docs / 2) / F.when(F.col("quality") == 1, counts[1]).otherwise(counts[0])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.where((chance < rate) & F.col("quality").isin(0, 1))
+    chosen = known.where(chance < rate)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # The sample's ids are as many as the parameter says, so they can go to every task; each gives one text.
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))

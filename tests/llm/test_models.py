@@ -106,3 +106,23 @@ def test_quality_edges(spark, docs):
     assert quality.score(docs([]), model).collect() == []
     assert quality.fit(df, labels.where("quality = 1"), F.lit(True)) is None
     assert {r.score for r in quality.score(df, None).collect()} == {0.5}
+
+
+def test_texts_without_letters_have_no_language(spark, docs):
+    """Marks, private use and the tags of a flag are no letters; marks inside a word leave it whole."""
+    bare = ["❤️ 12", "\u0301", "\ue000\ue001", "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U00040000", "", None, " 1 ! "]
+    words = ["cafe\u0301 the", "葛\U000e0100城", "\U00030001"]
+    model = language.Model(["de", "en"], np.ones((2, language.TRIPLES + language.N_SCRIPTS)))
+    rows = docs([(k, text, "a") for k, text in enumerate(bare + words)])
+    found = {r.doc_id: r for r in language.identify(rows, model).collect()}
+    assert [(found[k].lang, found[k].score, found[k].spans) for k in range(len(bare))] == [("und", 0.0, [])] * len(bare)
+    assert all(found[len(bare) + k].lang != "und" for k in range(len(words)))
+    assert language.Words(words).sizes.tolist() == [5, 3, 3, 1]
+
+
+def test_label_values_other_than_two_are_none(spark, docs):
+    rows = docs([(k, f"line {k}\nother", "a") for k in range(8)])
+    labels = spark.createDataFrame([(k, v) for k, v in enumerate([0, 2, 0, 2, 7, None, 0, 2])], "doc_id long, quality int")
+    assert quality.fit(rows, labels, F.lit(True)) is None
+    labels = spark.createDataFrame([(k, v) for k, v in enumerate([0, 2, 1, 2, 7, None, 0, 1])], "doc_id long, quality int")
+    assert quality.fit(rows, labels, F.lit(True)) is not None
