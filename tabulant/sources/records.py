@@ -3,9 +3,10 @@
 Such a file cannot be cut at any line end, since that may lie inside a cell. Whether a line ends
 inside one depends on where it starts: a quote opens a cell only at a cell's border, and inside
 one it closes it unless doubled. So each line is a function on two states, outside and inside,
-and so is each run of lines. The functions of the splits are composed in file order; every
-split then knows how it starts and finds its own records, whatever stray quotes it holds. Only
-a record that crosses a split border is put together elsewhere.
+and so is each run of lines. A first pass gives the function of every split, one row each; composed in
+file order, they tell how each split starts. A second pass reads the splits again and finds their
+records in a stream, whatever stray quotes they hold, so that text moves nowhere. Only the lines of
+records that cross a split border are read once more, moved and put together.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulant.functions.text import strip
+from tabulant.sources.record_stream import IN, KEEPS, OUT, RECORDS_DDL, SPLITS_DDL, TURNS, split_states, whole_records
+from tabulant.storage import stored
+
+#: Up to so many splits, of some 200 bytes each, are sent to every task; more are joined by shuffle.
+SENT_SPLITS = 200_000
 
 
 def _ends_inside(value: Column, delimiter: str) -> tuple[Column, Column]:
@@ -30,87 +36,72 @@ def _ends_inside(value: Column, delimiter: str) -> tuple[Column, Column]:
 
 
 def _lines(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
-    """Lines with their split and place in it; carriage returns stay part of the line.
-
-    ``fixed`` is the state after a line that leaves the same one whatever came before, else null;
-    ``flips`` is 1 for a line that turns each state into the other.
-    """
+    """Lines with their split, their place in it and what they do to the state; carriage returns stay part of the line."""
     lines = spark.read.option("lineSep", "\n").text(files)
     outside, inside = _ends_inside(F.col("value"), delimiter)
-    plain = ~F.col("value").contains('"')
-    ends = lines.select(
+    kind = F.when(outside & inside, IN).when(outside, TURNS).when(inside, KEEPS).otherwise(OUT)
+    return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
         "value",
-        F.when(plain, F.lit(False)).otherwise(outside).alias("outside"),
-        F.when(plain, F.lit(True)).otherwise(inside).alias("inside"),
-    )
-    return ends.select(
-        "file",
-        "start",
-        "id",
-        "value",
-        F.when(F.col("outside") == F.col("inside"), F.col("outside").cast("int")).alias("fixed"),
-        (F.col("outside") & ~F.col("inside")).cast("int").alias("flips"),
+        F.when(F.col("value").contains('"'), kind).otherwise(KEEPS).cast("byte").alias("kind"),
     )
 
 
-def _state(fixed: Column, flips: Column, flips_at_fixed: Column, before: Column) -> Column:
-    """The state after a run: from its last fixed state, or from before it, turned by the flips since."""
-    return (F.coalesce(fixed, before) + flips - F.coalesce(flips_at_fixed, F.lit(0))) % 2
-
-
 def _joined(parts: str, *order: str):
     """Texts of a group put together again in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, parts))), lambda p: p[parts]), "\n")
 
 
-def split_records(spark: SparkSession, files: list[str], delimiter: str = ",") -> DataFrame:
-    """``(file, start, id, text)`` of every record but the headers."""
-    lines = _lines(spark, files, delimiter)
-    in_split = Window.partitionBy("file", "start")
-    # A split is what one read task holds, so sorting its lines in one task is bounded.
-    earlier = in_split.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    counted = lines.withColumn("flips_before", F.coalesce(F.sum("flips").over(earlier), F.lit(0)))
-    last_fixed = F.when(F.col("fixed").isNotNull(), F.struct("id", "fixed", (F.col("flips_before") + F.col("flips")).alias("at")))
-    counted = counted.withColumn("known", F.max(last_fixed).over(earlier))
-    # One row per split, so composing a file's splits in one task is bounded by their number.
-    splits = counted.groupBy("file", "start").agg(F.max(last_fixed).alias("known"), F.sum("flips").alias("flips"))
-    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("all_flips", F.coalesce(F.sum("flips").over(so_far), F.lit(0)))
-    at = F.when(F.col("known").isNotNull(), F.struct("start", F.col("known.fixed"), (F.col("all_flips") + F.col("known.at")).alias("at")))
-    splits = splits.withColumn("last", F.max(at).over(so_far))
-    before = _state(F.col("last.fixed"), F.col("all_flips"), F.col("last.at"), F.lit(0))
-    after = _state(F.col("known.fixed"), F.col("flips"), F.col("known.at"), F.col("before"))
-    splits = splits.withColumn("before", before).select("file", "start", "before", (after == 1).alias("split_ends_open"))
-
-    placed = counted.join(splits, ["file", "start"]).withColumn(
-        "begins",
-        (_state(F.col("known.fixed"), F.col("flips_before"), F.col("known.at"), F.col("before")) == 0).cast("int"),
-    )
-    through = in_split.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = placed.withColumn("record", F.sum("begins").over(through))
-    records = numbered.groupBy("file", "start", "record").agg(
-        _joined("value", "id").alias("text"),
-        F.min("id").alias("id"),
-        F.first("split_ends_open").alias("split_ends_open"),
+def _splits(lines: DataFrame) -> DataFrame:
+    """``file, start, before, open, first, last, header`` of every split that holds lines.
+
+    ``before`` is its state at the start, ``open`` whether its last record goes on; ``first`` and ``last`` are the ids of
+    the lines at which its records begin.
+    """
+    flags = lines.select("file", "start", "id", "kind", (strip(F.col("value")) == "").alias("blank"))
+    found = stored(flags.mapInArrow(split_states, SPLITS_DDL), "splits")
+    # One row a split, so composing a file's splits in one task is bounded by their number.
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    turns = ((F.col("after0") == 1) & (F.col("after1") == 0)).cast("int")
+    counted = found.withColumn("turned", F.coalesce(F.sum(turns).over(earlier), F.lit(0)))
+    sets = F.when(F.col("after0") == F.col("after1"), F.struct("start", F.col("after0").alias("state"), "turned"))
+    placed = counted.withColumn("set", F.max(sets).over(earlier))
+    before = (F.coalesce("set.state", F.lit(0)) + F.col("turned") - F.coalesce("set.turned", F.lit(0))) % 2
+
+    def given(name: str) -> Column:
+        return F.when(F.col("before") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+
+    return placed.withColumn("before", before).select(
+        "file", "start", "before", (given("after") == 1).alias("open"), given("first").alias("first"), given("last").alias("last"), "header"
     )
-    header = F.min(F.when(strip(F.col("text")) != "", F.col("record"))).over(in_split)
-    last = F.max("record").over(in_split)
-    records = records.withColumns(
-        {
-            "is_header": (F.col("start") == 0) & (F.col("record") == header),
-            "is_part": (F.col("record") == 0) | (F.col("split_ends_open") & (F.col("record") == last)),
-        }
-    ).where(~F.col("is_header"))
-
-    whole = records.where(~F.col("is_part")).select("file", "start", "id", "text")
-    # At most two parts per split; a part that begins a record opens the next group.
-    parts = records.where("is_part")
-    in_file = Window.partitionBy("file").orderBy("start", "record")
-    grouped = parts.withColumn("group", F.sum((F.col("record") > 0).cast("int")).over(in_file))
-    crossing = grouped.groupBy("file", "group").agg(
-        F.min(F.struct("start", "id")).alias("first"), _joined("text", "start", "record").alias("text")
+
+
+def split_records(spark: SparkSession, files: list[str], delimiter: str = ",", sent_splits: int = SENT_SPLITS) -> DataFrame:
+    """``(file, start, id, text)`` of every record but the headers.
+
+    The splits' rows are sent to all tasks up to ``sent_splits`` of them, some 200 bytes each; beyond that lines meet them by shuffle.
+    """
+    lines = _lines(spark, files, delimiter)
+    splits = stored(_splits(lines), "splits")
+    few = splits.count() <= sent_splits
+    known = lines.join(F.broadcast(splits) if few else splits, ["file", "start"])
+    if not few:
+        known = known.sortWithinPartitions("file", "start", "id")
+    whole = known.select("file", "start", "id", "value", "kind", "before", "header").mapInArrow(whole_records, RECORDS_DDL)
+
+    # At most two parts a split cross its borders; one that begins a record opens the next group.
+    crossing = splits.where((F.col("before") == 1) | F.col("open")).select("file", "start", "open", "first", "last", "header")
+    plain = lines.select("file", "start", "id", "value").join(F.broadcast(crossing) if few else crossing, ["file", "start"])
+    opens = F.col("open") & F.coalesce(F.col("id") >= F.col("last"), F.lit(False))
+    goes_on = F.coalesce(F.col("id") < F.col("first"), F.lit(True))
+    parts = plain.where(opens | goes_on).groupBy("file", "start", (~goes_on).cast("int").alias("begins")).agg(
+        _joined("value", "id").alias("text"), F.min("id").alias("id"), F.first("header").alias("header")
     )
-    return whole.unionByName(crossing.select("file", "first.start", "first.id", "text"))
+    in_file = Window.partitionBy("file").orderBy("start", "begins")
+    grouped = parts.withColumn("group", F.sum("begins").over(in_file))
+    first = F.min(F.struct("start", "id", "header", "begins"))
+    stitched = grouped.groupBy("file", "group").agg(first.alias("first"), _joined("text", "start", "begins").alias("text"))
+    stitched = stitched.where(~F.coalesce(F.col("first.id") == F.col("first.header"), F.lit(False)))
+    return whole.unionByName(stitched.select("file", "first.start", "first.id", "text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulant.columns import ORDINAL, data_columns
 from tabulant.operators.ordering import number_records
+from tabulant.sources.records import split_records
 from tabulant.sources.delimited import (
     NULL_TOKENS,
     QUARANTINED,
@@ -184,6 +185,26 @@ def test_large_files_with_quoted_line_ends_are_split(spark, folder, small_splits
     assert split.count() == 300
 
 
+def test_many_splits_meet_their_lines_by_shuffle(spark, folder, small_splits):
+    rows = "".join(f'{i},"{"x" * (i % 40)}\n{i}"\n' if i % 3 else f"{i},y\n" for i in range(300))
+    path = write(folder / "a.csv", 'a,"b\nc"\n' + rows)
+    found = [sorted(split_records(spark, [path], ",", most).collect()) for most in (0, 1000)]
+    assert found[0] == found[1] and len(found[0]) == 300
+    assert [r.text.split(",")[0] for r in found[0]] == [str(i) for i in range(300)]
+
+
+def test_text_of_whole_records_moves_nowhere(spark, folder, small_splits):
+    path = write(folder / "a.csv", "a,b\n" + '1,"x\ny"\n' * 200)
+    plan = split_records(spark, [path])._jdf.queryExecution().optimizedPlan().toString()
+    whole = plan.split("MapInArrow", 1)[1].split("Aggregate", 1)[0]
+    assert "Repartition" not in whole and "Sort" not in whole and "Window" not in whole
+
+
+def test_header_longer_than_a_split_is_no_record(spark, folder, small_splits):
+    path = write(folder / "a.csv", '\n"' + "long\n" * 200 + '",b\n' + '1,"x\ny"\n' * 50)
+    assert sorted(r.text for r in split_records(spark, [path]).collect() if r.text) == ['1,"x\ny"'] * 50
+
+
 def test_stray_quotes_in_a_split_file(spark, folder, small_splits):
     path = write(folder / "a.csv", 'a,b\n1,x"y\n2,"p\nq"\n' + "3,z\n" * 200)
     rows = in_order(read_delimited(spark, path))
