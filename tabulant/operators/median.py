@@ -5,6 +5,10 @@ column and keeps, per column, only the bucket that holds its middle rank. Bucket
 monotone, so the kept bucket is exact, not a guess. Rounds take turns between even and
 logarithmic buckets, so wide and narrow spreads both close in fast. A round shuffles bucket counts only.
 Once few enough values are left between the bounds, the middle ones are picked by rank.
+
+Callers that aggregate anyway can add a quantile sketch, which gives each column a narrow bracket around
+its median. One pass then counts what lies below it and the values in it, and the ranks say whether
+the sketch was right: the median is exact, or the column goes through the rounds. Two passes in all.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 2048
+# The sketch's ranks are off by at most one in so many values.
+SKETCH = 10_000
 # At most this many values of one column are ranked in one task.
 RANKED_VALUES = 100_000
 
@@ -125,13 +131,50 @@ def _pick(df: DataFrame, columns: Mapping[int, Column], searches: dict[int, _Sea
     return {keys[at]: x[0] if min(x) == max(x) else (min(x) + max(x)) / 2 for at, x in found.items()}
 
 
+def bracket(value: Column) -> Column:
+    """An aggregate: two values that enclose the median, with few others between them."""
+    return F.percentile_approx(value, [0.5 - 2 / SKETCH, 0.5 + 2 / SKETCH], SKETCH)
+
+
+def _in_brackets(
+    df: DataFrame, columns: Mapping[int, Column], searches: dict[int, _Search], brackets: Mapping[int, tuple[float, float]]
+) -> dict[int, float]:
+    """Medians that their brackets enclose, from one pass; a column whose bracket misses is left out.
+
+    Each task sends one count for all values below a bracket and one for each value in it, so equal values are one row.
+    """
+    order = list(searches.values())
+    cells: list[Column] = []
+    for at, key in enumerate(searches):
+        value, (low, high) = F.col(f"v{key}"), brackets[key]
+        # Null stands for all below: they sort first and count alike.
+        cells += [F.when(value <= F.lit(high), F.lit(at)), F.when(value >= F.lit(low), value)]
+    values = df.select(*(columns[key].alias(f"v{key}") for key in searches))
+    long = values.select(F.stack(F.lit(len(searches)), *cells).alias("at", "x")).where(F.col("at").isNotNull())
+    counts = long.groupBy("at", "x").agg(F.count(F.lit(1)).alias("n"))
+    after = F.sum("n").over(Window.partitionBy("at").orderBy(F.col("x").asc_nulls_first()))
+    placed = counts.withColumn("after", after)
+    held = [
+        (_constants([ranks(s) for s in order]) < F.col("after")) & (_constants([ranks(s) for s in order]) >= F.col("after") - F.col("n"))
+        for ranks in (lambda s: s.first, lambda s: s.second)
+    ]
+    found: dict[int, dict[int, float]] = {}
+    for row in placed.where((held[0] | held[1]) & F.col("x").isNotNull()).select("at", "x", *(h.alias(f"h{k}") for k, h in enumerate(held))).collect():
+        for k in (0, 1):
+            if row[f"h{k}"]:
+                found.setdefault(row["at"], {})[k] = row["x"]
+    keys = list(searches)
+    return {keys[at]: x[0] if x[0] == x[1] else (x[0] + x[1]) / 2 for at, x in found.items() if len(x) == 2}
+
+
 def exact_medians(
     df: DataFrame,
     columns: Mapping[int, Column],
     known: Mapping[int, tuple[int, float, float]],
     ranked_values: int = RANKED_VALUES,
+    brackets: Mapping[int, tuple[float, float]] | None = None,
 ) -> dict[int, float]:
-    """Medians by key; ``known`` gives each column's value count, minimum and maximum."""
+    """Medians by key; ``known`` gives each column's value count, minimum and maximum, ``brackets`` what ``bracket`` gave."""
     medians: dict[int, float] = {}
     searches: dict[int, _Search] = {}
     for key, (count, low, high) in known.items():
@@ -139,6 +182,11 @@ def exact_medians(
             medians[key] = low
         else:
             searches[key] = _Search(low, high, 0, count, (count - 1) // 2, count // 2)
+    # What a right bracket holds, but for equal values, which count as one.
+    close = {k: s for k, s in searches.items() if brackets and s.inside * 6 / SKETCH <= ranked_values}
+    if close:
+        medians.update(_in_brackets(df, columns, close, brackets))
+        searches = {k: s for k, s in searches.items() if k not in medians}
     small: dict[int, _Search] = {}
     spread = False
     while searches:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabulant.catalog import Catalog, Field
 from tabulant.columns import first_row_keys, text
 from tabulant.functions.casts import infer_layouts, instant, iso_text, number
-from tabulant.operators.median import RANKED_VALUES, exact_medians
+from tabulant.operators.median import RANKED_VALUES, bracket, exact_medians
 
 KEY_ROW = "__FILEKEY__"
 DUPLICATE_KEYS_SHOWN = 10
@@ -98,7 +98,7 @@ def typed_profile(
 ) -> DataFrame:
     """Counts, ranges, sums, means and exact medians of numeric and date fields.
 
-    One aggregate over the data gives everything but the medians; one row reaches the driver.
+    One aggregate over the data gives everything but the medians, and a bracket for each; one row reaches the driver.
     """
     dated = [(i, f) for i, f in fields if f.kind != "Num"]
     chosen = infer_layouts(df, [f.name for _, f in dated], order, layouts) if dated else {}
@@ -109,13 +109,13 @@ def typed_profile(
         value = F.col(f"v{i}")
         aggregates += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
         if field.kind == "Num":
-            aggregates.append(F.sum(value).alias(f"sum{i}"))
+            aggregates += [F.sum(value).alias(f"sum{i}"), bracket(value).alias(f"mid{i}")]
     totals = parsed.agg(*aggregates)
     for i, _ in dated:
         totals = totals.withColumns({f"lo{i}": iso_text(F.col(f"lo{i}")), f"hi{i}": iso_text(F.col(f"hi{i}"))})
     row = totals.first()
     known = {i: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, f in fields if f.kind == "Num" and row[f"n{i}"]}
-    medians = exact_medians(df, values, known, ranked_values) if known else {}
+    medians = exact_medians(df, values, known, ranked_values, {i: row[f"mid{i}"] for i in known}) if known else {}
     result = []
     for i, field in fields:
         total, valid = row["rows"], row[f"n{i}"]

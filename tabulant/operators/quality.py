@@ -10,8 +10,8 @@ from tabulant.operators.profile import KEY_ROW
 DUPLICATES = "Detected %d duplicate key combinations in FileKey columns."
 MISSINGNESS = "Average null ratio exceeds 10%; review missingness patterns."
 PARSING = "Type parsing success below 95%; metadata type mismatch likely."
-SKEW = "Distribution hint: %s appears %s (mean/median gap ratio %.2f)."
-OUTLIER = "Outlier hint: %s shows wide spread (max/min-style ratio indicator %,.2f)."
+SKEW = "Distribution hint: %s appears %s (mean/median gap ratio %s)."
+OUTLIER = "Outlier hint: %s shows wide spread (max/min-style ratio indicator %s)."
 DESCRIPTIONS = "%d fields are missing FieldDesc metadata."
 ALL_CLEAR = "No major data quality risks detected from quick profile."
 
@@ -49,11 +49,20 @@ def scorecard(profiled: DataFrame, warnings: DataFrame) -> DataFrame:
 
 
 def _widest(measure: Column, *told: str) -> Column:
-    """The numeric field with the largest measure, the earliest field winning ties, and columns of it."""
+    """The numeric field with the largest measure, the earliest field winning ties, and columns of it.
+
+    A measure that is no number, as the mean of opposite infinities, exceeds none.
+    """
+    measure = F.nanvl(measure, F.lit(None).cast("double"))
     scored = F.struct(measure.alias("score"), (-F.col("ordinal")).alias("earlier"), "field_name", *told)
     return F.max(F.when((F.col("stat_type") == "Num") & measure.isNotNull(), scored))
 
 
+def _told(score: Column, form: str) -> Column:
+    """A score as findings show it."""
+    return F.when(score == float("inf"), F.lit("inf")).otherwise(F.format_string(form, score))
+
+
 def _finding(rule: str, holds: Column, message: Column) -> Column:
     return F.when(holds, F.struct(F.lit(rule).alias("rule"), message.alias("finding")))
 
@@ -84,8 +93,8 @@ def findings(
         _finding("duplicate_keys", F.col("duplicate_key_count") > 0, F.format_string(DUPLICATES, "duplicate_key_count")),
         _finding("missingness", F.col("null_rate") > 0.1, F.lit(MISSINGNESS)),
         _finding("parse_success", F.col("parse_rate") < 0.95, F.lit(PARSING)),
-        _finding("skew", skew[1] >= 0.5, F.format_string(SKEW, skew[0], side, skew[1])),
-        _finding("outlier", outlier[1] >= 20.0, F.format_string(OUTLIER, *outlier)),
+        _finding("skew", skew[1] >= 0.5, F.format_string(SKEW, skew[0], side, _told(skew[1], "%.2f"))),
+        _finding("outlier", outlier[1] >= 20.0, F.format_string(OUTLIER, outlier[0], _told(outlier[1], "%,.2f"))),
         _finding("missing_descriptions", F.col("undescribed") > 0, F.format_string(DESCRIPTIONS, "undescribed")),
     )
     shown = F.col("warned") if most_warnings is None else F.slice("warned", 1, most_warnings)

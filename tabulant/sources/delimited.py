@@ -109,7 +109,7 @@ def survey_files(
     """
     quote = F.col("value").contains('"')
     # A lone carriage return may be a line end to a reader of lines, so with a quote it counts as open.
-    value = F.regexp_replace("value", r"\r\z", "")
+    value = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     left = F.regexp_replace(value, _quoted_cell(delimiter), "")
     is_open = F.when(quote, left.contains('"') | value.contains("\r"))
     lines = spark.read.option("lineSep", "\n").text(path).select(

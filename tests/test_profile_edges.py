@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabulant.catalog import Catalog, Field
 from tabulant.operators.charts import chart_data
 from tabulant.operators.filters import apply_grid_filters
-from tabulant.operators.median import exact_medians
+from tabulant.operators.median import bracket, exact_medians
 from tabulant.operators.options import measure_ranges
 from tabulant.operators.ordering import (
     RECORD,
@@ -36,6 +36,19 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("wrong", [False, True])
+def test_medians_from_brackets_are_exact_even_if_the_brackets_miss(spark, wrong):
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), 5.0 if k % 3 else rng.random(), float("inf") if k % 5 else -1.0) for k in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    names = df.columns
+    known = {i: (len(rows), min(r[i] for r in rows), max(r[i] for r in rows)) for i in range(4)}
+    row = df.agg(*(bracket(F.col(n)).alias(n) for n in names)).first()
+    brackets = {i: (known[i][1], known[i][1]) if wrong else row[n] for i, n in enumerate(names)}
+    got = exact_medians(df, {i: F.col(n) for i, n in enumerate(names)}, known, brackets=brackets)
+    assert got == {i: statistics.median(r[i] for r in rows) for i in range(4)}
+
+
 @pytest.mark.parametrize("size", [1, 2, 5001, 5002])
 def test_medians_are_exact_however_few_values_are_ranked(spark, size):
     rng = random.Random(size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabulant.catalog import Catalog, Field
 from tabulant.operators.profile import duplicate_keys, field_stats as keep_stats, key_profile, profile, shaped
@@ -349,6 +349,27 @@ def quality_findings_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(profiled, catalogs, warnings)
 
 
+@query(
+    """WITH s AS (SELECT avg(x) AS mean, median(x) AS med FROM (SELECT (o_orderkey % 100)::DOUBLE ** 4 AS x FROM orders))
+    SELECT CAST(row_number() OVER (ORDER BY rule DESC) AS INTEGER) AS rank, rule, finding FROM (
+    SELECT 'skew' AS rule, 'Distribution hint: x appears right-skewed (mean/median gap ratio '
+    || format('{:.2f}', (mean - med) / med) || ').' AS finding FROM s WHERE (mean - med) / med >= 0.5 UNION ALL
+    SELECT 'outlier', 'Outlier hint: y shows wide spread (max/min-style ratio indicator inf).'
+    FROM orders WHERE o_orderkey % 100 IN (1, 2) HAVING count(DISTINCT o_orderkey % 100) = 2)"""
+)
+def quality_findings_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of ``y`` is no number, so it hides no other field's skew."""
+    place = F.col("o_orderkey") % 100
+    x = F.pow(place.cast("double"), F.lit(4.0)).alias("x")
+    y = F.when(place == 1, float("inf")).when(place == 2, float("-inf")).otherwise(1.0).alias("y")
+    fields = [Field("o_orderkey", "Char", "", "Order", "D"), *(Field(n, "Num", "", f"Measure {n}", "M") for n in ("y", "x"))]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", y, x)
+    profiled, catalogs, warnings = _quality(rows, Catalog(("o_orderkey",), tuple(fields)))
+    return findings(profiled, catalogs, warnings).where(F.col("rule").isin("skew", "outlier")).withColumn(
+        "rank", F.row_number().over(Window.orderBy("rank"))
+    )
+
+
 @query(
     """SELECT CAST(1 AS INTEGER) AS rank, 'all_clear' AS rule, 'No major data quality risks detected from quick profile.' AS finding
     FROM (SELECT count(*) - count(DISTINCT o_orderkey) AS repeated, avg(CAST(o_orderstatus IS NULL AS INTEGER)) AS gaps FROM orders)
