@@ -40,30 +40,39 @@ def text(df: DataFrame, name: str) -> Column:
 
 @dataclass(frozen=True)
 class SortKey:
-    """A computed sort key, nulls last; sorts store it, since comparing rows would recompute it."""
+    """A sort key, nulls last; sorts store a computed one, since comparing rows would recompute it."""
 
     value: Column
     ascending: bool = True
+    computed: bool = True
+
+    @property
+    def way(self) -> Column:
+        return self.value.asc_nulls_last() if self.ascending else self.value.desc_nulls_last()
 
 
 Order = Sequence[Column | SortKey]
 
 
-def text_key(df: DataFrame, name: str, ascending: bool = True) -> Column | SortKey:
+def text_key(df: DataFrame, name: str, ascending: bool = True) -> SortKey:
     """Sort a column as text, nulls last."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return SortKey(text(df, name), ascending)
-    return named(name).asc_nulls_last() if ascending else named(name).desc_nulls_last()
+    return SortKey(text(df, name), ascending, computed=not isinstance(df.schema[name].dataType, T.StringType))
 
 
 def with_sort_keys(df: DataFrame, order: Order) -> tuple[DataFrame, list[Column]]:
     """Store computed keys in helper columns; returns the frame and the columns to sort by."""
+    keyed, stored = keys_stored(df, order)
+    return keyed, [key.way if isinstance(key, SortKey) else key for key in stored]
+
+
+def keys_stored(df: DataFrame, order: Order) -> tuple[DataFrame, Order]:
+    """The frame with its computed keys in helper columns, and the order by these."""
     stored, keys = {}, []
     for i, key in enumerate(order):
-        if isinstance(key, SortKey):
+        if isinstance(key, SortKey) and key.computed:
             name = f"{HELPER_PREFIX}sort{i}__"
             stored[name] = key.value
-            key = F.asc_nulls_last(name) if key.ascending else F.desc_nulls_last(name)
+            key = SortKey(F.col(name), key.ascending, computed=False)
         keys.append(key)
     return (df.withColumns(stored) if stored else df), keys
 
@@ -80,11 +89,11 @@ def order_rows(df: DataFrame, order: Order) -> DataFrame:
     return keyed.orderBy(*keys).select(*map(named, df.columns))
 
 
-def row_order(df: DataFrame, tiebreak: Sequence[str] | None = None) -> list[Column]:
+def row_order(df: DataFrame, tiebreak: Sequence[str] | None = None) -> list[SortKey]:
     """Columns fixing the row order: the given ones, else the ordinal, else every data column."""
     if tiebreak is None:
         tiebreak = [ORDINAL] if ORDINAL in df.columns else data_columns(df)
-    return [named(c).asc_nulls_last() for c in tiebreak]
+    return [SortKey(named(c), computed=False) for c in tiebreak]
 
 
 def first_row_keys(df: DataFrame, keys: Sequence[str]) -> list[Column]:

@@ -17,17 +17,19 @@ from tabulant.columns import (
     ORDINAL,
     Order,
     HELPER_PREFIX,
+    SortKey,
     data_columns,
     free_name,
+    keys_stored,
     named,
     order_rows,
     row_order,
     text,
     text_key,
-    with_sort_keys,
 )
 from tabulant.operators.filters import apply_grid_filters
 from tabulant.sources.snapshot import Snapshot, write_snapshot
+from tabulant.storage import stored
 
 RECORD = "record_number"
 
@@ -39,8 +41,10 @@ def record_name(columns: Sequence[str]) -> str:
 
 PAGE_ROWS = 500
 # Rows up to this position are taken by a bounded top-k, which one task merges from the first
-# rows of all others; later ones come from a sorted snapshot.
+# rows of all others; for later ones the range of sort keys that holds them is found first.
 TOP_ROWS = 10_000
+# Ranges of sort keys that are counted for a late page, at least.
+RANGES = 256
 
 GUARD_ROWS = 200_000
 GUARD_CELLS = 12_000_000
@@ -104,16 +108,86 @@ def _leading(df: DataFrame, keys: Sequence[Column], rows: int) -> DataFrame:
     return placed.where(F.col(HELPER_PREFIX + "within__") < rows).drop(HELPER_PREFIX + "within__")
 
 
+def _from(keys: Sequence[SortKey], bound: Column) -> Column:
+    """Whether a row stands at a bound or after it; the bound's fields are ``k0``, ``k1`` and so on."""
+    after = F.lit(True)
+    for i, key in reversed(list(enumerate(keys))):
+        value, least = key.value, bound.getField(f"k{i}")
+        beyond = (value.isNull() & least.isNotNull()) | ((value > least) if key.ascending else (value < least))
+        after = beyond | (value.eqNullSafe(least) & after)
+    return F.coalesce(after, F.lit(False))
+
+
+def _key_ranges(keyed: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
+    """The rows' sort keys in ranges: ``part, rows, first``, one row a range. Nothing but keys is moved."""
+    names = [f"k{i}" for i in range(len(keys))]
+    only = keyed.select(*(key.value.alias(name) for key, name in zip(keys, names)))
+    order = [SortKey(F.col(name), key.ascending).way for key, name in zip(keys, names)]
+    parts = max(RANGES, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = only.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ranged.select(F.spark_partition_id().alias("part"), F.when(within == 0, F.struct(*names)).alias("first"))
+    found = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.get(F.collect_list("first"), F.lit(0)).alias("first"))
+    return stored(found, "ranges")
+
+
+def _narrowed(
+    keyed: DataFrame, keys: Sequence[SortKey], start: int, stop: int, top_rows: int, total: int | None = None
+) -> tuple[DataFrame, int]:
+    """The rows of the key ranges that hold ``start`` up to ``stop``, and how many rows come before these.
+
+    The counts of ranges say which hold them; a range still too large is cut into ranges again, as long as that helps.
+    """
+    ranges = _key_ranges(keyed, keys)
+    counts = [(r["part"], r["rows"]) for r in ranges.select("part", "rows").orderBy("part").collect()]
+    whole = sum(rows for _, rows in counts)
+    if whole == total or start >= whole:
+        return (keyed, 0) if whole == total else (keyed.limit(0), 0)
+    before, first, skipped, last = 0, None, 0, None
+    for at, (part, rows) in enumerate(counts):
+        if first is None and before + rows > start:
+            first, skipped = part, before
+        if last is None and before + rows >= stop:
+            last = at
+        before += rows
+
+    def bound(part: int) -> Column:
+        return ranges.where(F.col("part") == part).select("first").scalar()
+
+    kept = keyed.where(_from(keys, bound(first)))
+    if last is not None and last + 1 < len(counts):
+        kept = kept.where(~_from(keys, bound(counts[last + 1][0])))
+    inside = sum(rows for part, rows in counts if part >= first) if last is None else sum(
+        rows for part, rows in counts[: last + 1] if part >= first
+    )
+    if inside > 2 * top_rows + stop - start and inside < whole:
+        inner, more = _narrowed(kept, keys, start - skipped, stop - skipped, top_rows, inside)
+        return inner, skipped + more
+    return kept, skipped
+
+
 def rows_between(df: DataFrame, order: Order, start: int, stop: int, top_rows: int = TOP_ROWS) -> DataFrame:
-    """Rows at positions ``start`` (0-based) up to ``stop`` in the given order, numbered from 1."""
+    """Rows at positions ``start`` (0-based) up to ``stop`` in the given order, numbered from 1.
+
+    Late ones lie in ranges of sort keys that counts point out, so only these ranges are read on and sorted. An order
+    by expressions that aren't sort keys can't be compared with a bound; then the leading rows of every partition are.
+    """
     columns = data_columns(df)
     record = record_name(columns)
-    keyed, keys = with_sort_keys(df, order)
-    if stop > top_rows:
-        rows = write_snapshot(_leading(keyed, keys, stop), keys).slice(start, stop, columns)
-        return rows.withColumnRenamed(ORDINAL, record)
-    # At most ``top_rows`` rows are left here, so numbering them in one task is bounded.
-    rows = keyed.orderBy(*keys).offset(start).limit(max(stop - start, 0))
+    keyed, ordered = keys_stored(df, order)
+    keys = [key.way if isinstance(key, SortKey) else key for key in ordered]
+    skipped = 0
+    if stop > top_rows and stop > start:
+        if all(isinstance(key, SortKey) for key in ordered):
+            keyed, skipped = _narrowed(keyed, ordered, start, stop, top_rows)
+        else:
+            keyed = _leading(keyed, keys, stop)
+        if stop - skipped > 2 * top_rows:
+            rows = write_snapshot(keyed, keys).slice(start - skipped, stop - skipped, columns)
+            numbered = rows.withColumn(ORDINAL, F.col(ORDINAL) + skipped)
+            return numbered.withColumnRenamed(ORDINAL, record)
+    # At most twice ``top_rows`` rows are left here, so numbering them in one task is bounded.
+    rows = keyed.orderBy(*keys).offset(start - skipped).limit(max(stop - start, 0))
     position = (F.row_number().over(Window.orderBy(*keys)) + start).cast("bigint")
     return rows.withColumn(record, position).select(*map(named, columns), named(record))
 

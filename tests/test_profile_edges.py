@@ -6,9 +6,11 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tabulant import storage
 from tabulant.catalog import Catalog, Field
 from tabulant.operators.charts import chart_data
 from tabulant.operators.filters import apply_grid_filters
+from tabulant.columns import row_order
 from tabulant.operators.median import bracket, exact_medians
 from tabulant.operators.options import measure_ranges
 from tabulant.operators.ordering import (
@@ -18,6 +20,7 @@ from tabulant.operators.ordering import (
     number_records,
     page,
     rows_between,
+    sort_order,
     sort_rows,
 )
 from tabulant.operators.profile import profile
@@ -225,3 +228,42 @@ def test_histogram_bins_are_half_open(spark):
     assert rows == {("a", 0): 1, ("a", 1): 2, ("a", 9): 2, ("b", 3): 1}
     same = spark.createDataFrame([("a", 2.0), ("a", 2.0)], "g string, x double")
     assert [(r.bin, r["count"]) for r in chart_data(same, "histogram", "g", "x").collect()] == [(0, 2)]
+
+
+@pytest.mark.parametrize("top_rows", [5, 40])
+def test_late_pages_lie_in_counted_ranges(spark, top_rows):
+    rng = random.Random(3)
+    pick = lambda *values: rng.choice(values)
+    rows = [(pick("a", "b", "B", None, "", "hot", "hot", "hot"), pick(None, 1.5, float("nan"), float("inf"), rng.random()), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(6)
+    last = lambda value: (value is None, value or "")
+    for model, key in (
+        ([{"colId": "g", "sort": "desc"}], lambda r: (r[0] is None, [-ord(c) for c in (r[0] or "")] + [1], r[2])),
+        ([{"colId": "g"}, {"colId": "id", "sort": "desc"}], lambda r: (last(r[0]), [-ord(c) for c in str(r[2])] + [1])),
+    ):
+        expected = sorted(rows, key=key)
+        for start, stop in ((0, 900), (333, 360), (700, 1200), (895, 900), (899, 950)):
+            got = rows_between(df, sort_order(df, model, ["id"]), start, stop, top_rows=top_rows).collect()
+            assert sorted((r.record_number, r.id) for r in got) == [(k + 1, expected[k][2]) for k in range(start, min(stop, 900))]
+        assert rows_between(df, sort_order(df, model, ["id"]), 900, 950, top_rows=top_rows).collect() == []
+    # Numbers that are none sort as the largest, nulls behind them.
+    number = lambda r: (r[1] is None, math.isnan(r[1] or 0), r[1] if r[1] is not None and not math.isnan(r[1]) else 0.0, r[2])
+    order = row_order(df, ["v", "id"])
+    got = rows_between(df, order, 500, 640, top_rows=top_rows).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.record_number)] == [r[2] for r in sorted(rows, key=number)[500:640]]
+
+
+def test_late_page_of_equal_rows(spark):
+    df = spark.range(600).selectExpr("1 as a", "'x' as b").repartition(4)
+    assert rows_between(df, row_order(df), 500, 520, top_rows=10).count() == 20
+    empty = df.limit(0)
+    assert rows_between(empty, row_order(empty), 500, 520, top_rows=10).collect() == []
+
+
+def test_late_page_stores_only_what_it_needs(spark, folder, monkeypatch):
+    """The ranges' counts and the page with the ranges around it, and not the rows before them."""
+    df = spark.range(50_000).selectExpr("id", "cast(id * 7919 % 50000 as string) as t", "repeat('x', 200) as wide").repartition(8)
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(folder))
+    got = rows_between(df, row_order(df, ["t"]), 49_000, 49_010, top_rows=100).collect()
+    assert [r.t for r in sorted(got, key=lambda r: r.record_number)] == sorted((str(k) for k in range(50_000)))[49_000:49_010]
+    assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) < 200_000
