@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -11,11 +11,18 @@ from tabulant.catalog import Catalog, Field
 from tabulant.columns import first_row_keys, text
 from tabulant.functions.casts import infer_layouts, instant, iso_text, number
 from tabulant.operators.median import RANKED_VALUES, bracket, exact_medians
+from tabulant.storage import stored
 
 KEY_ROW = "__FILEKEY__"
 DUPLICATE_KEYS_SHOWN = 10
 # Parts in which a field's values are ranked before the leading ones of all parts are.
 RANK_BUCKETS = 64
+# Up to this many leading values a field's tasks each send their first ones; more are ranked in parts before.
+TASK_RANKS = 1000
+# Characters of a text that travel in a count; a longer one travels as these and a digest.
+HEAD_CHARS = 32
+# Digests sent to all tasks to find their texts (32 bytes each and a field number).
+SENT_DIGESTS = 100_000
 
 PROFILE_DDL = (
     "field_name string, ordinal int, stat_type string,"
@@ -43,50 +50,93 @@ def _indexed_fields(df: DataFrame, catalog: Catalog) -> list[tuple[int, Field]]:
     return [(i, f) for i, f in enumerate(catalog.fields) if f.name in df.columns]
 
 
+def _cells(value: Column) -> list[Column]:
+    """A text's first ``HEAD_CHARS`` characters, and a digest of the whole where that is longer."""
+    cut = F.length(value) > HEAD_CHARS
+    return [F.substring(value, 1, HEAD_CHARS), F.when(cut, F.unhex(F.sha2(value, 256)))]
+
+
 def value_frequencies(df: DataFrame, columns: Mapping[int, Column]) -> DataFrame:
-    """How often each value of each column occurs, null included: ``(field, value, freq)``.
+    """How often each value of each column occurs, null included: ``(field, head, digest, freq)``.
 
-    All columns share one shuffle. Counts are combined before it, so a value holding a large
+    A value is its first ``HEAD_CHARS`` characters and, if longer, a digest of the whole, so that long texts are never
+    moved. All columns share one shuffle. Counts are combined before it, so a value holding a large
     part of all rows sends one row per task.
     """
     cells = [c for key, value in columns.items() for c in (F.lit(key), value)]
     long = df.select(F.stack(F.lit(len(columns)), *cells).alias("field", "value"))
-    return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("freq"))
-
-
-def top_values(frequencies: DataFrame, top_n: int) -> DataFrame:
-    """The most frequent values per field as one array, ties in value order, null last."""
-    order = [F.desc("freq"), F.asc_nulls_last("value")]
-    # A value among a field's first is among the first of its own bucket, so no task ranks a whole field.
-    bucket = F.pmod(F.xxhash64("value"), F.lit(RANK_BUCKETS))
-    by_bucket = Window.partitionBy("field", "bucket").orderBy(*order)
-    leading = frequencies.withColumn("bucket", bucket).withColumn("place", F.row_number().over(by_bucket))
-    leading = leading.where(F.col("place") <= top_n).drop("bucket", "place")
-    ranked = leading.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
-    first = ranked.where(F.col("rank") <= top_n).groupBy("field").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked")
+    keyed = long.select("field", *(c.alias(n) for c, n in zip(_cells(F.col("value")), ("head", "digest"))))
+    return keyed.groupBy("field", "head", "digest").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _texts(df: DataFrame, columns: Mapping[int, Column], wanted: DataFrame) -> DataFrame:
+    """The whole texts of the wanted digests: ``(field, digest, whole)``.
+
+    Up to ``SENT_DIGESTS`` of them are sent to the texts, of which only the wanted then move. More, which takes as many
+    long texts of one frequency that start alike, are joined by a shuffle.
+    """
+    cells = [c for key, value in columns.items() for c in (F.lit(key), value)]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("field", "whole"))
+    long = long.where(F.length("whole") > HEAD_CHARS).withColumn("digest", _cells(F.col("whole"))[1])
+    few = wanted.limit(SENT_DIGESTS + 1).count() <= SENT_DIGESTS
+    kept = long.join(F.broadcast(wanted) if few else wanted, ["field", "digest"], "left_semi")
+    return kept.groupBy("field", "digest").agg(F.first("whole").alias("whole"))
+
+
+def top_values(
+    frequencies: DataFrame, top_n: int, texts: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The most frequent values per field as one array, ties in value order, null last.
+
+    ``texts`` finds the whole texts of digests, for those among the first and those tied with the last; without it no
+    value may be longer than ``HEAD_CHARS``.
+    """
+    # A short text sorts before the longer ones it begins; long ones that start alike share a rank.
+    order = [F.desc("freq"), F.asc_nulls_last("head"), F.col("digest").isNotNull()]
+    leading = frequencies
+    if top_n > TASK_RANKS:
+        # A value among a field's first is among the first of its own bucket, so no task ranks a whole field.
+        bucket = F.pmod(F.xxhash64("head", "digest"), F.lit(RANK_BUCKETS))
+        by_bucket = Window.partitionBy("field", "bucket").orderBy(*order)
+        leading = leading.withColumn("bucket", bucket).withColumn("place", F.rank().over(by_bucket))
+        leading = leading.where(F.col("place") <= top_n).drop("bucket", "place")
+    by_field = Window.partitionBy("field").orderBy(*order)
+    leading = leading.withColumn("rank", F.rank().over(by_field)).where(F.col("rank") <= top_n)
+    value, last = F.col("head"), ["rank"]
+    if texts is not None:
+        leading = stored(leading, "leading")
+        found = texts(leading.where(F.col("digest").isNotNull()).select("field", "digest"))
+        leading = leading.join(found, ["field", "digest"], "left")
+        value, last = F.coalesce("whole", "head"), ["rank", "whole"]
+    ranked = leading.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(*last)))
+    first = ranked.where(F.col("place") <= top_n).groupBy("field").agg(
+        F.array_sort(F.collect_list(F.struct("place", value.alias("value"), "freq"))).alias("ranked")
     )
     shown = F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.freq.alias("freq")))
     return first.select("field", shown.cast(_TOP_TYPE).alias("top_values"))
 
 
 def character_profile(df: DataFrame, fields: Sequence[tuple[int, Field]], top_n: int) -> DataFrame:
-    """Counts, exact distinct count and most frequent values of text fields."""
-    frequencies = value_frequencies(df, {i: text(df, f.name) for i, f in fields})
+    """Counts, exact distinct count and most frequent values of text fields.
+
+    The counts of values are stored; whole texts are fetched for the leading values alone, in a second read.
+    """
+    columns = {i: text(df, f.name) for i, f in fields}
+    frequencies = stored(value_frequencies(df, columns), "values")
     counts = frequencies.groupBy("field").agg(
         F.sum("freq").alias("row_count"),
-        F.sum(F.when(F.col("value").isNull(), F.col("freq")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
-    )
-    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in fields], "field int, field_name string")
-    joined = names.join(counts, "field", "left").join(top_values(frequencies, top_n), "field", "left")
-    return joined.select(
-        "field_name",
-        F.col("field").alias("ordinal"),
-        F.lit("Char").alias("stat_type"),
-        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("row_count", "null_count", "distinct_count")),
-        F.coalesce("top_values", F.array().cast(_TOP_TYPE)).alias("top_values"),
+        F.sum(F.when(F.col("head").isNull(), F.col("freq")).otherwise(0)).alias("null_count"),
+        F.count("head").alias("distinct_count"),
+        F.count("digest").alias("long_count"),
     )
+    known = {r.field: r for r in counts.collect()}
+    rows = [(f.name, i, "Char", *(known[i][1:4] if i in known else (0, 0, 0))) for i, f in fields]
+    ddl = "field_name string, ordinal int, stat_type string, row_count bigint, null_count bigint, distinct_count bigint"
+    long = any(r.long_count for r in known.values())
+    leading = top_values(frequencies, top_n, (lambda wanted: _texts(df, columns, wanted)) if long else None)
+    counted = df.sparkSession.createDataFrame(rows, ddl)
+    joined = counted.join(leading.withColumnRenamed("field", "ordinal"), "ordinal", "left")
+    return joined.withColumn("top_values", F.coalesce("top_values", F.array().cast(_TOP_TYPE)))
 
 
 def typed_profile(

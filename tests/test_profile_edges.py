@@ -2,6 +2,7 @@ import contextlib
 import math
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from tabulant.operators.ordering import (
     sort_order,
     sort_rows,
 )
+from tabulant.operators import profile as profile_module
 from tabulant.operators.profile import profile
 from tabulant.operators.quality import findings, scorecard
 from tabulant.sources.snapshot import open_snapshot, write_snapshot
@@ -267,3 +269,25 @@ def test_late_page_stores_only_what_it_needs(spark, folder, monkeypatch):
     got = rows_between(df, row_order(df, ["t"]), 49_000, 49_010, top_rows=100).collect()
     assert [r.t for r in sorted(got, key=lambda r: r.record_number)] == sorted((str(k) for k in range(50_000)))[49_000:49_010]
     assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) < 200_000
+
+
+def leading_by_hand(values, top_n):
+    counted = Counter(values)
+    ranked = sorted(counted.items(), key=lambda item: (-item[1], item[0] is None, (item[0] or "").encode()))
+    return [{"value": v, "freq": n} for v, n in ranked[:top_n]], len([v for v in counted if v is not None])
+
+
+@pytest.mark.parametrize("sent, ranks", [(100_000, 1000), (3, 1000), (100_000, 2), (0, 0)])
+def test_long_texts_that_start_alike(spark, monkeypatch, sent, ranks):
+    monkeypatch.setattr(profile_module, "SENT_DIGESTS", sent)
+    monkeypatch.setattr(profile_module, "TASK_RANKS", ranks)
+    start = "\N{GRINNING FACE}é" * 32
+    values = [start + f"{i % 40:02d}" * 500 for i in range(100)] + [start] * 3 + [start[:-1]] * 2 + [None] * 3 + ["", "x" * 64, "x" * 65]
+    df = spark.createDataFrame([(v, "same") for v in values], "value string, digest string").repartition(5)
+    catalog = Catalog((), (Field("value"), Field("digest")))
+    for top_n in (1, 7, 60):
+        found = {r.field_name: r for r in profile(df, catalog, top_n).collect()}
+        expected, distinct = leading_by_hand(values, top_n)
+        assert [r.asDict() for r in found["value"].top_values] == expected
+        assert (found["value"].row_count, found["value"].null_count, found["value"].distinct_count) == (len(values), 3, distinct)
+        assert [r.asDict() for r in found["digest"].top_values] == [{"value": "same", "freq": len(values)}]
