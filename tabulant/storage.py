@@ -20,6 +20,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at a path of any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a result once and read it back, so that using it several times computes it once."""
     path = new_path(df.sparkSession, label)
