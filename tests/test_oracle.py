@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import workload
+from tabulant import storage
+from tabulant.storage import lifetime
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -40,10 +42,13 @@ def kinds(values):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_agrees_with_sql(spark, duck, name):
-    result = QUERIES[name](spark, SF_DIR)
-    columns = sorted(result.columns)
-    got = [tuple(row[c] for c in columns) for row in result.collect()]
+def test_query_agrees_with_sql(spark, duck, folder, monkeypatch, name):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(folder))
+    with lifetime(spark):
+        result = QUERIES[name](spark, SF_DIR)
+        columns = sorted(result.columns)
+        got = [tuple(row[c] for c in columns) for row in result.collect()]
+    assert [p for p in folder.rglob("*") if p.is_file()] == [], "stored tables are left"
     assert got, "no rows"
     if name not in ORACLE:
         return
