@@ -11,7 +11,16 @@ from tabulant.catalog import Catalog
 from tabulant.columns import data_columns, named
 from tabulant.functions.display import display_measures
 from tabulant.operators.filters import Range, apply_value_and_range_filters, drill_through
-from tabulant.operators.ordering import key_order, large_result_guard, number_records, page, page_of_snapshot, preview
+from tabulant.operators.ordering import (
+    GUARD_CELLS,
+    GUARD_ROWS,
+    key_order,
+    large_result_guard,
+    number_records,
+    page,
+    page_of_snapshot,
+    preview,
+)
 from tabulant.sinks.exports import sorted_columns, write_csv
 from tabulant.sources.snapshot import Snapshot, write_snapshot
 
@@ -62,9 +71,9 @@ class View:
         shown = [c for c in self.rows.columns if not self.spec.visible or c in self.spec.visible]
         return display_measures(first.select(*map(named, shown)), self.catalog)
 
-    def counts(self) -> DataFrame:
+    def counts(self, most_rows: int = GUARD_ROWS, most_cells: int = GUARD_CELLS) -> DataFrame:
         """Size of the view, and whether it is too large to show whole."""
-        return large_result_guard(self.filtered, self.spec.preview_rows)
+        return large_result_guard(self.filtered, self.spec.preview_rows, most_rows, most_cells)
 
     def snapshot(self, path: str | None = None) -> Snapshot:
         """Store the kept rows in order once; pages of any depth then read only the files that hold them."""

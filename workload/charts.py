@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulant.operators.charts import chart_data
@@ -100,6 +102,25 @@ def chart_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("points")).select(F.explode(F.array(*messages)).alias("message"), "points")
 
 
+@query(
+    """WITH b AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 10 AS w FROM lineitem)
+    SELECT kind, l_returnflag AS dimension, CASE WHEN kind IN ('bar', 'stacked bar') THEN count(DISTINCT l_linestatus)
+    WHEN kind = 'histogram' THEN count(DISTINCT least(floor((l_quantity - lo) / w), 9)) WHEN kind IN ('line', 'scatter') THEN count(*)
+    ELSE 1 END AS points,
+    CASE kind WHEN 'histogram' THEN count(*) ELSE CAST(sum(l_quantity) AS BIGINT) END AS total
+    FROM lineitem, b, unnest(['pie', 'bar', 'stacked bar', 'line', 'scatter', 'histogram']) AS kinds(kind) GROUP BY kind, l_returnflag"""
+)
+def chart_dispatch_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and total per dimension value of every kind of chart, asked for in any spelling."""
+    lines, charts = table(spark, sf_dir, "lineitem"), []
+    for kind in ("Pie", " bar", "Stacked Bar", "LINE", "scatter ", "Histogram"):
+        data = chart_data(lines, kind, "l_returnflag", "l_quantity", "l_linestatus")
+        size = F.sum("count" if "count" in data.columns else "measure").cast("long").alias("total")
+        found = data.groupBy("dimension").agg(F.count(F.lit(1)).alias("points"), size)
+        charts.append(found.select(F.lit(kind.strip().lower()).alias("kind"), "dimension", "points", "total"))
+    return reduce(DataFrame.unionByName, charts)
+
+
 _SOME_INFINITE = (
     "CASE o_orderkey % 50 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN CAST('-Infinity' AS DOUBLE) ELSE o_totalprice END"
 )

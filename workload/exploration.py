@@ -294,6 +294,17 @@ def display_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT total_rows, CAST(11 AS BIGINT) AS total_columns, total_rows > 1000 AS blocked, CASE WHEN total_rows > 1000 THEN
+    'Large result guard active: ' || format('{:,}', total_rows) || ' rows x 11 columns. Grid rendering is limited to first 50 rows.'
+    || ' Use Export Filtered CSV to download the full filtered dataset.' END AS message
+    FROM (SELECT count(*) AS total_rows FROM lineitem WHERE l_returnflag = 'R')"""
+)
+def view_guard_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ViewSpec(preview_rows=50, dimension_rows=[("l_returnflag", ["R"])])
+    return View(table(spark, sf_dir, "lineitem"), LINEITEM, spec).counts(most_rows=1000)
+
+
 @query(
     """SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' ' || lower(p_type), ' '),
     lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM part"""

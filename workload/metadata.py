@@ -188,6 +188,13 @@ def columns_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_columns(table(spark, sf_dir, "orders"))
 
 
+@query("SELECT concat_ws('|', o_custkey, o_orderkey, o_orderpriority, o_orderstatus) AS cells FROM orders")
+def columns_sorted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the columns as data: each row's cells from left to right."""
+    turned = sorted_columns(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_orderpriority", "o_custkey"))
+    return turned.select(F.concat_ws("|", *turned.columns).alias("cells"))
+
+
 @query("SELECT o_totalprice, o_orderstatus, o_orderkey FROM orders")
 def columns_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = visible_columns(ORDERS, ["o_totalprice", "nothing", "o_orderstatus"])
