@@ -12,9 +12,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder of all intermediate tables, and what a table's folder name ends in.
+#: Folder of all intermediate tables, and what a table's folder name ends in, a file beside it included.
 TABLES = "tabulant-tables"
-_OWN = re.compile(r"-[0-9a-f]{32}$")
+_OWN = re.compile(r"-[0-9a-f]{32}(_[A-Za-z]+)?$")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,10 +90,14 @@ def sweep(spark: SparkSession, lease_seconds: float) -> list[str]:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet, owned by the innermost lifetime."""
-    path = f"{shared_folder(spark)}/{TABLES}/{label}-{uuid.uuid4().hex}"
+    return beside(f"{shared_folder(spark)}/{TABLES}/{label}-{uuid.uuid4().hex}", "")
+
+
+def beside(path: str, suffix: str) -> str:
+    """A path named like a new one, for what goes with it; owned by the innermost lifetime as well."""
     if _OWNERS.get():
-        _OWNERS.get()[-1].paths.append(path)
-    return path
+        _OWNERS.get()[-1].paths.append(path + suffix)
+    return path + suffix
 
 
 def _located(spark: SparkSession, path: str):

@@ -10,7 +10,7 @@ from tabulant.operators.quality import findings, scorecard
 from tabulant.plans.load import load_and_profile
 from tabulant.sinks.exports import write_csv
 from tabulant.sources.alignment import schema_warnings
-from tabulant.storage import new_path, stored
+from tabulant.storage import beside, new_path, stored
 from workload.registry import Registry
 from workload.tables import (
     DOCUMENTS,
@@ -393,5 +393,5 @@ _SIDECAR = "FileKey|o_orderkey\n" + "\n".join(
 def load_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "orders-csv")
     write_csv(table(spark, sf_dir, "orders"), path)
-    spark.createDataFrame([(_SIDECAR,)], "value string").write.text(path + "_Meta")
+    spark.createDataFrame([(_SIDECAR,)], "value string").write.text(beside(path, "_Meta"))
     return flat(load_and_profile(spark, path, TOP_N).profile)
