@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from tabulant.catalog import Catalog, Field
-from tabulant.columns import first_row_keys, text
+from tabulant.columns import HELPER_PREFIX, first_row_keys, text
 from tabulant.functions.casts import infer_layouts, instant, iso_text, number
 from tabulant.operators.median import RANKED_VALUES, bracket, exact_medians
 from tabulant.storage import stored
@@ -21,8 +22,9 @@ RANK_BUCKETS = 64
 TASK_RANKS = 1000
 # Characters of a text that travel in a count; a longer one travels as these and a digest.
 HEAD_CHARS = 32
-# Digests sent to all tasks to find their texts (32 bytes each and a field number).
+# Digests sent to all tasks to find their texts (32 bytes each and a field number) or their keys (8 bytes each).
 SENT_DIGESTS = 100_000
+_DIGEST = HELPER_PREFIX + "digest__"
 
 PROFILE_DDL = (
     "field_name string, ordinal int, stat_type string,"
@@ -191,12 +193,71 @@ def key_frequencies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("freq"))
 
 
+def _key_digest(df: DataFrame, keys: Sequence[str]) -> Column:
+    """64 bits that are equal for equal keys, and seldom for others."""
+    cells = [text(df, k) for k in keys]
+    return F.xxhash64(*cells, *(c.isNull() for c in cells))
+
+
+def _of_digests(df: DataFrame, digest: Column, wanted: DataFrame, found: int, rows: int) -> DataFrame:
+    """The rows whose digest is among the wanted ``(digest, freq)``.
+
+    Up to ``SENT_DIGESTS`` are sent to the rows. Beyond that only the most frequent are, each of which holds more than
+    one in ``SENT_DIGESTS`` of all rows; rows of the others are joined by a shuffle, in which no digest is then large.
+    """
+    marked = df.withColumn(_DIGEST, digest)
+
+    def kept(some: DataFrame, sent: bool) -> DataFrame:
+        named_so = some.select(F.col("digest").alias(_DIGEST))
+        return marked.join(F.broadcast(named_so) if sent else named_so, _DIGEST, "left_semi").drop(_DIGEST)
+
+    if found <= SENT_DIGESTS:
+        return kept(wanted, True)
+    hot = F.col("freq") * SENT_DIGESTS > rows
+    return kept(wanted.where(hot), True).unionAll(kept(wanted.where(~hot), False))
+
+
+@dataclass(frozen=True)
+class KeyCounts:
+    """How many rows there are, how many have a key of their own, and the counts of the other keys.
+
+    ``others`` holds every key that occurs twice or more. It may also hold keys that occur once, where their digests
+    are equal to others'; it is None where each row has a key of its own.
+    """
+
+    rows: int
+    single: int
+    others: DataFrame | None
+
+
+def key_counts(df: DataFrame, keys: Sequence[str], digest: Column | None = None) -> KeyCounts:
+    """Count keys in two phases, so that a key that occurs once travels as a digest of eight bytes.
+
+    Digests are counted first. Keys as such are counted only in rows whose digest occurs twice or more, which tells
+    different keys of one digest apart, so the counts are exact whatever the digest is.
+    """
+    digest = _key_digest(df, keys) if digest is None else digest
+    seen = Observation()
+    counted = df.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("freq"))
+    once = F.col("freq") == 1
+    # The aggregate's own tasks write these rows, so a task that runs again is not observed twice.
+    sums = [F.sum("freq").alias("rows"), F.count_if(once).alias("single"), F.count_if(~once).alias("found")]
+    digests = stored(counted.observe(seen, *sums), "keys")
+    rows, single, found = (seen.get[c] or 0 for c in ("rows", "single", "found"))
+    if not found:
+        return KeyCounts(rows, single, None)
+    some = _of_digests(df, digest, digests.where(~once), found, rows)
+    return KeyCounts(rows, single, stored(key_frequencies(some, keys), "repeated"))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str], limit: int = DUPLICATE_KEYS_SHOWN) -> DataFrame:
     """Repeated key combinations as ``(rank, value, freq)``, most frequent first, ties in key order."""
-    return _ranked_duplicates(key_frequencies(df, keys), len(keys), limit)
+    return _ranked_duplicates(df.sparkSession, key_counts(df, keys).others, len(keys), limit)
 
 
-def _ranked_duplicates(frequencies: DataFrame, width: int, limit: int) -> DataFrame:
+def _ranked_duplicates(spark: SparkSession, frequencies: DataFrame | None, width: int, limit: int) -> DataFrame:
+    if frequencies is None:
+        return spark.createDataFrame([], "rank int, value string, freq bigint")
     order = [F.desc("freq"), *(F.asc_nulls_last(f"k{i}") for i in range(width))]
     first = frequencies.where(F.col("freq") > 1).orderBy(*order).limit(limit)
     signature = F.concat_ws("|", *(F.coalesce(f"k{i}", F.lit("<NA>")) for i in range(width)))
@@ -208,18 +269,22 @@ def key_profile(df: DataFrame, catalog: Catalog, duplicates: int = DUPLICATE_KEY
     keys = catalog.keys
     if not keys or not set(keys) <= set(df.columns):
         return None
-    frequencies = key_frequencies(df, keys)
-    metrics = frequencies.agg(
-        F.coalesce(F.sum("freq"), F.lit(0)).alias("row_count"),
-        F.count(F.lit(1)).alias("unique_key_count"),
-        F.count_if(F.col("freq") > 1).alias("duplicate_key_count"),
-    )
-    first = _ranked_duplicates(frequencies, len(keys), duplicates).agg(
+    spark, counts = df.sparkSession, key_counts(df, keys)
+    first = _ranked_duplicates(spark, counts.others, len(keys), duplicates).agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked")
     )
     shown = F.transform("ranked", lambda r: F.struct(r.value.alias("value"), r.freq.alias("freq")))
+    more = repeated = F.lit(0)
+    if counts.others is not None:
+        sizes = counts.others.agg(F.count(F.lit(1)).alias("more"), F.count_if(F.col("freq") > 1).alias("repeated"))
+        more, repeated = sizes.select("more").scalar(), sizes.select("repeated").scalar()
+    known = spark.range(1).select(
+        F.lit(counts.rows).cast("bigint").alias("row_count"),
+        (more + F.lit(counts.single)).cast("bigint").alias("unique_key_count"),
+        repeated.cast("bigint").alias("duplicate_key_count"),
+    )
     ratio = F.coalesce(F.try_divide("unique_key_count", "row_count"), F.lit(0.0))
-    return metrics.select(
+    return known.select(
         F.lit(KEY_ROW).alias("field_name"),
         F.lit(len(catalog.fields)).alias("ordinal"),
         F.lit("Key").alias("stat_type"),

@@ -113,6 +113,35 @@ def test_nulls_bad_values_and_undeclared_types(spark):
     assert [tuple(v) for v in key.top_values] == [("a|<NA>", 2)]
 
 
+@pytest.mark.parametrize("sent", [100_000, 3])
+@pytest.mark.parametrize("digests", [None, 7, 1])
+def test_keys_of_one_digest_are_told_apart(spark, monkeypatch, sent, digests):
+    monkeypatch.setattr(profile_module, "SENT_DIGESTS", sent)
+    draw = random.Random(5)
+    rows = [(draw.choice([None, "", "a", "b"]), draw.choice([None, "a", "long" * 50]) if i % 3 else f"own{i}") for i in range(200)]
+    rows += [("hot", "hot")] * 100
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "a string, b string, digest int").repartition(4)
+    digest = F.pmod(F.crc32(F.concat_ws("|", "a", "b")), F.lit(digests)) if digests else None
+    counts = profile_module.key_counts(df, ["a", "b"], digest)
+    expected = Counter(rows)
+    others = {(r.k0, r.k1): r.freq for r in counts.others.collect()}
+    assert counts.rows == 300 and all(expected[key] == n for key, n in others.items())
+    assert {k: n for k, n in others.items() if n > 1} == {k: n for k, n in expected.items() if n > 1}
+    assert counts.single + len(others) == len(expected)
+    ranked = sorted((-n, *((c is None, c) for c in k)) for k, n in expected.items() if n > 1)[:4]
+    shown = [("|".join("<NA>" if c[0] else c[1] for c in k), -n) for n, *k in ranked]
+    assert [(r.value, r.freq) for r in profile_module.duplicate_keys(df, ["a", "b"], 4).orderBy("rank").collect()] == shown
+
+
+def test_keys_that_never_repeat_and_no_rows(spark):
+    df = spark.range(50).selectExpr("id as k", "'x' as other")
+    counts = profile_module.key_counts(df, ["k"])
+    assert (counts.rows, counts.single, counts.others) == (50, 50, None)
+    assert profile_module.duplicate_keys(df, ["k"]).collect() == []
+    counts = profile_module.key_counts(df.limit(0), ["k"])
+    assert (counts.rows, counts.single, counts.others) == (0, 0, None)
+
+
 def test_no_key_row_when_a_key_column_is_absent(spark):
     catalog = Catalog(("k", "gone"), CATALOG.fields)
     assert "__FILEKEY__" not in by_name(profile(frame(spark, []), catalog, 3))
