@@ -256,6 +256,15 @@ def key_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(shaped(keyed))
 
 
+# Whole texts are part of this key.
+_WIDE = Catalog(("source", "text"), (Field("lang", "Char"),))
+
+
+@query(key_sql("documents", _WIDE.keys, len(_WIDE.fields)))
+def key_profiles_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(shaped(key_profile(table(spark, sf_dir, "documents"), _WIDE)))
+
+
 @query(
     """SELECT CAST(row_number() OVER (ORDER BY n DESC, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS INTEGER)
     AS rank, l_orderkey || '|' || l_linenumber AS value, n AS freq FROM (SELECT l_orderkey, l_linenumber, count(*) AS n
