@@ -49,11 +49,13 @@ def load_and_profile(
 ) -> Loaded:
     """Read, sort by key and store the data once, then profile the stored columns.
 
-    The text is parsed once: typed companions are stored next to it, and the profile, filters
-    and charts all read those.
+    The files are read twice, once to see how they are quoted and once to parse them into a table; dates' layouts, the
+    bounds of the sort and the sorted rows come from that table. Typed companions are stored next to the text, and the
+    profile, filters and charts all read those.
     """
     declared = catalog or load_catalog(spark, sidecar_path(path))
-    return store_and_profile(read_delimited(spark, path, delimiter, multiline), declared, top_n, snapshot_path, layouts)
+    parsed = stored(read_delimited(spark, path, delimiter, multiline), "parsed")
+    return store_and_profile(parsed, declared, top_n, snapshot_path, layouts)
 
 
 def store_and_profile(
@@ -67,7 +69,8 @@ def store_and_profile(
     order = key_order(raw, catalog)
     dated = [f.name for f in catalog.fields if f.kind in ("Date", "Datetime") and f.name in raw.columns]
     chosen = infer_layouts(raw, dated, first_row_keys(raw, catalog.keys), layouts)
-    snapshot = write_snapshot(with_companions(raw, catalog, chosen), order, snapshot_path)
+    looked_up = [f.name for f in catalog.fields if f.name in raw.columns and (f.role == "D" or f.name in catalog.keys)]
+    snapshot = write_snapshot(with_companions(raw, catalog, chosen), order, snapshot_path, looked_up)
     warnings = schema_warnings(raw, catalog)
     profiled = stored(profile(snapshot.table(), catalog, top_n), "profile")
     spark = raw.sparkSession

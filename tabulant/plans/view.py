@@ -77,7 +77,9 @@ class View:
 
     def snapshot(self, path: str | None = None) -> Snapshot:
         """Store the kept rows in order once; pages of any depth then read only the files that hold them."""
-        return write_snapshot(self.filtered, self._order(), path)
+        known = [f.name for f in self.catalog.fields if f.name in self.filtered.columns]
+        looked_up = [n for n in known if self.catalog.has_role(n, "D") or n in self.catalog.keys]
+        return write_snapshot(self.filtered, self._order(), path, looked_up)
 
     def numbered(self) -> DataFrame:
         return number_records(self.filtered, self._order())

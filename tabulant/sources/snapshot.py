@@ -113,16 +113,25 @@ def _file_rows(spark: SparkSession, path: str) -> DataFrame:
     return counts.select(_file_number(F.col("path")).alias("file"), "path", "whole_path", "rows")
 
 
-def write_snapshot(df: DataFrame, order: Order | None = None, path: str | None = None) -> Snapshot:
+def _lookup_options(columns: Sequence[str]) -> dict[str, str]:
+    """Have parquet keep a Bloom filter of each column's values in every row group, as large as their number asks for."""
+    options = {f"parquet.bloom.filter.enabled#{name}": "true" for name in columns}
+    return {**options, "parquet.bloom.filter.adaptive.enabled": "true"} if options else {}
+
+
+def write_snapshot(
+    df: DataFrame, order: Order | None = None, path: str | None = None, lookups: Sequence[str] = ()
+) -> Snapshot:
     """Write rows in the given order as parquet and open the result.
 
     The order columns stay out of the stored table unless they are data. Without a path the
     table goes below the session's shared folder. The table of positions is written last, so a folder
-    without one is unfinished or not of this library.
+    without one is unfinished or not of this library. Filters for single values of the ``lookups`` columns pass over
+    row groups without them, however the rows are sorted; a column whose name holds a dot is written without that help.
     """
     target = path or new_path(df.sparkSession, "snapshot")
     rows = order_rows(df, order) if order else df
-    rows.drop(ORDINAL).write.mode("errorifexists").parquet(target)
+    rows.drop(ORDINAL).write.mode("errorifexists").options(**_lookup_options(lookups)).parquet(target)
     seen = Observation()
     starts = _running(_file_rows(df.sparkSession, target)).observe(seen, F.sum("rows").alias("rows"))
     starts.write.parquet(f"{target}/{POSITIONS}")

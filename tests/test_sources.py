@@ -5,8 +5,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tabulant.catalog import Catalog, Field
 from tabulant.columns import ORDINAL, data_columns
+from tabulant.operators.filters import apply_value_and_range_filters
 from tabulant.operators.ordering import number_records
+from tabulant.plans.load import load_and_profile
 from tabulant.sources.records import split_records
 from tabulant.sources.delimited import (
     NULL_TOKENS,
@@ -216,3 +219,32 @@ def test_long_rows_in_a_split_file(spark, folder, small_splits):
     rows = quarantine_long_rows(spark, path)
     assert [r[RAW] for r in rows.where(QUARANTINED).collect()] == ['1,"x\ny",3']
     assert rows.where(~F.col(QUARANTINED)).count() == 200
+
+
+def scanned(frame):
+    """Rows that the scan of a frame gave when it ran."""
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return rows, plan.metrics().get("numOutputRows").get().value()
+
+
+def test_snapshots_skip_row_groups_without_a_looked_up_value(spark, folder):
+    ids = spark.range(40_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("code"), F.lit("x").alias("kind"))
+    catalog = Catalog(("id",), (Field("code"), Field("kind")))
+    wanted = [r.code for r in ids.where("id in (7, 39000)").collect()]
+    for name, lookups, most in (("with", ["code"], 15_000), ("without", [], 40_000)):
+        snapshot = write_snapshot(ids.repartition(8), None, str(folder / name), lookups)
+        kept = apply_value_and_range_filters(snapshot.table(), catalog, [("code", wanted)], [])
+        rows, read = scanned(kept)
+        assert sorted(r.id for r in rows) == [7, 39000]
+        assert read <= most if lookups else read == most
+
+
+def test_loading_parses_its_files_once(spark, folder):
+    (folder / "data.csv").write_text("k,d,n\n" + "".join(f"{i:03},2024-01-{i % 28 + 1:02},{i}\n" for i in range(90)))
+    catalog = Catalog(("k",), (Field("k"), Field("d", "Date"), Field("n", "Num", role="M")))
+    loaded = load_and_profile(spark, str(folder / "data.csv"), 3, catalog=catalog, snapshot_path=str(folder / "kept"))
+    (folder / "data.csv").unlink()
+    assert loaded.snapshot.row_count == 90
+    assert [r.k for r in loaded.rows.orderBy(ORDINAL).limit(2).collect()] == ["000", "001"]
+    assert {r.field_name: r.row_count for r in loaded.profile.collect()} == {"k": 90, "d": 90, "n": 90, "__FILEKEY__": 90}
