@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tabulant.catalog import Catalog
 from tabulant.columns import (
@@ -133,8 +133,8 @@ def _key_ranges(keyed: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
 
 def _narrowed(
     keyed: DataFrame, keys: Sequence[SortKey], start: int, stop: int, top_rows: int, total: int | None = None
-) -> tuple[DataFrame, int]:
-    """The rows of the key ranges that hold ``start`` up to ``stop``, and how many rows come before these.
+) -> tuple[DataFrame, int, int]:
+    """The rows of the key ranges that hold ``start`` up to ``stop``, how many rows come before these, and how many there are.
 
     The counts of ranges say which hold them; a range still too large is cut into ranges again, as long as that helps.
     """
@@ -142,7 +142,7 @@ def _narrowed(
     counts = [(r["part"], r["rows"]) for r in ranges.select("part", "rows").orderBy("part").collect()]
     whole = sum(rows for _, rows in counts)
     if whole == total or start >= whole:
-        return (keyed, 0) if whole == total else (keyed.limit(0), 0)
+        return (keyed if whole == total else keyed.limit(0)), 0, whole
     before, first, skipped, last = 0, None, 0, None
     for at, (part, rows) in enumerate(counts):
         if first is None and before + rows > start:
@@ -161,9 +161,9 @@ def _narrowed(
         rows for part, rows in counts[: last + 1] if part >= first
     )
     if inside > 2 * top_rows + stop - start and inside < whole:
-        inner, more = _narrowed(kept, keys, start - skipped, stop - skipped, top_rows, inside)
-        return inner, skipped + more
-    return kept, skipped
+        inner, more, _ = _narrowed(kept, keys, start - skipped, stop - skipped, top_rows, inside)
+        return inner, skipped + more, whole
+    return kept, skipped, whole
 
 
 def rows_between(df: DataFrame, order: Order, start: int, stop: int, top_rows: int = TOP_ROWS) -> DataFrame:
@@ -172,24 +172,29 @@ def rows_between(df: DataFrame, order: Order, start: int, stop: int, top_rows: i
     Late ones lie in ranges of sort keys that counts point out, so only these ranges are read on and sorted. An order
     by expressions that aren't sort keys can't be compared with a bound; then the leading rows of every partition are.
     """
+    return _rows_and_total(df, order, start, stop, top_rows)[0]
+
+
+def _rows_and_total(df: DataFrame, order: Order, start: int, stop: int, top_rows: int) -> tuple[DataFrame, int | None]:
+    """As ``rows_between``, and how many rows there are where finding a late page has counted them."""
     columns = data_columns(df)
     record = record_name(columns)
     keyed, ordered = keys_stored(df, order)
     keys = [key.way if isinstance(key, SortKey) else key for key in ordered]
-    skipped = 0
+    skipped, total = 0, None
     if stop > top_rows and stop > start:
         if all(isinstance(key, SortKey) for key in ordered):
-            keyed, skipped = _narrowed(keyed, ordered, start, stop, top_rows)
+            keyed, skipped, total = _narrowed(keyed, ordered, start, stop, top_rows)
         else:
             keyed = _leading(keyed, keys, stop)
         if stop - skipped > 2 * top_rows:
             rows = write_snapshot(keyed, keys).slice(start - skipped, stop - skipped, columns)
             numbered = rows.withColumn(ORDINAL, F.col(ORDINAL) + skipped)
-            return numbered.withColumnRenamed(ORDINAL, record)
+            return numbered.withColumnRenamed(ORDINAL, record), total
     # At most twice ``top_rows`` rows are left here, so numbering them in one task is bounded.
     rows = keyed.orderBy(*keys).offset(start - skipped).limit(max(stop - start, 0))
     position = (F.row_number().over(Window.orderBy(*keys)) + start).cast("bigint")
-    return rows.withColumn(record, position).select(*map(named, columns), named(record))
+    return rows.withColumn(record, position).select(*map(named, columns), named(record)), total
 
 
 def preview(df: DataFrame, rows: int, order: Order | None = None) -> DataFrame:
@@ -217,12 +222,41 @@ def page(
     tiebreak: Sequence[str] | None = None,
     top_rows: int = TOP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows from ``start`` (0-based) up to ``end``, numbered, and the row count after filtering."""
+    """Rows from ``start`` (0-based) up to ``end``, numbered, and the row count after filtering.
+
+    The count comes with the page: a late page's ranges are counted anyhow, and an early page's rows are counted while
+    the first of them are found, for which the page is stored.
+    """
     stop = end or start + PAGE_ROWS
     kept = apply_grid_filters(df, filter_model)
     order = sort_order(kept, sort_model, tiebreak)
-    total = kept.agg(F.count(F.lit(1)).alias("row_count"))
-    return rows_between(kept, order, start, stop, top_rows), total
+    if start < stop <= top_rows:
+        rows, total = _counted_page(kept, order, start, stop, top_rows)
+    else:
+        rows, total = _rows_and_total(kept, order, start, stop, top_rows)
+    if total is None:
+        return rows, kept.agg(F.count(F.lit(1)).alias("row_count"))
+    return rows, df.sparkSession.createDataFrame([(total,)], "row_count bigint")
+
+
+def _counted_page(kept: DataFrame, order: Order, start: int, stop: int, top_rows: int) -> tuple[DataFrame, int | None]:
+    """A stored early page, and the number of all rows, observed while they pass; None if that isn't proven.
+
+    Tasks that run again, after an executor was lost, are observed again. So the partitions' first rows are counted too:
+    more of these than partitions show that the count is too high. An empty page proves nothing.
+    """
+    place, within = HELPER_PREFIX + "place__", F.lit((1 << 33) - 1)
+    seen = Observation()
+    first = F.col(place).bitwiseAND(within) == 0
+    parts = F.collect_set(F.when(first, F.shiftright(F.col(place), 33)))
+    passing = kept.withColumn(place, F.monotonically_increasing_id()).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(first).alias("firsts"), F.size(parts).alias("parts")
+    )
+    rows = stored(rows_between(passing, order, start, stop, top_rows), "page")
+    if rows.isEmpty():
+        return rows, None
+    found = seen.get
+    return rows, found["rows"] if found["firsts"] == found["parts"] else None
 
 
 def page_of_snapshot(snapshot: Snapshot, start: int = 0, end: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import statistics
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from tabulant import storage
 from tabulant.catalog import Catalog, Field
@@ -24,7 +24,7 @@ from tabulant.operators.ordering import (
     sort_order,
     sort_rows,
 )
-from tabulant.operators import profile as profile_module
+from tabulant.operators import ordering, profile as profile_module
 from tabulant.operators.profile import profile
 from tabulant.operators.quality import findings, scorecard
 from tabulant.sources.snapshot import open_snapshot, write_snapshot
@@ -113,6 +113,21 @@ def test_nulls_bad_values_and_undeclared_types(spark):
     assert [tuple(v) for v in key.top_values] == [("a|<NA>", 2)]
 
 
+def test_totals_come_with_pages(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id", "id % 7 as m").repartition(6)
+    over = {"m": {"filterType": "number", "type": "greaterThan", "filter": 5}}
+    none = {"m": {"filterType": "number", "type": "greaterThan", "filter": 50}}
+    asked = [(None, 0, 10), (over, 20, 40), (None, 6000, 6010), (none, 0, 10), (None, 3000, 3010), (None, 10, 10)]
+    totals = [page(df, model, [{"colId": "m"}], *at, ["id"], 500)[1].collect() for model, *at in asked]
+    assert [r[0].row_count for r in totals] == [5000, 714, 5000, 0, 5000, 5000]
+
+    class Rerun(Observation):
+        get = {"rows": 9999, "firsts": 7, "parts": 6}
+
+    monkeypatch.setattr(ordering, "Observation", Rerun)
+    assert page(df, None, None, 0, 10, ["id"])[1].first().row_count == 5000
+
+
 @pytest.mark.parametrize("sent", [100_000, 3])
 @pytest.mark.parametrize("digests", [None, 7, 1])
 def test_keys_of_one_digest_are_told_apart(spark, monkeypatch, sent, digests):
