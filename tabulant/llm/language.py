@@ -20,8 +20,8 @@ TRIPLES = 1 << 15
 SWITCH, CLIP = 12.0, 10.0
 #: Share of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.01
-#: Word scores held at a time.
-SCORES = 8_000_000
+#: Bytes that the words of texts may take until they are labelled, and what a word costs besides 9 for each language.
+HELD, WORD_BYTES = 96 << 20, 64
 #: Share of a document's letters that its main language must have for the document to be accepted.
 MIN_SCORE = 0.5
 
@@ -180,11 +180,16 @@ def labeller(model: Model):
     It reads several batches ahead, so that many documents share the steps of one Viterbi run.
     """
 
-    def flush(parts: list[tuple[Words, np.ndarray]]) -> pa.StructArray:
-        per_doc = np.concatenate([w.per_doc for w, _ in parts])
-        labels = viterbi(np.concatenate([s for _, s in parts]), per_doc)
-        sizes = np.concatenate([w.sizes for w, _ in parts])
-        begin = np.concatenate([w.starts for w, _ in parts])
+    def scored(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        # Letters, by far the most of it, are needed for the scores alone and go with the words.
+        words = Words(texts)
+        return words.per_doc, words.sizes.astype(np.int32), words.starts.astype(np.int32), model.word_scores(words)
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.StructArray:
+        per_doc, sizes, begin, scores = (np.concatenate(column) for column in zip(*parts))
+        parts.clear()
+        labels = viterbi(scores, per_doc)
+        del scores
         docs, langs = len(per_doc), len(model.langs)
         owner = np.repeat(np.arange(docs), per_doc)
         held = np.bincount(owner * langs + labels, sizes, docs * langs).reshape(docs, langs)
@@ -216,13 +221,12 @@ def labeller(model: Model):
 
         for batch in batches:
             if not len(batch):
-                parts.append((Words([]), model.word_scores(Words([]))))
+                parts.append(scored([]))
             for texts in parts_of(batch.to_pylist()):
-                words = Words(texts)
-                parts.append((words, model.word_scores(words)))
-                held += len(words.first) * len(model.langs)
+                parts.append(scored(texts))
+                held += len(parts[-1][1]) * (WORD_BYTES + 9 * len(model.langs))
             rows.append(len(batch))
-            if held > SCORES:
+            if held > HELD:
                 yield from cut()
                 parts, rows, held = [], [], 0
         if parts:

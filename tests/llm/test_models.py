@@ -1,9 +1,11 @@
 """Language and quality: decoding against all labellings, accuracy on documents held out, edges."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def test_languages_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in out]) >= 0.97
 
 
+def test_labeller_holds_bounded_bytes(spark):
+    counts = np.random.default_rng(3).integers(0, 9, (2, language.TRIPLES + language.N_SCRIPTS))
+    run = language.labeller(language.Model(["de", "en"], counts)).func
+    batch = pa.array(["the cat and the dog are here with this " * 40] * 256)
+    tracemalloc.start()
+    try:
+        found = sum(len(out) for out in run(batch for _ in range(50)))
+        assert found == 50 * 256 and tracemalloc.get_traced_memory()[1] < 180 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_spans_of_mixed_text_and_edges(spark, docs):
     train = docs([(i, text, "s") for i, text in enumerate(["the cat and the dog are here with this", "der hund und die katze sind nicht hier"] * 20)])
     train = train.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
