@@ -6,7 +6,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,9 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 from tabulant.llm.shared import parts_of, python_ready, released
 
-#: What the tokenizer's patterns call white space, and its pattern for words.
+#: What the tokenizer's patterns call white space, and its pattern for words (lower ASCII letters first, which are quick to scan).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
+WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-z]+[{letters}]*|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
 #: Characters at which ``str.split`` cuts though they are no white space to the tokenizer.
 ODD_BREAKS = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
@@ -83,48 +85,58 @@ class Tokenizer:
         pairs = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         keys = pairs[:, 0] * self.size + pairs[:, 1]
         order = np.argsort(keys)
-        self.keys, self.ranks, self.merged = keys[order], order.astype(np.int32), pairs[order, 2]
+        self.keys, self.ranks, self.results = keys[order], order.astype(np.int32), pairs[:, 2]
+        # Pairs of bytes are looked up in a table: those inside a word, and those whose second byte ends it.
+        self.of_bytes = np.concatenate([self.pair_ranks(np.repeat(self.inner, 256), np.tile(second, 256)) for second in (self.inner, self.final)])
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``NONE`` where they don't merge."""
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has.
 
         In each round every word merges, from the left, all pairs of its lowest rank; words whose
         pairs have no rank are done and leave. Later merges never outrank those that make their
-        parts, so this equals merging one pair at a time.
+        parts, so this equals merging one pair at a time. Ranks are looked up for pairs beside a merge alone.
         """
         lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
-        symbols = self.inner[data]
-        symbols[np.cumsum(lengths) - 1] = self.final[data[np.cumsum(lengths) - 1]]
+        last = np.zeros(len(data), bool)
+        last[np.cumsum(lengths) - 1] = True
+        symbols = np.where(last, self.final[data], self.inner[data])
         word = np.repeat(np.arange(len(words)), lengths)
+        rank = np.full(len(data), NONE, np.int32)  # of each symbol and the next in its word
+        inside = np.flatnonzero(~last)
+        rank[inside] = self.of_bytes[data[inside].astype(np.int64) * 256 + data[inside + 1] + 65536 * last[inside + 1]]
         done_words, done_symbols = [], []
         while len(symbols):
-            rank = np.full(len(symbols), NONE, np.int32)
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            key = symbols[inside] * self.size + symbols[inside + 1]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank[inside] = np.where(self.keys[at] == key, self.ranks[at], NONE)
-            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            sizes = np.diff(np.append(starts, len(word)))
-            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
             over = best == NONE
             if over.any():
                 done_words.append(word[over])
                 done_symbols.append(symbols[over])
-            hit = (rank == best) & ~over
-            merge = np.flatnonzero(hit)
+            merge = np.flatnonzero((rank == best) & ~over)
             if not len(merge):
                 break
             # In a run like aaa pairs overlap: every second one counts, from the left.
             fresh = np.concatenate(([True], np.diff(merge) != 1))
             run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(merge)), 0))
             merge = merge[(np.arange(len(merge)) - run_start) % 2 == 0]
-            found = np.searchsorted(self.keys, symbols[merge] * self.size + symbols[merge + 1])
-            symbols[merge] = self.merged[found]
+            symbols[merge] = self.results[rank[merge]]
+            last[merge] = last[merge + 1]
             keep = ~over
             keep[merge + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            at = np.cumsum(keep)[merge] - 1
+            symbols, word, last, rank = symbols[keep], word[keep], last[keep], rank[keep]
+            rank[at[last[at]]] = NONE
+            before = at[at > 0] - 1
+            beside = np.concatenate((at[~last[at]], before[~last[before]]))
+            rank[beside] = self.pair_ranks(symbols[beside], symbols[beside + 1])
         if not done_words:
             return np.zeros(0, np.int64), lengths
         owner, ids = np.concatenate(done_words), np.concatenate(done_symbols)
@@ -137,8 +149,8 @@ class Memory:
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
-        self.words = re.compile(tokenizer.word).findall
-        self.odd = re.compile("[" + "".join(map(chr, tokenizer.lower)) + "]") if tokenizer.lower else None
+        self.words = re.compile("\n|" + tokenizer.word).findall  # of many chunks, a line each
+        self.odd = frozenset(map(chr, tokenizer.lower))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(tokenizer.special, key=len, reverse=True))) + ")")
         self.forget()
 
@@ -167,47 +179,45 @@ class Memory:
         return text.split()
 
     def learn(self, chunks: list[str]) -> None:
-        words: dict[bytes, int] = {}
-        flat: list[int] = []
-        counts: list[int] = []
-        for chunk in chunks:
-            if chunk[0] == "\n":
-                flat.append(-self.tokenizer.special[chunk[1:]] - 1)
-                counts.append(1)
-                continue
-            if self.odd and self.odd.search(chunk):
-                chunk = chunk.translate(self.tokenizer.lower)
-            found = self.words(chunk)
-            flat += [words.setdefault(w.encode(), len(words)) for w in found]
-            counts.append(len(found))
-        ids, sizes = self.tokenizer.encode_words(list(words))
-        place = np.array(flat, np.int64)
-        special = place < 0  # a word of its own, of one id
-        ids, sizes = np.concatenate((ids, -place[special] - 1)), np.concatenate((sizes, np.ones(special.sum(), np.int64)))
-        place[special] = len(words) + np.arange(special.sum())
+        special = [self.tokenizer.special[c[1:]] for c in chunks if c[0] == "\n"]
+        if special:  # a word of its own, of one id
+            chunks = [*(c for c in chunks if c[0] != "\n"), *(c for c in chunks if c[0] == "\n")]
+        plain = len(chunks) - len(special)
+        text = "\n".join(chunks[:plain])  # no chunk has a line end in it
+        if not self.odd.isdisjoint(text):
+            text = text.translate(self.tokenizer.lower)
+        found = self.words(text)
+        words = [w for w in dict.fromkeys(found) if w != "\n"]
+        number = dict(zip(words, range(len(words))), **{"\n": -1})
+        place = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        ids, sizes = self.tokenizer.encode_words([w.encode() for w in words])
+        inside = place >= 0
+        owner, place = np.cumsum(~inside)[inside], place[inside]
         own, ends = sizes[place], np.cumsum(sizes)
         stops = np.cumsum(own)
-        found = ids[np.repeat(ends[place] - stops, own) + np.arange(stops[-1] if len(stops) else 0)].astype(np.int32)
-        lengths = np.diff(np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))])
+        found = ids[np.repeat(ends[place] - stops, own) + np.arange(stops[-1] if len(stops) else 0)]
+        found = np.concatenate((found, special)).astype(np.int32)
+        lengths = np.bincount(owner, own, plain).astype(np.int64)
+        lengths = np.concatenate((lengths, np.ones(len(special), np.int64)))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(lengths) - lengths))
         self.size = np.concatenate((self.size, lengths))
         self.ids = np.concatenate((self.ids, found))
-        for chunk in chunks:
-            self.known[chunk] = len(self.known)
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         self.held += sum(map(len, chunks)) + OVERHEAD * len(chunks) + 4 * int(lengths.sum())
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.chunks(t) for t in texts]
         if self.held > REMEMBERED:
             self.forget()
-        new = [c for c in dict.fromkeys(c for own in cut for c in own) if c not in self.known]
-        if new:
+        per_text = np.cumsum([0, *map(len, cut)])
+        number = defaultdict(count().__next__)  # of each chunk among these texts' own, so that the large table is asked once
+        own = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, per_text[-1])
+        if new := [c for c in number if c not in self.known]:
             self.learn(new)
-        place = np.fromiter((self.known[c] for own in cut for c in own), np.int64, sum(map(len, cut)))
+        place = np.fromiter(map(self.known.__getitem__, number), np.int64, len(number))[own]
         size = self.size[place]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(self.start[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.concatenate(([0], np.cumsum([len(own) for own in cut]))).astype(np.int64)
         offsets = np.concatenate(([0], ends))[per_text].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 

@@ -58,6 +58,16 @@ def test_forgetting_changes_nothing(own, library, monkeypatch):
         same(own, library, [text, "again"])
 
 
+def test_ranks_are_looked_up_beside_merges_alone(own, monkeypatch):
+    asked = []
+    lookup = own.tokenizer.pair_ranks
+    monkeypatch.setattr(own.tokenizer, "pair_ranks", lambda left, right: asked.append(len(left)) or lookup(left, right))
+    words = [b"internationalization", b"the", b"aaaaaaaaaaaaa", b"xqzvjk"] * 50
+    ids, sizes = own.tokenizer.encode_words(words)
+    merges = sum(map(len, words)) - len(ids)
+    assert sizes.sum() == len(ids) and 0 < sum(asked) <= 2 * merges
+
+
 def test_query(spark, library):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     found = queries.op3_bpe(spark, SF_DIR).collect()
