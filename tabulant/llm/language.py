@@ -48,7 +48,7 @@ _KNOWN = 0x323B0
 _SELECTORS = range(0xE0100, 0xE01F0)
 
 SPANS = "array<struct<start: int, stop: int, lang: string>>"
-LABELS = "lang string, score double, spans array<struct<start: int, stop: int, lang: string>>"
+LABELS = "lang string, score double, spans array<struct<start: int, stop: int, lang: string>>, known string"
 
 
 @cache
@@ -125,7 +125,8 @@ class Model:
         self.likelihood = np.log(triples / triples.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         allowed = (share >= SCRIPT_SHARE).T
-        allowed[~allowed.any(axis=1)] = True
+        self.known = allowed.any(axis=1)
+        allowed[~self.known] = True
         self.allowed = allowed
 
     def word_scores(self, words: Words) -> np.ndarray:
@@ -175,28 +176,32 @@ def viterbi(scores: np.ndarray, per_doc: np.ndarray, switch: float = SWITCH) ->
 
 
 def labeller(model: Model):
-    """An Arrow UDF from texts to language, score and spans.
+    """An Arrow UDF from texts to language, score, spans and the language known.
 
+    The last is the one with most letters among words in scripts that a learned language uses, null without any.
     It reads several batches ahead, so that many documents share the steps of one Viterbi run.
     """
 
     def scored(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         # Letters, by far the most of it, are needed for the scores alone and go with the words.
         words = Words(texts)
-        return words.per_doc, words.sizes.astype(np.int32), words.starts.astype(np.int32), model.word_scores(words)
+        known = model.known[words.scripts[words.first]]
+        return words.per_doc, words.sizes.astype(np.int32), words.starts.astype(np.int32), known, model.word_scores(words)
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.StructArray:
-        per_doc, sizes, begin, scores = (np.concatenate(column) for column in zip(*parts))
+        per_doc, sizes, begin, known, scores = (np.concatenate(column) for column in zip(*parts))
         parts.clear()
         labels = viterbi(scores, per_doc)
         del scores
         docs, langs = len(per_doc), len(model.langs)
         owner = np.repeat(np.arange(docs), per_doc)
-        held = np.bincount(owner * langs + labels, sizes, docs * langs).reshape(docs, langs)
+        place = owner * langs + labels
+        held, sure = (np.bincount(place, n, docs * langs).reshape(docs, langs) for n in (sizes, sizes * known))
         whole = held.sum(axis=1)
         names = np.array([*model.langs, "und"], object)
         lang = names[np.where(whole > 0, held.argmax(axis=1), langs)]
         score = np.where(whole > 0, held.max(axis=1) / np.maximum(whole, 1), 0.0)
+        main = np.array([*model.langs, None], object)[np.where(sure.any(axis=1), sure.argmax(axis=1), langs)]
         change = np.ones(len(labels), bool)
         change[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(change)
@@ -207,7 +212,8 @@ def labeller(model: Model):
         )
         offsets = pa.array(np.searchsorted(owner[first], np.arange(docs + 1)), pa.int32())
         return pa.StructArray.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(score), pa.ListArray.from_arrays(offsets, spans)], ["lang", "score", "spans"]
+            [pa.array(lang, pa.string()), pa.array(score), pa.ListArray.from_arrays(offsets, spans), pa.array(main, pa.string())],
+            ["lang", "score", "spans", "known"],
         )
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -234,7 +240,8 @@ def labeller(model: Model):
         del parts
         released()
 
-    return F.arrow_udf(run, LABELS)
+    # A filter on the labels, pushed below a use of them, would have every text labelled again.
+    return F.arrow_udf(run, LABELS).asNondeterministic()
 
 
 def fit(docs: DataFrame, train: Column, *, sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -283,10 +290,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def labels(docs: DataFrame, model: Model | None) -> Column:
-    """Language, score and spans of each row's text, as one struct."""
+    """Language, score and spans of each row's text, and the language known (see ``labeller``), as one struct."""
     python_ready(docs.sparkSession)
     if model is None:
-        return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.from_json(F.lit("[]"), SPANS).alias("spans"))
+        none = F.lit(None).cast("string").alias("known")
+        return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.from_json(F.lit("[]"), SPANS).alias("spans"), none)
     return labeller(model)(docs["text"].cast("string"))
 
 
@@ -296,10 +304,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def accepted(docs: DataFrame, model: Model | None, *, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` that have letters, ``min_score`` of them in one language.
+    """The rows of ``docs`` that have words of a learned language, ``min_score`` of their letters in one, with their ``lang``.
 
-    The filter runs where the rows lie, without a shuffle, and columns stay as they are, whatever
+    A word in a script that no learned language uses is of none, whatever its label; a text of such words alone goes,
+    unless its ``lang`` names a language that was not learned, which the model cannot judge. A ``lang`` that is given
+    stays; a null one becomes the language that most letters of the other words are labelled with.
+
+    The filter runs where the rows lie, without a shuffle, and other columns stay as they are, whatever
     their names. Null ids are no matter; rows repeated stay or go together.
     """
     rows = docs.select(F.struct("*").alias("row"), labels(docs, model).alias("judged"))
-    return rows.where((F.col("judged.lang") != "und") & (F.col("judged.score") >= min_score)).select("row.*")
+    given = F.col("row.lang")
+    judged = (F.col("judged.lang") != "und") & (F.col("judged.score") >= min_score)
+    known = F.col("judged.known").isNotNull() | ~given.cast("string").isin(model.langs if model else [])
+    lang = F.coalesce(given, F.col("judged.known").cast(docs.select("lang").schema[0].dataType))
+    return rows.where(judged & known).select(F.col("row").withField("lang", lang).alias("row")).select("row.*")

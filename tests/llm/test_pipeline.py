@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -52,6 +53,23 @@ def test_language_keeps_documents_of_three_languages(spark, docs):
     assert sorted(r.doc_id for r in corpus_pipeline.known_languages(spark, df, SF_DIR).collect()) == [*range(120), 500]
 
 
+def test_language_is_given_or_found_in_words_of_known_scripts(spark, docs):
+    en, de, th = "the cat and the dog are here with this", "der hund und die katze sind nicht hier", "แมวและสุนัขอยู่ที่นี่"
+    held_out = [i for i in range(600, 700) if zlib.crc32(str(i).encode()) % 4 == 2]
+    given = [(i, ("en", "de")[i % 2], (en, de)[i % 2]) for i in range(120)]
+    given += zip(held_out, ["th", "en", "de"], [th, th, f"{th} {en}"])
+    bare = [(500, en), (501, de), (None, de), (502, th), (503, f"{th} {th} {th}\n{en}"), (504, "12 !?"), (505, None), (506, en), (506, en)]
+    rows = [(i, text, "s", lang) for i, lang, text in given] + [(i, text, "s", None) for i, text in bare]
+    df = docs([(k, text, "s") for k, (_, text, _, _) in enumerate(rows)])
+    more = spark.createDataFrame([(k, r[0], r[3]) for k, r in enumerate(rows)], "k long, doc_id long, lang string")
+    df = df.withColumnRenamed("doc_id", "k").drop("lang").join(more, "k").select("doc_id", "text", "lang", *df.columns[3:])
+    kept = corpus_pipeline.known_languages(spark, df, SF_DIR)
+    assert kept.schema.names == df.schema.names and dict(kept.dtypes) == dict(df.dtypes)
+    stay = [(i, lang) for i, lang, _ in given if i != held_out[1]]  # Thai was not learned: a label of it stands, but such a text is not English
+    stay += [(500, "en"), (501, "de"), (None, "de"), (503, "en"), (506, "en"), (506, "en")]
+    assert Counter((r.doc_id, r.lang) for r in kept.collect()) == Counter(stay)
+
+
 def test_shared_lines_go_but_for_the_first(stages):
     strip = lambda line: re.sub("[\t\x0b\x0c\r]", " ", line).strip(" ")
     sites, first = {}, {}
